@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, media, oracles, packing, pii, quality, rules, simhash, urltree
+from . import bloomlm, bpe, langid, media, oracles, packing, pii, quality, rules, simhash, urltree
 
 JSON, RANKS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -29,6 +29,13 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.spans(table(spark, sf_dir, "documents")))
 
 
+def op5_bloom_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model, words = bloomlm.train(docs.where(~langid.held_out(mod=7, rest=2)))
+    scored = bloomlm.score(docs, model, words)
+    return scored.select("doc_id", langid.held_out(mod=7, rest=2).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), RANKS), RANKS)
     return both.select("doc_id", "n_tokens", F.sha2("decimal", 256).alias("ids_sha256"), F.sha2("raw", 256).alias("decoded_sha256"))
