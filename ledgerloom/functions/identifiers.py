@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import _c, flag
+from .text import _c, flag, let
 
 #: Shapes and the alphabet of the check character.
 GSTIN = r"[0-9]{2}[A-Z]{5}[0-9]{4}[A-Z][A-Z0-9]Z[A-Z0-9]"
@@ -22,20 +22,25 @@ def find_gstins(text: Column | str) -> Column:
 def check_character(first14: Column) -> Column:
     """The 15th character for the first 14: base 36, weights 1 and 2 in turn, quotient and remainder of each product added."""
 
-    def add(total: Column, i: Column) -> Column:
-        product = (F.instr(F.lit(ALPHABET), F.substring(first14, i, F.lit(1))) - 1) * (F.lit(2) - i % 2)
-        return total + (F.floor(product / 36) + product % 36).cast("int")
+    def check(first: Column) -> Column:
+        def add(total: Column, i: Column) -> Column:
+            product = (F.instr(F.lit(ALPHABET), F.substring(first, i, F.lit(1))) - 1) * (F.lit(2) - i % 2)
+            return total + (F.floor(product / 36) + product % 36).cast("int")
 
-    total = F.aggregate(F.sequence(F.lit(1), F.lit(14)), F.lit(0), add)
-    return F.substring(F.lit(ALPHABET), (36 - total % 36) % 36 + 1, F.lit(1))
+        return let(F.aggregate(F.sequence(F.lit(1), F.lit(14)), F.lit(0), add), lambda total: F.substring(F.lit(ALPHABET), (36 - total % 36) % 36 + 1, F.lit(1)))
+
+    return let(first14, check)
 
 
 def gstin_flags(gstin: Column | str) -> Column:
     """[], or one of gstin_missing, gstin_format, gstin_checksum."""
-    raw = _c(gstin)
-    value = F.upper(F.trim(raw))
-    code = F.when(raw.isNull() | (raw == ""), "gstin_missing").when(~value.rlike(f"^{GSTIN}$"), "gstin_format").when(check_character(F.substring(value, 1, 14)) != F.substring(value, 15, 1), "gstin_checksum")
-    return F.filter(F.array(code), lambda x: x.isNotNull())
+
+    def code(raw: Column) -> Column:
+        value = F.upper(F.trim(raw))
+        wrong = F.when(check_character(F.substring(value, 1, 14)) != F.substring(value, 15, 1), "gstin_checksum")
+        return F.when(raw.isNull() | (raw == ""), "gstin_missing").when(~value.rlike(f"^{GSTIN}$"), "gstin_format").otherwise(wrong)
+
+    return F.filter(F.array(let(_c(gstin), code)), lambda x: x.isNotNull())
 
 
 def hsn_flags(hsn: Column | str) -> Column:
