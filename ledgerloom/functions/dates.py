@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import _c
+from .text import _c, let
 
 #: Fixed value: what counts as a date in a line.
 DATE = r"\b(\d{1,2}[/\-.]\d{1,2}[/\-.]\d{2,4})\b"
@@ -16,25 +16,36 @@ def first_date(text: Column | str) -> Column:
 
 
 def _iso(year: Column, month: Column, day: Column) -> Column:
-    number = lambda c: F.trim(c).try_cast("int")
-    return F.when(number(year).isNotNull() & number(month).isNotNull() & number(day).isNotNull(), F.format_string("%04d-%02d-%02d", number(year), number(month), number(day)))
+    numbers = F.transform(F.array(year, month, day), lambda c: F.trim(c).try_cast("int"))
+    return let(numbers, lambda n: F.when(F.forall(n, lambda x: x.isNotNull()), F.format_string("%04d-%02d-%02d", n[0], n[1], n[2])))
+
+
+def _century(year: Column) -> Column:
+    return F.when(F.length(year) == 2, F.concat(F.lit("20"), year)).otherwise(year)
+
+
+def _day_first(text: Column, parts: Column) -> Column:
+    return F.when(F.size(parts) != 3, text).otherwise(_iso(_century(F.get(parts, F.lit(2))), F.get(parts, F.lit(1)), F.get(parts, F.lit(0))))
+
+
+def _year_first(text: Column, parts: Column) -> Column:
+    return F.coalesce(_iso(F.get(parts, F.lit(0)), F.get(parts, F.lit(1)), F.get(parts, F.lit(2))), text)
 
 
 def day_first(raw: Column | str) -> Column:
     """d/m/y with any of / - . as YYYY-MM-DD, two-digit years in this century. Other text is kept, but three parts that aren't numbers
     give null."""
-    text = F.trim(_c(raw))
-    parts = F.split(text, r"[/\-.]")
-    year = F.get(parts, F.lit(2))
-    return F.when(F.size(parts) != 3, text).otherwise(_iso(F.when(F.length(year) == 2, F.concat(F.lit("20"), year)).otherwise(year), F.get(parts, F.lit(1)), F.get(parts, F.lit(0))))
+    return let(F.trim(_c(raw)), lambda text: let(F.split(text, r"[/\-.]"), lambda parts: _day_first(text, parts)))
 
 
 def sheet_date(raw: Column | str) -> Column:
     """A date of a spreadsheet export: ISO prefix, year-first parts, else day first; null stays null."""
-    text = F.nullif(F.trim(_c(raw)), F.lit(""))
-    parts = F.split(text, r"[/\-.]")
-    year_first = (F.size(parts) == 3) & F.get(parts, F.lit(0)).rlike(r"^\d{4}$")
-    return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}"), F.substring(text, 1, 10)).when(year_first, F.coalesce(_iso(F.get(parts, F.lit(0)), F.get(parts, F.lit(1)), F.get(parts, F.lit(2))), text)).otherwise(day_first(text))
+
+    def told(text: Column, parts: Column) -> Column:
+        year_first = (F.size(parts) == 3) & F.get(parts, F.lit(0)).rlike(r"^\d{4}$")
+        return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}"), F.substring(text, 1, 10)).when(year_first, _year_first(text, parts)).otherwise(_day_first(text, parts))
+
+    return let(F.nullif(F.trim(_c(raw)), F.lit("")), lambda text: let(F.split(text, r"[/\-.]"), lambda parts: told(text, parts)))
 
 
 def compact_date(raw: Column | str) -> Column:
@@ -45,8 +56,8 @@ def compact_date(raw: Column | str) -> Column:
 
 def try_date(raw: Column | str) -> Column:
     """A checked DATE from the four usual forms; null if none fits."""
-    text = F.substring(F.trim(_c(raw)), 1, 10)
-    return F.coalesce(*[F.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(form)).cast("date")) for shape, form in ((r"^\d{4}-\d{2}-\d{2}$", "yyyy-MM-dd"), (r"^\d{2}-\d{2}-\d{4}$", "dd-MM-yyyy"), (r"^\d{2}/\d{2}/\d{4}$", "dd/MM/yyyy"), (r"^\d{2}/\d{2}/\d{2}$", "dd/MM/yy"))])
+    forms = ((r"^\d{4}-\d{2}-\d{2}$", "yyyy-MM-dd"), (r"^\d{2}-\d{2}-\d{4}$", "dd-MM-yyyy"), (r"^\d{2}/\d{2}/\d{4}$", "dd/MM/yyyy"), (r"^\d{2}/\d{2}/\d{2}$", "dd/MM/yy"))
+    return let(F.substring(F.trim(_c(raw)), 1, 10), lambda text: F.coalesce(*[F.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(form)).cast("date")) for shape, form in forms]))
 
 
 def period_label(day: Column | str) -> Column:
@@ -55,5 +66,4 @@ def period_label(day: Column | str) -> Column:
 
 def out_of_period(day: Column | str, start: Column, end: Column) -> Column:
     """Whether a date text is a date outside the period; text that is no date is not flagged."""
-    found = try_date(day)
-    return F.coalesce((found < start) | (found > end), F.lit(False))
+    return F.coalesce(let(try_date(day), lambda found: (found < start) | (found > end)), F.lit(False))

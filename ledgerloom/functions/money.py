@@ -15,7 +15,7 @@ MONEY = "decimal(18,2)"
 
 def parse_amount(raw: Column | str) -> Column:
     """A number with rupee sign, blanks and thousands commas; null if it is none."""
-    return F.nullif(F.regexp_replace(_c(raw), "[₹ ,]", ""), F.lit("")).try_cast(MONEY)
+    return F.translate(_c(raw), "₹ ,", "").try_cast(MONEY)
 
 
 def amounts_in(text: Column | str) -> Column:
@@ -30,12 +30,12 @@ def first_amount(text: Column | str) -> Column:
 
 def loose_number(raw: Column | str) -> Column:
     """A double from text with rupee sign, commas or percent sign; null if it is none."""
-    return F.nullif(F.trim(F.regexp_replace(_c(raw), "[₹,%]", "")), F.lit("")).try_cast("double")
+    return F.trim(F.translate(_c(raw), "₹,%", "")).try_cast("double")
 
 
 def absolute_amount(raw: Column | str) -> Column:
     """The absolute value of a number with thousands commas."""
-    return F.abs(F.nullif(F.trim(F.replace(_c(raw), F.lit(","), F.lit(""))), F.lit("")).try_cast("double"))
+    return F.abs(F.trim(F.replace(_c(raw), F.lit(","), F.lit(""))).try_cast("double"))
 
 
 def within_tolerance(left: Column, right: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import DATE, day_first, first_date
 from ..functions.geometry import box_text
 from ..functions.money import MONEY, amounts_in, edge, or_zero, within_tolerance
-from ..functions.text import add_flags, any_of, flag, squeeze
+from ..functions.text import add_flags, any_of, flag, let, squeeze
 
 #: Lines that are never transactions, labels, and references.
 SKIP = r"(?i)page\s+\d+|statement of account|account statement|customer id|nomination|gstin of bank|relationship manager|continued on next|computer generated|end of statement|confidential|^summary\b|debits\s+\d+|opening\s+[\d,]+|this statement is system"
@@ -69,9 +69,9 @@ def statement_context(lines: DataFrame, files: DataFrame) -> DataFrame:
     A label's amount is the last one of the first line that has both. The header is the text of the first two pages; only its first
     lines are kept together, as many as are needed for an account number to show.
     """
-    amounts = amounts_in("text")
-    last = F.get(amounts, F.size(amounts) - 1)
-    labelled = lambda label: F.min_by(last, F.when(F.col("text").rlike(label) & (F.size(amounts) > 0), F.col("line_no")))
+    last = F.when(F.col("text").rlike(OPENING) | F.col("text").rlike(CLOSING), let(amounts_in("text"), lambda a: F.get(a, F.size(a) - 1)))
+    lines = lines.withColumn("__last", last)
+    labelled = lambda label: F.min_by("__last", F.when(F.col("text").rlike(label) & F.col("__last").isNotNull(), F.col("line_no")))
     head = F.col("page") <= 2
     found = lambda text, shape: F.nullif(F.regexp_extract(text, shape, 1), F.lit(""))
     first = lambda value: F.min_by(value, F.when(head & value.isNotNull(), F.col("line_no")))
@@ -84,14 +84,9 @@ def statement_context(lines: DataFrame, files: DataFrame) -> DataFrame:
 
 def description(text: Column, amounts: Column) -> Column:
     """The line without its first date and its last three amounts, taken out one after the other as text in thousands grouping and plain."""
-    rest = F.regexp_replace(text, f"^(.*?){DATE}", "$1")
-    n = F.size(amounts)
-    for back in (3, 2, 1):
-        plain = F.get(amounts, n - back).cast("string")
-        for shown in (F.format_number(F.get(amounts, n - back), 2), plain):
-            rest = F.when((n >= back) & shown.isNotNull(), F.replace(rest, shown, F.lit(""))).otherwise(rest)
-    cleaned = F.btrim(F.regexp_replace(rest, r"\s{2,}", " "), F.lit(" -|"))
-    return F.when(cleaned == "", text).otherwise(cleaned)
+    shown = F.flatten(F.transform(F.slice(amounts, -F.least(F.size(amounts), F.lit(3)), F.lit(3)), lambda a: F.array(F.format_number(a, 2), a.cast("string"))))
+    rest = F.aggregate(shown, F.regexp_replace(text, f"^(.*?){DATE}", "$1"), lambda left, a: F.replace(left, a, F.lit("")))
+    return F.coalesce(F.nullif(F.btrim(F.regexp_replace(rest, r"\s{2,}", " "), F.lit(" -|")), F.lit("")), text)
 
 
 def line_columns(lines: DataFrame, context: DataFrame) -> DataFrame:

@@ -211,7 +211,7 @@ n AS (SELECT *, row_number() OVER w AS n, (sum(CASE WHEN event_type = 'purchase'
 s AS (SELECT *, total + CASE WHEN event_id % 53 = 0 THEN 7777777 ELSE 0 END AS stated, event_id % 6 = 0 AS credit_side FROM n)"""
 
 
-@query(LINES + " SELECT file_id, (2 * n)::INT AS line_no, strftime(day, '%Y-%m-%d') AS date, CASE WHEN NOT credit_side THEN amount / 100.0::DOUBLE END AS debit, CASE WHEN credit_side THEN amount / 100.0::DOUBLE END AS credit, stated / 100.0::DOUBLE AS balance, CASE WHEN event_id % 6 = 0 THEN 'deposit slip' WHEN event_id % 6 = 1 THEN 'withdrawal atm' ELSE 'upi transfer' END AS description, 'sbi_statement.pdf#p1@1.0,2.0,3.0,4.0' AS source FROM s")
+@query(LINES + " SELECT file_id, (2 * n)::INT AS line_no, strftime(day, '%Y-%m-%d') AS date, CASE WHEN NOT credit_side THEN amount / 100.0::DOUBLE END AS debit, CASE WHEN credit_side THEN amount / 100.0::DOUBLE END AS credit, stated / 100.0::DOUBLE AS balance, trim(regexp_replace(replace(replace(' ' || CASE WHEN event_id % 6 = 0 THEN 'deposit slip' WHEN event_id % 6 = 1 THEN 'withdrawal atm' ELSE 'upi transfer' END || ' ' || a || ' ' || b, a, ''), b, ''), '\\s{2,}', ' ', 'g'), ' -|') AS description, 'sbi_statement.pdf#p1@1.0,2.0,3.0,4.0' AS source FROM (SELECT *, printf('%.2f', amount / 100.0) AS a, printf('%.2f', stated / 100.0) AS b FROM s)")
 def bank_line_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statement lines to date, sides, balance and description."""
     lines, files = _statement_lines(spark, sf_dir)
@@ -279,8 +279,7 @@ def item_tax_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     item = F.struct(F.when(F.col("l_linenumber") % 3 != 0, F.floor(F.col("l_extendedprice") * 100 + 0.5)).alias("txval"), F.when((F.col("l_linenumber") % 4 == 0) & (key % 2 != 0), F.floor("l_quantity")).alias("iamt"))
     docs = table(spark, sf_dir, "lineitem").groupBy(key.alias("okey")).agg(F.collect_list(item).alias("itms"))
     doc = docs.select("okey", F.try_parse_json(F.to_json(F.struct("itms", F.when(F.col("okey") % 2 == 0, 7).alias("iamt")))).alias("doc"))
-    own = gst._taxes("doc")
-    return doc.select("okey", own["taxable"].cast("long").alias("txval"), own["igst"].cast("long").alias("iamt"))
+    return doc.select("okey", gst.taxes("doc").alias("t")).select("okey", F.col("t.taxable").cast("long").alias("txval"), F.col("t.igst").cast("long").alias("iamt"))
 
 
 @query("""WITH o AS (SELECT o_orderkey AS k, o_custkey AS c, floor(o_totalprice * 100 + 0.5)::BIGINT AS p, o_orderdate::DATE AS day FROM orders)
@@ -327,9 +326,10 @@ def _invoice_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {INV} SELECT okey || '-' || skey AS file_id, replace(supplier_name, '#', ' ') AS supplier_name, CASE WHEN okey % 5 <> 0 THEN gstin END AS supplier_gstin, CASE WHEN okey % 7 <> 0 THEN invoice_number END AS invoice_number, strftime(day, '%Y-%m-%d') AS invoice_date, taxable / 100.0::DOUBLE AS taxable_value, tax / 100.0::DOUBLE AS tax, value / 100.0::DOUBLE AS invoice_value, hsn,
-array_to_string(list_filter([CASE WHEN okey % 5 = 0 THEN 'gstin_missing' ELSE {flags_sql('gstin')} END, {HSN_FLAG}, {MATH_FLAG}], lambda x: x <> ''), ',') AS flags FROM inv WHERE okey % 5 <> 0 OR okey % 7 <> 0""")
+array_to_string(list_filter([CASE WHEN okey % 5 = 0 THEN 'gstin_missing' ELSE {flags_sql('gstin')} END, {HSN_FLAG}, {MATH_FLAG}], lambda x: x <> ''), ',') AS flags FROM (SELECT * REPLACE (CASE WHEN okey % 2 = 0 THEN tax ELSE taxable END AS tax) FROM inv) WHERE okey % 5 <> 0 OR okey % 7 <> 0""")
 def invoice_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Invoice texts to one row each; texts without identifier and number give none."""
+    """Invoice texts to one row each; texts without identifier and number give none. Where no tax has its own label, the label before the
+    taxable value counts as the word tax, as it begins with it."""
     rows = invoice.invoices(_invoice_text(spark, sf_dir))
     d = lambda c: F.col(c).cast("double").alias(c)
     return rows.select("file_id", "supplier_name", "supplier_gstin", "invoice_number", "invoice_date", d("taxable_value"), d("tax"), d("invoice_value"), "hsn", joined("flags").alias("flags"))
