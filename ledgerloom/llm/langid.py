@@ -27,6 +27,12 @@ def held_out(column: str = "doc_id", mod: int = 5, rest: int = 0) -> F.Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % mod == rest
 
 
+def _grams(word: str, size: int) -> list[str]:
+    """The character n-grams of a word; its ends are marked but for single characters, where a mark would say nothing."""
+    marked = f"_{word}_" if size > 1 else word
+    return [marked[at : at + size] for at in range(len(marked) - size + 1)]
+
+
 class Model:
     """Per-language log frequencies of words and of n-grams. Looks a text's words up and adds their vectors."""
 
@@ -37,10 +43,9 @@ class Model:
         for k, lang in enumerate(langs):
             for word, n in counts[lang].items():
                 words[word][k] += n
-                marked = f"_{word}_"
                 for size in range(1, LONGEST + 1):
-                    for at in range(len(marked) - size + 1):
-                        grams[size - 1][marked[at : at + size]][k] += n
+                    for gram in _grams(word, size):
+                        grams[size - 1][gram][k] += n
         self.words = {w: i for i, w in enumerate(words)}
         self.rows = self._logs(words)
         self.grams = [dict(zip(g, self._logs(g), strict=True)) for g in grams]
@@ -53,10 +58,9 @@ class Model:
 
     def backoff(self, word: str) -> np.ndarray:
         """The mean vector of the word's longest n-grams that are known; none: all languages alike."""
-        marked = f"_{word}_"
-        for size in range(min(LONGEST, len(marked)), 0, -1):
+        for size in range(LONGEST, 0, -1):
             table = self.grams[size - 1]
-            if found := [v for at in range(len(marked) - size + 1) if (v := table.get(marked[at : at + size])) is not None]:
+            if found := [v for gram in _grams(word, size) if (v := table.get(gram)) is not None]:
                 return np.mean(found, 0)
         return np.zeros(len(self.langs))
 
