@@ -73,7 +73,7 @@ def hits(text: Column, needles: tuple[str, ...]) -> Column:
 
 def flag_list(raw: Column | str) -> Column:
     """Flag codes from comma-separated text, blanks dropped."""
-    return F.filter(F.transform(F.split(F.coalesce(_c(raw), F.lit("")), ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(_c(raw), F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def add_flags(*flags: Column) -> Column:

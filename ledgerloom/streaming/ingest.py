@@ -27,7 +27,7 @@ def classified_files(files: DataFrame) -> DataFrame:
 
 def ingest_folder(spark: SparkSession, folder: str, table: str, checkpoint: str) -> StreamingQuery:
     """Take in all files that came since the last call, then stop. A batch that is run again after a failure overwrites its own partition."""
-    stream = spark.readStream.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    stream = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", True).load(folder)
 
     def write(batch: DataFrame, number: int) -> None:
         overwrite_partitions(classified_files(batch).withColumn("batch", F.lit(number)), table, ["batch"])
