@@ -27,6 +27,23 @@ AHEAD = 3
 KEPT = 150_000
 
 
+class _Joined:
+    """Strings end to end, to join many of them by number in one gather."""
+
+    def __init__(self, strings: list[bytes]):
+        self.flat = np.frombuffer(b"".join(strings), np.uint8)
+        self.sizes = np.fromiter(map(len, strings), np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def join(self, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        """The strings of ids joined, for each part of ids that ends before one of the given places."""
+        sizes = self.sizes[ids]
+        behind = np.cumsum(sizes)
+        data = self.flat[np.repeat(self.starts[ids] - (behind - sizes), sizes) + np.arange(behind[-1] if len(ids) else 0)].tobytes()
+        cuts = np.concatenate([[0], np.concatenate([[0], behind])[ends]]).tolist()
+        return [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
 class Codec(dict):
     """Piece to its ids, kept for frequent pieces; the vocabulary is read once per Python worker."""
 
@@ -38,7 +55,7 @@ class Codec(dict):
         self.table = [b""] * (max(ranks.values()) + 1)
         for raw, i in ranks.items():
             self.table[i] = raw
-        self.decimal = [str(i) for i in range(len(self.table))]
+        self.raw, self.decimal = _Joined(self.table), _Joined([f"{i} ".encode() for i in range(len(self.table))])
         self.pattern = regex.compile(pattern)
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
@@ -52,8 +69,12 @@ class Codec(dict):
     def encode_pieces(self, pieces: list[str]) -> list[int]:
         return list(chain.from_iterable(map(self.__getitem__, pieces)))
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.table.__getitem__, ids))
+    def encode(self, text: str) -> list[int]:
+        """The ids of one chunk: the library cuts it by the same pattern and merges its pieces; what that can't take goes piece by piece."""
+        try:
+            return self.library.encode_ordinary(text)
+        except Exception:  # noqa: BLE001  it gives up on some very long runs
+            return self.encode_pieces(self.pattern.findall(text))
 
     def ends(self, text: str) -> np.ndarray:
         """Where the pieces of a text end."""
@@ -100,8 +121,9 @@ def _whole(path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
         for batch in slices(batches, 256):
-            ids = [c.encode_pieces(c.pattern.findall(t or "")) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+            ids = [np.array(c.encode(t or ""), np.int32) for t in batch.column(1).to_pylist()]
+            offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))], ["doc_id", "ids"])
 
     return run
 
@@ -155,8 +177,9 @@ def _decoded(path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
         for batch in slices(batches, 256):
-            ids = batch.column(1).to_pylist()
-            out = [pa.array([c.decode(x) for x in ids], pa.binary()), pa.array([" ".join(map(c.decimal.__getitem__, x)) for x in ids], pa.string()), pa.array(map(len, ids), pa.int64())]
+            column = batch.column(1)
+            ids, ends = column.flatten().to_numpy(), np.cumsum(column.value_lengths().to_numpy())
+            out = [pa.array(c.raw.join(ids, ends), pa.binary()), pa.array([x[:-1].decode() for x in c.decimal.join(ids, ends)], pa.string()), column.value_lengths().cast(pa.int64())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *out], ["doc_id", "raw", "decimal", "n_tokens"])
 
     return run
