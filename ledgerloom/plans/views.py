@@ -36,12 +36,12 @@ def gstin_of(key: Column) -> Column:
 def inv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One invoice for each order and supplier: keys, gstin, number, day, taxable, tax, value in paise, hsn."""
     li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_suppkey").agg(F.sum(paise(F.col("l_extendedprice") * (1 - F.col("l_discount")))).alias("taxable"), F.min("l_partkey").alias("part"))
-    df = li.join(table(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("day")), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), F.col("l_suppkey") == F.col("s_suppkey"))
+    df = li.join(table(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("day")), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", gstin_of(F.col("s_suppkey")).alias("gstin")), F.col("l_suppkey") == F.col("s_suppkey"))
     tax = F.floor(F.col("taxable") * 18 / 100).cast("long")
     odd = F.when(F.col("l_orderkey") % 19 == 0, 250).otherwise(0)
     hsn = F.substring(F.lpad((F.col("part") * 7919).cast("string"), 8, "8"), 1, F.when(F.col("part") % 9 == 0, 5).otherwise(8))
     number = F.concat(F.lit("INV/"), F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_suppkey").cast("string"))
-    return df.select(F.col("l_orderkey").alias("okey"), F.col("l_suppkey").alias("skey"), F.col("s_name").alias("supplier_name"), gstin_of(F.col("l_suppkey")).alias("gstin"), number.alias("invoice_number"), "day", "taxable", tax.alias("tax"), (F.col("taxable") + tax + odd).cast("long").alias("value"), hsn.alias("hsn"))
+    return df.select(F.col("l_orderkey").alias("okey"), F.col("l_suppkey").alias("skey"), F.col("s_name").alias("supplier_name"), "gstin", number.alias("invoice_number"), "day", "taxable", tax.alias("tax"), (F.col("taxable") + tax + odd).cast("long").alias("value"), hsn.alias("hsn"))
 
 
 def statement(spark: SparkSession, sf_dir: str) -> DataFrame:
