@@ -18,7 +18,7 @@ UNKNOWN = "und"
 DOCS, CHARS, WORDS = 800, 20_000, 40_000
 LONGEST, SMOOTH = 5, 0.5
 WORD = re.compile(r"[^\W\d_]+")
-#: Unknown words whose vector a task keeps.
+#: Words whose vector a task keeps.
 KEPT = 200_000
 
 
@@ -34,49 +34,50 @@ def _grams(word: str, size: int) -> list[str]:
 
 
 class Model:
-    """Per-language log frequencies of words and of n-grams. Looks a text's words up and adds their vectors."""
+    """Per-language log frequencies of words and of n-grams of each size: string to row, and the rows of all as one array."""
 
     def __init__(self, langs: list[str], counts: dict[str, dict[str, int]]):
         self.langs = langs
-        grams: list[dict[str, np.ndarray]] = [defaultdict(lambda: np.zeros(len(langs))) for _ in range(LONGEST)]
-        words: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(langs)))
+        tables: list[dict[str, np.ndarray]] = [defaultdict(lambda: np.zeros(len(langs))) for _ in range(LONGEST + 1)]
         for k, lang in enumerate(langs):
             for word, n in counts[lang].items():
-                words[word][k] += n
+                tables[0][word][k] += n
                 for size in range(1, LONGEST + 1):
                     for gram in _grams(word, size):
-                        grams[size - 1][gram][k] += n
-        self.words = {w: i for i, w in enumerate(words)}
-        self.rows = self._logs(words)
-        self.grams = [dict(zip(g, self._logs(g), strict=True)) for g in grams]
+                        tables[size][gram][k] += n
+        self.index = [{w: i for i, w in enumerate(t)} for t in tables]
+        self.rows = [self._logs(t) for t in tables]
 
     def _logs(self, counts: dict[str, np.ndarray]) -> np.ndarray:
         if not counts:
-            return np.zeros((0, len(self.langs)))
+            return np.zeros((0, len(self.langs)), np.float32)
         table = np.array(list(counts.values()))
-        return np.log((table + SMOOTH) / (table.sum(0) + SMOOTH * len(table)))
+        return np.log((table + SMOOTH) / (table.sum(0) + SMOOTH * len(table))).astype(np.float32)
 
     def backoff(self, word: str) -> np.ndarray:
         """The mean vector of the word's longest n-grams that are known; none: all languages alike."""
         for size in range(LONGEST, 0, -1):
-            table = self.grams[size - 1]
-            if found := [v for gram in _grams(word, size) if (v := table.get(gram)) is not None]:
-                return np.mean(found, 0)
-        return np.zeros(len(self.langs))
+            if found := [i for gram in _grams(word, size) if (i := self.index[size].get(gram)) is not None]:
+                return self.rows[size][found].mean(0)
+        return np.zeros(len(self.langs), np.float32)
+
+    def vector(self, word: str) -> np.ndarray:
+        """A known word's own vector, else that of its n-grams."""
+        known = self.index[0].get(word)
+        return self.backoff(word) if known is None else self.rows[0][known]
 
 
 class Reader(dict):
-    """Word to the number of its row in `table`; unknown words get rows behind the known ones, up to KEPT."""
+    """Word to the number of its vector in `table`; up to KEPT words are kept, then all are forgotten."""
 
     def __init__(self, model: Model):
-        super().__init__(model.words)
-        self.model, self.known = model, len(model.words)
-        self.table = np.zeros((self.known + KEPT, max(1, len(model.langs))))
-        self.table[: self.known, : len(model.langs)] = model.rows
+        super().__init__()
+        self.model = model
+        self.table = np.zeros((KEPT, max(1, len(model.langs))), np.float32)
 
     def __missing__(self, word: str) -> int:
         n = len(self)
-        self.table[n] = self.model.backoff(word)
+        self.table[n, : len(self.model.langs)] = self.model.vector(word)
         self[word] = n
         return n
 
@@ -88,10 +89,9 @@ class Reader(dict):
         total = np.zeros(len(self.model.langs))
         for at in range(0, len(words), 50_000):
             part = words[at : at + 50_000]
-            if len(self) + len(part) > len(self.table):
+            if len(self) + len(part) > KEPT:
                 self.clear()
-                self.update(self.model.words)
-            total += self.table[np.fromiter(map(self.__getitem__, part), np.int64, len(part))].sum(0)
+            total += self.table[np.fromiter(map(self.__getitem__, part), np.int64, len(part))].sum(0, np.float64)
         best = int(total.argmax())
         return self.model.langs[best], 1 / float(np.exp(np.maximum(total - total[best], -700)).sum())
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +31,15 @@ class Tokens:
     """
 
     def __init__(self, json_path: str, ranks_path: str):
-        self.exact = Tokenizer.from_file(json_path)
-        self.special = [t.content for t in self.exact.get_added_tokens_decoder().values()]
+        self.json_path = json_path
+        with open(json_path, encoding="utf-8") as f:
+            self.special = [t["content"] for t in json.load(f)["added_tokens"]]
         self.fast = bpe.codec(ranks_path).library
 
+    @cached_property
+    def exact(self) -> Tokenizer:
+        return Tokenizer.from_file(self.json_path)
+
     def __call__(self, text: str) -> np.ndarray:
         if not any(s in text for s in self.special):
             try:
