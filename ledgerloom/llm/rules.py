@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import let
 from .common import materialize
 
 BLANKS, WINDOW = "[ \\t\\n\\x0B\\f\\r]+", 8
@@ -17,11 +16,6 @@ LIMIT, SHARE = 20, 0.001
 LEFT = 20
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value), with value evaluated once for each row, however often body and its lambdas use it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def words(text: Column) -> Column:
     return F.array_remove(F.split(text, BLANKS), "")
 
@@ -59,6 +53,11 @@ def text_counts(text: Column) -> Column:
     return let(words(text), lambda w: F.struct(long(F.size(w), "n_words"), long(F.length(F.array_join(w, "")), "word_chars"), long(F.regexp_count(text, F.lit("[#*$%&|<>]")), "n_symbols"), long(dup, "n_dup_lines"), long(repeat_words(w), "n_repeat_words")))
 
 
+def too_poor(n_words: Column, n_repeat_words: Column) -> Column:
+    """Whether a text has too few words or repeats too many of them."""
+    return (n_words < MIN_WORDS) | (100 * n_repeat_words > MAX_REPEAT_PERCENT * n_words)
+
+
 def _source(docs: DataFrame) -> DataFrame:
     """docs with __text, __host, and __doc: the hash that host and text share with exact copies."""
     text, host = F.coalesce(F.col("text").cast("string"), F.lit("")), F.coalesce(F.col("source").cast("string"), F.lit(""))
@@ -96,7 +95,7 @@ def judge(docs: DataFrame, limit: int = LIMIT, share: float = SHARE, left: int =
     rows; other columns are ignored.
     """
     counts = _source(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "__doc", text_counts(F.col("__text")).alias("c")).select("doc_id", "__doc", "c.*")
-    counts = counts.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
+    counts = counts.withColumn("base_failed", too_poor(F.col("n_words"), F.col("n_repeat_words")))
     gone = depleted(*frequent_lines(docs, limit, share), left).withColumn("__gone", F.lit(True))
     return counts.join(gone, counts["__doc"] == gone["doc"], "left").select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & F.col("__gone").isNull()).alias("kept"))
 
@@ -107,8 +106,7 @@ def clean(docs: DataFrame, limit: int = LIMIT, share: float = SHARE, left: int =
     gone = depleted(lines, frequent, left).withColumn("__gone", F.lit(True))
     drop = lines.join(frequent.select("line"), "line").groupBy("doc").agg(F.collect_set("line").alias("__drop"))
     marks = drop.join(gone, "doc", "left").withColumnRenamed("doc", "__doc")
-    counts = text_counts(F.col("__text"))
-    passed = _source(docs).withColumn("__c", counts).where((F.col("__c.n_words") >= MIN_WORDS) & (100 * F.col("__c.n_repeat_words") <= MAX_REPEAT_PERCENT * F.col("__c.n_words")))
+    passed = _source(docs).where(~let(words(F.col("__text")), lambda w: too_poor(F.size(w), repeat_words(w))))
     kept = passed.join(marks, "__doc", "left").where(F.col("__gone").isNull())
     text = F.when(F.col("__drop").isNull(), F.col("text")).otherwise(F.array_join(F.filter(F.split("__text", "\n"), lambda x: ~F.array_contains("__drop", F.xxhash64("__host", normal(x)))), "\n"))
     kept = kept.withColumn("text", text)
