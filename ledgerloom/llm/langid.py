@@ -16,7 +16,7 @@ from .common import slices
 UNKNOWN = "und"
 #: The bounded sample: documents of a language, their characters, and words kept of a language, at most.
 DOCS, CHARS, WORDS = 800, 20_000, 40_000
-LONGEST, SMOOTH = 5, 0.5
+LONGEST, SMOOTH, PARTS = 5, 0.5, 32
 WORD = re.compile(r"[^\W\d_]+")
 #: Words whose vector a task keeps.
 KEPT = 200_000
@@ -106,18 +106,21 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = DOCS, words: int = WORDS) -> Model:
-    """Fit on a bounded sample of rows with text and language: of each language the `per_lang` rows whose id hashes lowest.
+    """Fit on a bounded sample of rows with text and language: `per_lang` of each language at most, dealt into PARTS by hash, and of each part
+    those whose id hashes lowest.
 
-    Words are counted on the executors; the driver gets the `words` most frequent of each language.
+    Words are counted on the executors and dealt into PARTS by hash; the driver gets the most frequent of each part, `words` of a language at most.
     """
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = own.select("doc_id", "lang").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= per_lang)
+    order = Window.partitionBy("lang", "part").orderBy(F.xxhash64("doc_id"), "doc_id")
+    dealt = own.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id", "lang"), F.lit(PARTS)).alias("part"))
+    chosen = dealt.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= per_lang // PARTS)
     sample = own.join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi")
     counted = sample.select("lang", F.substring("text", 1, CHARS).alias("text")).mapInArrow(_counted, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    most = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
+    most = Window.partitionBy("lang", "part").orderBy(F.desc("n"), "word")
     counts: dict[str, dict[str, int]] = defaultdict(dict)
-    for r in counted.where(F.length("word") <= 64).withColumn("nth", F.row_number().over(most)).where(F.col("nth") <= words).collect():
+    parts = counted.where(F.length("word") <= 64).withColumn("part", F.pmod(F.xxhash64("word"), F.lit(PARTS)))
+    for r in parts.withColumn("nth", F.row_number().over(most)).where(F.col("nth") <= words // PARTS).collect():
         counts[r["lang"]][r["word"]] = r["n"]
     return Model(sorted(counts), counts)
 
