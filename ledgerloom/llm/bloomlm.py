@@ -1,11 +1,13 @@
 """Language-model scores from a log-frequency Bloom filter of n-gram counts (Talbot and Osborne, 2007).
 
 A filter holds each n-gram with every level up to that of its quantised count; probing the levels in turn until one is missing gives the
-count back. It is built in segments on the executors, its size has a fixed bound, and it is broadcast.
+count back. It is built in segments on the executors. Up to MOST_BITS it is broadcast; a larger one stays in its segments, and what texts ask
+for is dealt to them. Both give the same counts: no level is ever left out.
 """
 
 from __future__ import annotations
 
+import copy
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -25,11 +27,11 @@ START = np.uint64(0x9E3779B97F4A7C15)
 HEAD, HEAD_BYTES = 1 << 17, 64
 #: Tokens for which one bucket of n-grams is made; bits of a key within its bucket.
 BUCKET, KEY_BITS = 4_000_000, 40
-#: Bits of the filter for each level that is stored, hash functions, and the most bits: the bound of the filter.
+#: Bits of the filter for each level that is stored, hash functions, and the most bits of a filter that is broadcast.
 BITS, PROBES, MOST_BITS = 10, 5, 1 << 29
 LEAST, BASE = 2, 1.5
-#: Documents whose tokens set the weights of the mixture, about.
-TUNING = 2000
+#: Tokens of the texts that ask the segments of a spread filter together, about.
+ASKED = 1_000_000
 BINS, RATIOS = 32, 64
 N_GRAMS = 3_000_000
 
@@ -222,11 +224,10 @@ class Filter:
     def __init__(self, bits: int, size: int, drop: int, top: int, marks: np.ndarray):
         self.bits, self.size, self.drop, self.top, self.marks = bits, size, drop, top, marks
 
-    def value(self, h: np.ndarray) -> np.ndarray:
-        """The count that each hash's level stands for; 0 if it isn't in the filter."""
-        keys = _key(h, self.bits)
-        bucket, keys = (keys >> np.uint64(KEY_BITS)).astype(np.int64) * (self.size // 8), keys & np.uint64((1 << KEY_BITS) - 1)
-        levels, alive = np.zeros(len(h), np.int64), np.arange(len(h))
+    def levels(self, bucket: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """The level of each key (without its bucket's bits) in that segment; 0 if it isn't in the filter."""
+        bucket = bucket.astype(np.int64) * (self.size // 8)
+        levels, alive = np.zeros(len(keys), np.int64), np.arange(len(keys))
         for lev in range(1, self.top + 1):
             a, b = _hashes(keys, lev)
             for probe in range(PROBES):
@@ -237,14 +238,41 @@ class Filter:
             if not len(alive):
                 break
             levels[alive] = lev
-        return VALUES[np.where(levels, levels + self.drop, 0)]
+        return np.where(levels, levels + self.drop, 0)
+
+    def value(self, h: np.ndarray) -> np.ndarray:
+        """The count that each hash's level stands for; 0 if it isn't in the filter."""
+        keys = _key(h, self.bits)
+        return VALUES[self.levels(keys >> np.uint64(KEY_BITS), keys & np.uint64((1 << KEY_BITS) - 1))]
+
+
+class Answers:
+    """What the segments of a spread filter say of the keys that a batch of texts asks for; read like the filter."""
+
+    def __init__(self, bits: int, keys: np.ndarray, levels: np.ndarray):
+        self.bits, self.keys, self.levels = bits, keys, levels
+
+    def value(self, h: np.ndarray) -> np.ndarray:
+        return VALUES[self.levels[np.searchsorted(self.keys, _key(h, self.bits))]]
 
 
 class Model:
-    """What the workers get: the filter, the head's exact counts, the totals and the mixture weights."""
+    """What the workers get: the filter, the head's exact counts, the totals and the mixture weights.
+
+    segments (bucket, bits) is the table of a filter that is too large to broadcast; it stays on the executors.
+    """
 
-    def __init__(self, grams: Filter, head: dict[bytes, int], tokens: int, words: int, texts: int, weights: np.ndarray):
-        self.grams, self.head, self.tokens, self.words, self.texts, self.weights = grams, head, tokens, words, texts, weights
+    def __init__(self, grams: Filter, head: dict[bytes, int], tokens: int, words: int, texts: int, weights: np.ndarray, segments: DataFrame | None = None):
+        self.grams, self.head, self.tokens, self.words, self.texts, self.weights, self.segments = grams, head, tokens, words, texts, weights, segments
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"segments": None}
+
+    def reading(self, grams: Filter | Answers | None) -> Model:
+        """This model with other counts of n-grams, if given."""
+        model = copy.copy(self)
+        model.grams = grams or self.grams
+        return model
 
     def parts(self, h: np.ndarray, one: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of each token, from its hash and one more than its word's count: the count of the pair with the token before, the count of that."""
@@ -262,11 +290,98 @@ class Model:
         return np.add.reduceat(np.log10(p), np.concatenate([[0], np.cumsum(sizes)[:-1]]))
 
 
-def _ratios(shared):
+def _asking(tokens: Tokens, texts: list[str], bits: int) -> tuple[np.ndarray, int]:
+    """The different keys of all words and pairs of the texts, sorted, and how many tokens there are."""
+    rows, sizes = tokens.rows(texts)
+    h = tokens.hashes[rows]
+    return np.unique(np.concatenate([_key(_pair(_before(h, sizes), h), bits), _key(_mix(tokens.hashes[np.unique(rows)]), bits)])), len(h)
+
+
+def _asked(bits: int):
+    """(row, doc_id, text) to batches, named by their first row: the texts (bucket -1), and a row for each bucket with the keys they ask for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, held, keys, size = Tokens(), [], [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            name = held[0].column(0)[0].as_py()
+            for part in held:
+                n = part.num_rows
+                yield pa.RecordBatch.from_arrays([pa.array([name] * n, pa.int64()), pa.array([-1] * n, pa.int32()), *part.columns, pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], schema=ASKS)
+            every = np.unique(np.concatenate(keys))
+            own = _blobs(every, np.zeros(len(every), np.int64))
+            n = own.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array([name] * n, pa.int64()), own.column(0), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.string()), own.column(1), own.column(2)], schema=ASKS)
+
+        for batch, texts in _parts(batches):
+            if not texts:
+                continue
+            own, n = _asking(tokens, texts, bits)
+            held.append(batch)
+            keys.append(own)
+            size += n
+            if size > ASKED:
+                yield from flush()
+                held, keys, size = [], [], 0
+        if held:
+            yield from flush()
+
+    return run
+
+
+ASKS = pa.schema([("batch", pa.int64()), ("bucket", pa.int32()), ("row", pa.int64()), ("doc_id", pa.int64()), ("text", pa.string()), ("low", pa.binary()), ("high", pa.binary())])
+ANSWERS = pa.schema([("batch", pa.int64()), ("bucket", pa.int32()), ("level", pa.binary())])
+
+
+def _answered(bits: int, size: int, top: int):
+    """The keys that all batches ask of a bucket, and its segment, to the levels of each batch's keys."""
+
+    def run(asked: pa.Table, segment: pa.Table) -> pa.Table:
+        if not asked.num_rows:
+            return ANSWERS.empty_table()
+        marks = np.frombuffer(segment["bits"][0].as_py(), np.uint8) if segment.num_rows else np.zeros(size // 8, np.uint8)
+        grams, out = Filter(bits, size, 0, top, marks), []
+        for low, high in zip(asked["low"], asked["high"], strict=True):
+            keys = _unblob(low.as_py(), high.as_py())
+            out.append(grams.levels(np.zeros(len(keys), np.int64), keys).astype(np.uint8).tobytes())
+        return pa.table([asked["batch"], asked["bucket"], pa.array(out, pa.binary())], schema=ANSWERS)
+
+    return run
+
+
+def _each(source: DataFrame, model: Model, shared, run, schema: str) -> DataFrame:
+    """What run(shared, grams) makes of the batches of source (row, doc_id, text).
+
+    A spread filter is asked for the different keys of each batch in one shuffle, whatever its size; the answers come back to
+    the batch's texts in a second one.
+    """
+    if model.segments is None:
+        return source.mapInArrow(run(shared), schema)
+    bits, size, top = model.grams.bits, model.grams.size, model.grams.top
+    kind = "batch long, bucket int, row long, doc_id long, text string, low binary, high binary"
+    asked = materialize(source.select("row", "doc_id", "text").mapInArrow(_asked(bits), kind))
+    keys = asked.where("bucket >= 0").select("batch", "bucket", "low", "high")
+    answers = keys.groupBy("bucket").cogroup(model.segments.groupBy("bucket")).applyInArrow(_answered(bits, size, top), "batch long, bucket int, level binary")
+
+    def join(table: pa.Table) -> pa.Table:
+        bucket = table["bucket"].to_numpy()
+        own = np.flatnonzero(bucket >= 0)
+        own = own[np.argsort(bucket[own], kind="stable")]
+        levels = np.frombuffer(b"".join(table["level"].take(pa.array(own)).to_pylist()), np.uint8)
+        texts = table.select(["row", "doc_id", "text"]).take(pa.array(np.flatnonzero(bucket < 0))).combine_chunks()
+        tokens = Tokens()
+        keys = np.unique(np.concatenate([_asking(tokens, part, bits)[0] for _, part in _parts(iter(texts.to_batches()))]))
+        return pa.Table.from_batches(list(run(shared, Answers(bits, keys, levels))(iter(texts.to_batches()))))
+
+    texts = asked.where("bucket < 0").select("batch", "bucket", "row", "doc_id", "text", F.lit(None).cast("binary").alias("level"))
+    return texts.unionByName(answers, allowMissingColumns=True).groupBy("batch").applyInArrow(join, schema)
+
+
+def _ratios(shared, grams: Answers | None = None):
     """Left-one-out ratios of both probabilities, counted by how often the token before was seen."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, model = Tokens(), shared.value
+        tokens, model = Tokens(), shared.value.reading(grams)
         table = np.zeros((BINS, RATIOS), np.int64)
         for _, texts in _parts(batches):
             rows, sizes = tokens.rows(texts)
@@ -291,12 +406,12 @@ def mixture(table: np.ndarray) -> np.ndarray:
     return np.where(table.sum(1) > 0, w, 1e-6)
 
 
-def train(docs: DataFrame, tuning: int = TUNING) -> tuple[Model, DataFrame]:
-    """Model and vocabulary (word, n, c, head) of docs (doc_id, text): all words and pairs of neighbours count.
+def train(docs: DataFrame, most_bits: int = MOST_BITS) -> tuple[Model, DataFrame]:
+    """Model and vocabulary (word, n, c, head) of docs (doc_id, text): all words and pairs of neighbours count, and all set the mixture's weights.
 
     Counts are folded in each task, words by word and pairs by 40-bit keys in as many buckets as the tokens ask for, so no bucket grows with
-    the input. The driver sees totals, histograms, the head's words and the filter's bits, each of bounded size. If all levels
-    need more than MOST_BITS, the lowest levels are left out until they fit.
+    the input. The driver sees totals, histograms, the head's words and the filter's bits, each of bounded size. A filter
+    of more than `most_bits` is left in its segments, see _each().
     """
     text = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     words = text.select("text").mapInArrow(_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -321,21 +436,19 @@ def train(docs: DataFrame, tuning: int = TUNING) -> tuple[Model, DataFrame]:
     histogram = np.zeros(100, np.int64)
     for r in kept.select(F.posexplode("histogram").alias("level", "n")).groupBy("level").agg(F.sum("n").alias("n")).collect():
         histogram[r["level"]] = r["n"]
-    drop = 0
-    stored = lambda d: int((histogram * np.maximum(np.arange(100) - d, 0)).sum())
-    while stored(drop) * BITS > MOST_BITS:
-        drop += 1
-    size = -(-max(stored(drop) * BITS, 1 << 12) // (1 << bits) // 64) * 64 + 64
-    marks = np.zeros(((1 << bits), size // 8), np.uint8)
-    made = materialize(kept.select("bucket", "low", "high", "level").mapInArrow(_segments(size, drop), "bucket int, bits binary"))
-    for r in made.toLocalIterator():  # a part at a time, so that the driver holds the bits about once
-        marks[r["bucket"]] = np.frombuffer(r["bits"], np.uint8)
-    top = int(np.flatnonzero(histogram).max(initial=0)) - drop
-    model = Model(Filter(bits, size, drop, max(0, top), marks.ravel()), head, n_tokens, n_words, n_texts, np.full(BINS, 0.1))
-    sample = text.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < math.ceil(1_000_000 * min(1.0, tuning / max(1, n_texts))))
+    stored = int((histogram * np.arange(100)).sum())
+    size = -(-max(stored * BITS, 1 << 12) // (1 << bits) // 64) * 64 + 64
+    made = materialize(kept.select("bucket", "low", "high", "level").mapInArrow(_segments(size, 0), "bucket int, bits binary"))
+    top, spread = int(np.flatnonzero(histogram).max(initial=0)), stored * BITS > most_bits
+    marks = np.zeros((0 if spread else 1 << bits, size // 8), np.uint8)
+    if not spread:
+        for r in made.toLocalIterator():  # a part at a time, so that the driver holds the bits about once
+            marks[r["bucket"]] = np.frombuffer(r["bits"], np.uint8)
+    model = Model(Filter(bits, size, 0, top, marks.ravel()), head, n_tokens, n_words, n_texts, np.full(BINS, 0.1), made if spread else None)
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    source = text.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     table = np.zeros((BINS, RATIOS))
-    for r in sample.select("text").mapInArrow(_ratios(shared), "bin int, ratio int, n long").groupBy("bin", "ratio").agg(F.sum("n").alias("n")).collect():
+    for r in _each(source, model, shared, _ratios, "bin int, ratio int, n long").groupBy("bin", "ratio").agg(F.sum("n").alias("n")).collect():
         table[r["bin"], r["ratio"]] = r["n"]
     shared.unpersist()
     model.weights = mixture(table)
@@ -345,11 +458,11 @@ def train(docs: DataFrame, tuning: int = TUNING) -> tuple[Model, DataFrame]:
 SCORED = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("word", pa.string()), ("times", pa.int64())])
 
 
-def _scored(shared):
+def _scored(shared, grams: Answers | None = None):
     """A row for each text, and one for each word of it that isn't in the head (word not null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = shared.value.reading(grams)
         tokens, all_n = Tokens(model.head), model.tokens + model.words + 1
         for batch, texts in _parts(batches):
             rows, sizes = tokens.rows(texts)
@@ -380,7 +493,7 @@ def score(docs: DataFrame, model: Model, words: DataFrame, id_col: str = "doc_id
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     source = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    both = materialize(source.mapInArrow(_scored(shared), "row long, doc_id long, n_tokens long, n_known long, base double, score double, word string, times long"))
+    both = materialize(_each(source, model, shared, _scored, "row long, doc_id long, n_tokens long, n_known long, base double, score double, word string, times long"))
     rare = both.where("word is not null").select("row", "word", "times")
     logs: Column = F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(float(model.tokens + model.words + 1)))
     found = rare.join(words.where(~F.col("head")).select("word", "n"), "word", "left")

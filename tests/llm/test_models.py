@@ -38,6 +38,19 @@ def test_bloom_lm_base_is_exact(spark, monkeypatch):
     assert copy > 0  # pairs that come again make the texts likelier
 
 
+def test_bloom_lm_spread_filter_keeps_every_level(spark, monkeypatch):
+    """A filter beyond the bound scores as one within it."""
+    monkeypatch.setattr(bloomlm, "ASKED", 2000)
+    docs = corpus.docs(spark)
+    whole, words = bloomlm.train(docs)
+    spread, _ = bloomlm.train(docs, most_bits=1 << 10)
+    assert whole.segments is None and spread.segments is not None and not len(spread.grams.marks)
+    assert np.array_equal(whole.weights, spread.weights)
+    key = lambda r: (str(r["doc_id"]), r["score"])
+    want, got = (sorted(bloomlm.score(docs, m, words).collect(), key=key) for m in (whole, spread))
+    assert len(got) == len(corpus.rows()) and all(a[:3] == b[:3] and np.allclose(a[3:], b[3:], rtol=1e-9) for a, b in zip(want, got, strict=True))
+
+
 def test_bloom_filter_gives_counts_back():
     bits, size = 3, 1 << 16
     r = np.random.default_rng(1)
