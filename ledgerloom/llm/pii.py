@@ -5,8 +5,9 @@ from __future__ import annotations
 import hashlib
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -60,9 +61,11 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 #: Tokens of the CRF: letters, digits, or one other character that is not white space.
 TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]|_")
-#: A token that a span can hang on. Tokens further than REACH from all of these are never in a span, so stretches without any
-#: are skipped and each stretch is decoded by itself, with the same labels as if the whole text were one chain.
-HOOK, REACH = re.compile(r"[0-9@]|\b[Dd][Oo][Tt]\b"), 48
+#: A token that a span can hang on: the check of each kind asks for a digit, an @ or the word at. Text further than REACH from all of these is
+#: skipped; each stretch around them is decoded whole, as one chain.
+HOOK, REACH = re.compile(r"[0-9@]|\b(?:[Dd][Oo]|[Aa])[Tt]\b"), 48
+#: Padded tokens that are decoded together, and tokens of a chain whose features are held at once.
+TOGETHER, BLOCK = 1 << 16, 1 << 12
 WORDS = frozenset("at dot mail email com org net phone tel call mobile card visa ip host address version license section page year token key id".split())
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 
@@ -76,6 +79,10 @@ def _shape(token: str) -> str:
 
 def token_features(text: str, tokens: list[tuple[int, int]]) -> list[list[str]]:
     """Names of the features that each token has: shapes of it and its neighbours, whether they touch, digits of its number run."""
+    return list(each_features(text, tokens))
+
+
+def each_features(text: str, tokens: list[tuple[int, int]]) -> Iterator[list[str]]:
     shapes = [_shape(text[a:b]) for a, b in tokens]
     n = len(tokens)
     glued = [i > 0 and tokens[i - 1][1] == tokens[i][0] for i in range(n)] + [False]
@@ -92,11 +99,9 @@ def token_features(text: str, tokens: list[tuple[int, int]]) -> list[list[str]]:
                 runs[k] = f"n{min(count, 20)}p{min(parts, 6)}{touch}"
         i = max(j, i + 1)
     at = lambda i: shapes[i] if 0 <= i < n else "-"
-    out = []
     for i in range(n):
         g = "gs"[not glued[i]] + "gs"[not glued[i + 1]]
-        out.append([f"0{at(i)}", f"0{at(i)}{g}", f"-{at(i - 1)}", f"+{at(i + 1)}", f"={at(i - 2)}", f"#{at(i + 2)}", f"-0{at(i - 1)}|{at(i)}{g[0]}", f"0+{at(i)}|{at(i + 1)}{g[1]}", f"r{runs[i]}", f"r0{runs[i]}|{at(i)}"])
-    return out
+        yield [f"0{at(i)}", f"0{at(i)}{g}", f"-{at(i - 1)}", f"+{at(i + 1)}", f"={at(i - 2)}", f"#{at(i + 2)}", f"-0{at(i - 1)}|{at(i)}{g[0]}", f"0+{at(i)}|{at(i + 1)}{g[1]}", f"r{runs[i]}", f"r0{runs[i]}|{at(i)}"]
 
 
 def labelled_table(rows: int = 600, seed: int = 7) -> list[tuple[str, list[tuple[int, int, int]]]]:
@@ -149,9 +154,10 @@ class Model:
     def __init__(self, names: dict[str, int], weights: np.ndarray, trans: np.ndarray):
         self.names, self.weights, self.trans = names, np.vstack([weights, np.zeros(weights.shape[1])]), trans
 
-    def scores(self, features: list[list[str]]) -> np.ndarray:
-        none = len(self.weights) - 1
-        return self.weights[np.array([[self.names.get(x, none) for x in f] for f in features])].sum(1)
+    def scores(self, features: Iterable[list[str]]) -> np.ndarray:
+        none, features = len(self.weights) - 1, iter(features)
+        parts = iter(lambda: [[self.names.get(x, none) for x in f] for f in islice(features, BLOCK)], [])
+        return np.concatenate([self.weights[np.array(part)].sum(1) for part in parts])
 
 
 def fit_model(table: list[tuple[str, list[tuple[int, int, int]]]]) -> Model:
@@ -206,8 +212,8 @@ def stretches(text: str) -> list[list[tuple[int, int]]]:
         out.append((low, high))
     chains = []
     for low, high in out:
-        tokens = [t.span() for t in TOKEN.finditer(text, low, min(high, len(text)))]
-        chains += [tokens[i : i + 512] for i in range(0, len(tokens), 512)]
+        if tokens := [t.span() for t in TOKEN.finditer(text, low, min(high, len(text)))]:
+            chains.append(tokens)
     return chains
 
 
@@ -217,9 +223,12 @@ def find(texts: list[str], model: Model) -> list[tuple[list[tuple[int, int, int]
     chains = [(i, tokens) for i, t in enumerate(texts) for tokens in stretches(t)]
     added: dict[int, list[tuple[int, int, int]]] = {}
     chains.sort(key=lambda c: len(c[1]))
-    for at in range(0, len(chains), 128):
-        part = chains[at : at + 128]
-        scores, lengths = crf.padded([model.scores(token_features(texts[i], tokens)) for i, tokens in part])
+    at = 0
+    while at < len(chains):
+        size = max(1, min(128, TOGETHER // len(chains[min(at + 127, len(chains) - 1)][1])))
+        part = chains[at : at + size]
+        at += size
+        scores, lengths = crf.padded([model.scores(each_features(texts[i], tokens)) for i, tokens in part])
         for (i, tokens), labels in zip(part, crf.viterbi(scores, model.trans, lengths).tolist(), strict=True):
             k = 0
             while k < len(tokens):

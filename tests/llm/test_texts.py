@@ -160,3 +160,14 @@ def test_sniffing_corrects_and_carves(spark):
     assert [(x["type"], bytes(x["data"])) for x in found["inside"]["inside"]] == [("image/png", png), ("image/gif", gif)] and found["inside"]["type"] == "image/gif"
     assert found["cut"]["type"] == "image/png" and found["cut"]["inside"] == [] and found["lies"]["type"] == "text/plain" and found["lies"]["inside"] == []
     assert found["null"]["type"] == "x/y" and found["empty"]["type"] is None
+
+
+def test_pii_chains_are_whole():
+    """A span is found wherever it lies in a long number-dense text, and around `at` far from any digit."""
+    model = pii.default_model()
+    for n in (250, 253, 254, 255, 256, 257, 258):
+        text = "".join(f"{i % 10} x " for i in range(n)) + "mail jo (at) example (dot) org now" + " 7 y" * 40
+        assert [text[a:b] for _, a, b in pii.find([text], model)[0][1]] == ["jo (at) example (dot) org"], n
+    assert len(pii.stretches("1 x " * 3000)) == 1
+    far = "word " * 40 + "mail jo (at) example.com now " + "word " * 40
+    assert "example" not in pii.masked(far, pii.find([far], model)[0][1])
