@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import let
+from . import simhash
 from .common import materialize
 
 BLANKS, WINDOW = "[ \\t\\n\\x0B\\f\\r]+", 8
@@ -64,18 +65,29 @@ def _source(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"__text": text, "__host": host, "__doc": F.xxhash64(host, text)})
 
 
-def frequent_lines(docs: DataFrame, limit: int = LIMIT, share: float = SHARE) -> tuple[DataFrame, DataFrame]:
+def copy_classes(docs: DataFrame) -> DataFrame:
+    """doc, class of the different texts of docs: near copies, as near-dedup groups them, share a class."""
+    return simhash.near_duplicates(_source(docs).select(F.col("__doc").alias("doc_id"), F.col("__text").alias("text"))).select(F.col("doc_id").alias("doc"), F.col("component_id").alias("class")).distinct()
+
+
+def frequent_lines(docs: DataFrame, limit: int = LIMIT, share: float = SHARE, classes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(lines, frequent): doc, line, host (hashes) and words for each normalised line of each different text of a host; and the
     lines of `frequent`, with how many of the host's documents have each.
 
     Exact copies are one document here, and a line counts once in a document, so both are folded before any shuffle and a
-    widely copied text does not make its own lines frequent.
+    widely copied text does not make its own lines frequent. With `classes` (doc, class) those of a class that share more
+    than one such line are one document too; only the lines that are frequent without classes are counted again.
     """
     each = lambda x: let(normal(x), lambda n: F.struct(F.xxhash64("__host", n).alias("line"), F.size(words(n)).alias("words")))
     rows = _source(docs).select(F.col("__doc").alias("doc"), F.xxhash64("__host").alias("host"), F.explode(F.array_distinct(F.transform(F.split("__text", "\n"), each))).alias("e"))
     lines = materialize(rows.select("doc", "host", "e.line", "e.words").where("words > 0").groupBy("doc", "host", "line").agg(F.max("words").alias("words")))
     hosts = lines.groupBy("host", "doc").agg(F.lit(1)).groupBy("host").agg(F.count("*").alias("docs"))
     counted = lines.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > limit)
+    if classes is not None:
+        busy = lines.join(materialize(counted.select("host", "line")), ["host", "line"]).groupBy("doc").agg(F.collect_list(F.struct("host", "line")).alias("e"))
+        alone = F.size("e") == 1
+        each_class = busy.join(classes, "doc").select(alone.alias("alone"), F.when(alone, F.col("doc")).otherwise(F.col("class")).alias("class"), F.explode("e").alias("e"))
+        counted = each_class.select("e.host", "e.line", "alone", "class").distinct().groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > limit)
     frequent = materialize(counted.join(hosts, "host").where(F.col("n") > share * F.col("docs")).select("line", "n"))
     return lines, frequent
 
@@ -101,8 +113,11 @@ def judge(docs: DataFrame, limit: int = LIMIT, share: float = SHARE, left: int =
 
 
 def clean(docs: DataFrame, limit: int = LIMIT, share: float = SHARE, left: int = LEFT) -> DataFrame:
-    """The rows of docs that judge() keeps, without their frequent lines; other columns as they were, n_chars (if there) counted anew."""
-    lines, frequent = frequent_lines(docs, limit, share)
+    """The rows of docs that pass the rules of judge(), without their frequent lines; other columns as they were, n_chars (if there) counted anew.
+
+    Unlike there, near copies that share several lines count as one document, so that near-dedup finds one of them whole, and the limit is the same for a host of any size.
+    """
+    lines, frequent = frequent_lines(docs, limit, share, copy_classes(docs))
     gone = depleted(lines, frequent, left).withColumn("__gone", F.lit(True))
     drop = lines.join(frequent.select("line"), "line").groupBy("doc").agg(F.collect_set("line").alias("__drop"))
     marks = drop.join(gone, "doc", "left").withColumnRenamed("doc", "__doc")
