@@ -112,7 +112,7 @@ def judge(docs: DataFrame, limit: int = LIMIT, share: float = SHARE, left: int =
     return counts.join(gone, counts["__doc"] == gone["doc"], "left").select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & F.col("__gone").isNull()).alias("kept"))
 
 
-def clean(docs: DataFrame, limit: int = LIMIT, share: float = SHARE, left: int = LEFT) -> DataFrame:
+def clean(docs: DataFrame, limit: int = LIMIT, share: float = 0.0, left: int = LEFT) -> DataFrame:
     """The rows of docs that pass the rules of judge(), without their frequent lines; other columns as they were, n_chars (if there) counted anew.
 
     Unlike there, near copies that share several lines count as one document, so that near-dedup finds one of them whole, and the limit is the same for a host of any size.
