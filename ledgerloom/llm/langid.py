@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from .common import slices
 
 UNKNOWN = "und"
-#: The bounded sample: documents of a language, their characters, and words kept of a language, at most.
-DOCS, CHARS, WORDS = 800, 20_000, 40_000
+#: The bounded sample: documents of a language, whole, and words kept of a language, at most.
+DOCS, WORDS = 800, 40_000
 LONGEST, SMOOTH, PARTS = 5, 0.5, 32
 WORD = re.compile(r"[^\W\d_]+")
 #: Words whose vector a task keeps.
@@ -100,7 +100,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, 128):
         counts: dict[tuple[str, str], int] = defaultdict(int)
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            for word in WORD.findall(text[:CHARS].lower()):
+            for word in WORD.findall(text.lower()):
                 counts[lang, word] += 1
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], ["lang", "word", "n"])
 
@@ -116,7 +116,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     dealt = own.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id", "lang"), F.lit(PARTS)).alias("part"))
     chosen = dealt.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= per_lang // PARTS)
     sample = own.join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi")
-    counted = sample.select("lang", F.substring("text", 1, CHARS).alias("text")).mapInArrow(_counted, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counted = sample.select("lang", "text").mapInArrow(_counted, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     most = Window.partitionBy("lang", "part").orderBy(F.desc("n"), "word")
     counts: dict[str, dict[str, int]] = defaultdict(dict)
     parts = counted.where(F.length("word") <= 64).withColumn("part", F.pmod(F.xxhash64("word"), F.lit(PARTS)))

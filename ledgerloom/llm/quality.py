@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from . import crf
 from .common import slices
 
-#: The bounded sample: labelled documents and lines of each, at most.
+#: The bounded sample: labelled documents, whole, at most; and lines of a chain that the CRF is fitted on, longer documents give several.
 DOCS, LINES = 3000, 200
 THRESHOLD = 0.7
 #: Byte classes; bytes of 128 and more count as letters.
@@ -23,6 +23,16 @@ for _k, _chars in enumerate(CLASSES):
     LUT[np.frombuffer(_chars, np.uint8)] = _k
 
 
+#: Features of a line without those of its neighbours.
+OWN = len(CLASSES) + 7
+
+
+def _beside(own: np.ndarray) -> np.ndarray:
+    """The lines' own features with those of both neighbours."""
+    zero = np.zeros((1, own.shape[1]), np.float32)
+    return np.hstack([own, np.vstack([zero, own[:-1]]), np.vstack([own[1:], zero])])
+
+
 def line_features(texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """For each text the features (line, feature) of its \\n-split lines, with those of both neighbours, and the lines' bytes.
 
@@ -36,7 +46,7 @@ def line_features(texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]
     data = np.frombuffer(b"\n".join(lines) + b"\n", np.uint8)
     starts = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
     classes = LUT[data]
-    out = np.zeros((len(lines), len(CLASSES) + 7), np.float32)
+    out = np.zeros((len(lines), OWN), np.float32)
     for k in range(len(CLASSES)):
         out[:, k] = np.add.reduceat(classes == k, starts, dtype=np.int64) / np.maximum(sizes, 1)
     k = len(CLASSES)
@@ -59,9 +69,7 @@ def line_features(texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]
     features, weights = [], []
     at = 0
     for n in counts.tolist():
-        own = out[at : at + n]
-        zero = np.zeros((1, own.shape[1]), np.float32)
-        features.append(np.hstack([own, np.vstack([zero, own[:-1]]), np.vstack([own[1:], zero])]))
+        features.append(_beside(out[at : at + n]))
         weights.append(sizes[at : at + n])
         at += n
     return features, weights
@@ -103,17 +111,16 @@ def _curve(shares: np.ndarray, curve: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-(curve[0] + shares @ curve[1:])))
 
 
-def fit_model(texts: list[str], good: np.ndarray) -> Model:
-    """Fit to whole-document labels: lines start with their document's label; then lines of bad documents that the CRF finds good
+def fit_model(features: list[np.ndarray], weights: list[np.ndarray], good: np.ndarray) -> Model:
+    """Fit line_features() to whole-document labels: lines start with their document's label; then lines of bad documents that the CRF finds good
     are taken as good, but for the worst line of each, and it is fitted again."""
-    if not len(texts) or good.all() or not good.any():
+    if not len(features) or good.all() or not good.any():
         share = (good.sum() + 1) / (len(good) + 2) if len(good) else 0.5
-        return Model(np.zeros((3 * (len(CLASSES) + 7), 2)), np.zeros((2, 2)), np.array([np.log(share / (1 - share)), 0, 0]))
-    features, weights = line_features(texts)
-    features, weights = [f[:LINES] for f in features], [w[:LINES] for w in weights]
+        return Model(np.zeros((3 * OWN, 2)), np.zeros((2, 2)), np.array([np.log(share / (1 - share)), 0, 0]))
+    chains = lambda rows: [x[at : at + LINES] for x in rows for at in range(0, len(x), LINES)]
     labels = [np.full(len(f), int(not g)) for f, g in zip(features, good, strict=True)]
     for step in range(2):
-        model = Model(*crf.fit(features, labels, 2, rounds=60, rate=0.2), np.zeros(3))
+        model = Model(*crf.fit(chains(features), chains(labels), 2, rounds=60, rate=0.2), np.zeros(3))
         bad = model.bad_lines(features)
         if step == 0:
             labels = [np.where((b > min(0.5, b.max() - 1e-9)), 1, 0) if not g else y for b, g, y in zip(bad, good, labels, strict=True)]
@@ -129,13 +136,21 @@ def fit_model(texts: list[str], good: np.ndarray) -> Model:
     return Model(model.weights, model.trans, curve)
 
 
+def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, 128):
+        features, weights = line_features(batch.column(1).to_pylist())
+        blobs = [pa.array([x.tobytes() for x in own], pa.binary()) for own in ([f[:, :OWN] for f in features], weights)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *blobs], ["doc_id", "good", "own", "sizes"])
+
+
 def train(docs: DataFrame, labels: DataFrame, at_most: int = DOCS) -> Model:
     """Fit on the `at_most` labelled documents whose id hashes lowest; labels has doc_id and quality (1 good, 0 bad)."""
     chosen = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("__quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(at_most)
     rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), "__quality")
-    rows = rows.select("doc_id", "__quality", F.substring_index("text", "\n", LINES).alias("text")).collect()
+    rows = rows.select(F.col("doc_id").cast("long"), "text", (F.col("__quality") == 1).alias("good")).mapInArrow(_featured, "doc_id long, good boolean, own binary, sizes binary").collect()
     rows.sort(key=lambda r: r["doc_id"])
-    return fit_model([r["text"][:200_000] for r in rows], np.array([r["__quality"] == 1 for r in rows], bool))
+    features = [_beside(np.frombuffer(r["own"], np.float32).reshape(-1, OWN)) for r in rows]
+    return fit_model(features, [np.frombuffer(r["sizes"], np.int64) for r in rows], np.array([r["good"] for r in rows], bool))
 
 
 def _scored(shared):

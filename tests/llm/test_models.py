@@ -1,6 +1,7 @@
 """Language models, classifiers, rules and URL filters: held-out accuracy, brute force, awkward rows."""
 
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -199,6 +200,35 @@ def test_rules_reject_depleted_documents(spark):
     assert set(clean) == kept and all(line + "\n" not in r["text"] for r in clean.values()) and all(r["n_chars"] == len(r["text"]) for r in clean.values())
 
 
+def test_clean_keeps_near_copies_whole(spark):
+    """Near copies don't make their own lines frequent, and a line of 21 different documents is frequent in a host of any size."""
+    r = random.Random(8)
+    own = lambda n: " ".join(f"w{r.randrange(10**6)}" for _ in range(n))
+    base = [own(12) for _ in range(40)]
+    rows = [(i, "\n".join([*base, f"copy number {i}"]), "h") for i in range(30)]
+    rows += [(100 + i, own(30) + "\nread more here", "g") for i in range(21)] + [(1000 + i, own(20), "g") for i in range(21_000)]
+    got = {x["doc_id"]: x["text"] for x in rules.clean(spark.createDataFrame(rows, "doc_id long, text string, source string")).where("doc_id < 1000").collect()}
+    assert len(got) == 51 and all(got[i] == rows[i][1] for i in range(30))
+    assert all("read more" not in got[100 + i] for i in range(21))
+
+
+def test_training_reads_whole_texts(spark):
+    """Bad lines and words of a language count however late in a text they come."""
+    r = random.Random(3)
+    fine = lambda: " ".join(r.choice("alpha river stone market winter garden letter people little water answer".split()) for _ in range(9)).capitalize() + "."
+    texts = ["\n".join([fine() for _ in range(250)] + ["$$$ ### BUY !!! $$$" if i % 2 else fine() for _ in range(250)]) for i in range(40)]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    labels = docs.select("doc_id", (1 - F.col("doc_id") % 2).cast("int").alias("quality"))
+    model = quality.train(docs, labels)
+    whole = quality.fit_model(*quality.line_features(texts), np.arange(40) % 2 == 0)
+    assert np.allclose(model.weights, whole.weights) and np.allclose(model.curve, whole.curve)
+    early = quality.train(docs.withColumn("text", F.substring_index("text", "\n", 200)), labels)
+    assert not np.allclose(model.weights, early.weights)
+    late = docs.select("doc_id", F.concat("text", F.lit(" filler" * 4000 + " zebra")).alias("text"), "lang")
+    known = langid.train(late)
+    assert "zebra" in known.index[0]
+
+
 def sql(text, spark, **tables):
     con = duckdb.connect()
     for name, df in tables.items():
