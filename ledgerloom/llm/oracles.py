@@ -6,7 +6,7 @@ from . import rules, urltree
 
 BLANK = r"[ \t\n\x0B\f\r]+"
 
-#: Counts by words and 8-word windows; lines by host over different texts.
+#: Counts by words and 8-word windows; lines by host over documents, which id and text tell apart.
 OP8 = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(source, '') AS host, row_number() OVER () AS r FROM documents),
 w AS (SELECT r, list_filter(string_split_regex(t, '{BLANK}'), lambda x: x <> '') AS ws FROM d),
@@ -19,19 +19,18 @@ rep AS (SELECT r, sum(least({rules.WINDOW}, coalesce(following - i, {rules.WINDO
 l AS (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d),
 f AS (SELECT r, line FROM l WHERE regexp_replace(line, '{BLANK}', '', 'g') <> ''),
 dup AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM f GROUP BY r),
-n AS (SELECT DISTINCT host, t, trim(regexp_replace(lower(x.line), '{BLANK}', ' ', 'g'), ' ') AS line FROM (SELECT host, t, unnest(string_split(t, chr(10))) AS line FROM (SELECT DISTINCT host, t FROM d)) x),
-nw AS (SELECT host, t, line, len(list_filter(string_split_regex(line, '{BLANK}'), lambda x: x <> '')) AS words FROM n),
+n AS (SELECT DISTINCT host, doc_id, t, trim(regexp_replace(lower(x.line), '{BLANK}', ' ', 'g'), ' ') AS line FROM (SELECT host, doc_id, t, unnest(string_split(t, chr(10))) AS line FROM (SELECT DISTINCT host, doc_id, t FROM d)) x),
+nw AS (SELECT host, doc_id, t, line, len(list_filter(string_split_regex(line, '{BLANK}'), lambda x: x <> '')) AS words FROM n),
 lw AS (SELECT * FROM nw WHERE words > 0),
-hosts AS (SELECT host, count(DISTINCT t) AS docs FROM lw GROUP BY host),
-fr AS (SELECT lw.host, lw.line FROM lw JOIN hosts USING (host) GROUP BY lw.host, lw.line, docs HAVING count(*) > {rules.LIMIT} AND count(*) > {rules.SHARE} * docs),
-de AS (SELECT lw.host, lw.t, sum(words) AS total, sum(CASE WHEN fr.line IS NOT NULL THEN words ELSE 0 END) AS lost FROM lw LEFT JOIN fr ON fr.host = lw.host AND fr.line = lw.line GROUP BY lw.host, lw.t),
+fr AS (SELECT host, line FROM lw GROUP BY host, line HAVING count(*) > {rules.LIMIT}),
+de AS (SELECT lw.host, lw.doc_id, lw.t, sum(words) AS total, sum(CASE WHEN fr.line IS NOT NULL THEN words ELSE 0 END) AS lost FROM lw LEFT JOIN fr ON fr.host = lw.host AND fr.line = lw.line GROUP BY lw.host, lw.doc_id, lw.t),
 b AS (SELECT d.doc_id, d.host, d.t, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
              (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words
       FROM d JOIN w USING (r) LEFT JOIN dup USING (r) LEFT JOIN rep USING (r)),
 j AS (SELECT *, n_words < {rules.MIN_WORDS} OR 100 * n_repeat_words > {rules.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM b)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+SELECT j.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND NOT coalesce(total - lost < {rules.LEFT} AND 2 * lost > total, false) AS kept
-FROM j LEFT JOIN de ON de.host = j.host AND de.t = j.t
+FROM j LEFT JOIN de ON de.host = j.host AND de.t = j.t AND de.doc_id IS NOT DISTINCT FROM j.doc_id
 """
 
 
@@ -41,26 +40,41 @@ def op2() -> str:
         own, _, rest = text.partition("/")
         fits = f"(host = '{own}' OR ends_with(host, '.{own}')) AND starts_with(path, '/{rest}')"
         rule, said = f"CASE WHEN {fits} THEN '{text}' ELSE {rule} END", f"CASE WHEN {fits} THEN '{verdict}' ELSE {said} END"
-    seeded = " OR ".join(f"contains(host, '{w}')" for w in urltree.SEEDS)
-    u = urltree
+    u, mask = urltree, "CASE WHEN regexp_matches(x, '[0-9]') THEN '*' ELSE x END"
     sql = rf"""
 WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN url[strpos(url, '://') + 3:] ELSE '' END AS rest FROM pages),
 hp AS (SELECT page_id, translate(regexp_extract(coalesce(rest, ''), '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM u),
-own AS (SELECT *, {rule} AS rule, {said} AS said, list_slice(list_filter(string_split(path, '/'), lambda x: x <> ''), 1, {u.DEPTH}) AS segs FROM hp),
-lab AS (SELECT *, CASE WHEN said IS NOT NULL THEN (said = 'block')::INT WHEN {seeded} THEN 1 END AS label FROM own),
+own AS (SELECT *, {rule} AS rule, {said} AS said, list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: {mask}) AS segs FROM hp),
+lab AS (SELECT *, (said = 'block')::INT AS label FROM own),
 a0 AS (SELECT host, segs, count(*) AS n, count(label) AS labelled, coalesce(sum(label), 0) AS bad, '' AS template FROM lab GROUP BY host, segs)"""
+    rate = "round(1000.0::DOUBLE * bad / labelled)::BIGINT"
+    share = lambda own, every: f"abs(({own})::DOUBLE / n - (({every}) - ({own}))::DOUBLE / (all_n - n))"
+    whole = lambda n, bad: f"((({bad}) + 0.5::DOUBLE) / (({n}) + 1.0::DOUBLE))"
+    alike = lambda n, bad, every, worse: f"CASE WHEN {n} > 0 AND {every} - {n} > 0 THEN abs({bad} / {n} - ({worse} - {bad}) / ({every} - {n})) <= {u.ERRORS} * sqrt({whole(every, worse)} * (1.0 - {whole(every, worse)}) * (1.0::DOUBLE / {n} + 1.0::DOUBLE / ({every} - {n}))) END"
     for k in range(u.DEPTH):
-        enough = f"labelled >= {u.LABELLED}"
         sql += rf""",
-c{k} AS (SELECT host, template, segs[{k + 1}] AS seg, sum(n) AS n, sum(labelled) AS labelled, sum(bad) AS bad FROM a{k} WHERE len(segs) > {k} AND NOT regexp_matches(segs[{k + 1}], '[0-9]') GROUP BY ALL),
-o{k} AS (SELECT host, template, count(*) AS children, sum(n) AS all_n, sum(CASE WHEN {enough} THEN labelled ELSE 0 END) AS all_l, sum(CASE WHEN {enough} THEN bad ELSE 0 END) AS all_b FROM c{k} GROUP BY ALL),
-k{k} AS (SELECT host, template, seg FROM c{k} JOIN o{k} USING (host, template) WHERE NOT (children > {u.CHILDREN} AND n < {u.RARE} * all_n)
-  AND NOT coalesce({enough} AND all_l > labelled AND abs(bad / labelled - (all_b - bad) / nullif(all_l - labelled, 0)) <= {u.ERRORS} * sqrt((all_b + 0.5) / (all_l + 1.0) * (1.0 - (all_b + 0.5) / (all_l + 1.0)) * (1.0 / nullif(labelled, 0) + 1.0 / nullif(all_l - labelled, 0))), false)),
+c{k} AS (SELECT host, template, segs[{k + 1}] AS seg, sum(n)::BIGINT AS n, sum(labelled)::BIGINT AS labelled, sum(bad)::BIGINT AS bad, sum(CASE WHEN len(segs) = {k + 1} THEN n ELSE 0 END)::BIGINT AS ends, sum(CASE WHEN segs[{k + 2}] = '*' THEN n ELSE 0 END)::BIGINT AS wild FROM a{k} WHERE len(segs) > {k} AND segs[{k + 1}] <> '*' GROUP BY ALL),
+p{k} AS (SELECT template, seg, count(*) AS hosts, sum({rate})::BIGINT AS rate FROM c{k} WHERE labelled > 0 GROUP BY template, seg),
+r{k} AS (SELECT template, sum(hosts)::BIGINT AS all_hosts, sum(rate)::BIGINT AS all_rate FROM p{k} GROUP BY template),
+s{k} AS (SELECT host, template, count(*) AS children, sum(n)::BIGINT AS all_n, sum(ends)::BIGINT AS all_ends, sum(wild)::BIGINT AS all_wild, sum(labelled)::BIGINT AS all_labelled, sum(bad)::BIGINT AS all_bad FROM c{k} GROUP BY host, template),
+k{k} AS (SELECT host, template, seg FROM c{k} JOIN s{k} USING (host, template) LEFT JOIN p{k} USING (template, seg) LEFT JOIN r{k} USING (template)
+  WHERE NOT (children > {u.CHILDREN} AND n < {u.RARE}::DOUBLE * all_n)
+  AND NOT (n >= {u.ENOUGH} AND all_n - n >= {u.ENOUGH} AND {share('ends', 'all_ends')} + {share('wild', 'all_wild')} + {share('n - ends - wild', 'all_n - all_ends - all_wild')} <= {2 * u.APART}
+    AND (all_hosts IS NULL OR coalesce({alike('hosts', '(rate / 1000.0::DOUBLE)', 'all_hosts', '(all_rate / 1000.0::DOUBLE)')}, false))
+    AND coalesce({alike('labelled', '(bad::DOUBLE)', 'all_labelled', '(all_bad::DOUBLE)')}, true))),
 a{k + 1} AS (SELECT a.host, a.segs, a.n, a.labelled, a.bad, CASE WHEN len(a.segs) > {k} THEN a.template || '/' || CASE WHEN k.seg IS NOT NULL THEN k.seg ELSE '*' END ELSE a.template END AS template
   FROM a{k} a LEFT JOIN k{k} k ON k.host = a.host AND k.template = a.template AND k.seg = a.segs[{k + 1}])"""
+    w = f"{u.WEIGHT}::DOUBLE"
+    smooth = lambda bad, n, prior: f"(({bad}) + {w} * ({prior})) / (({n}) + {w})"
+    part = lambda name: (f"coalesce({name}_rate, 0) / 1000.0::DOUBLE", f"coalesce({name}_n, 0)")
+    purity = smooth("bad", "labelled", smooth(*part("near"), smooth(*part("wide"), f"{u.PRIOR}::DOUBLE")))
     return sql + rf""",
-o AS (SELECT (sum(bad) + 1.0) / (sum(labelled) + 2.0) AS rate FROM a0),
-p AS (SELECT host, template, (sum(bad) + {u.WEIGHT} * (SELECT rate FROM o)) / (sum(labelled) + {u.WEIGHT}) >= {u.PURITY} AS reject FROM a{u.DEPTH} GROUP BY host, template)
-SELECT page_id, lab.host, path, rule, coalesce(said, CASE WHEN reject THEN 'block' ELSE 'allow' END) AS verdict, t.template
-FROM lab LEFT JOIN a{u.DEPTH} t ON t.host = lab.host AND t.segs = lab.segs LEFT JOIN p ON p.host = t.host AND p.template = t.template
+tr AS (SELECT host, segs, n, labelled, bad, template || list_aggregate(list_concat([''], list_transform(segs[{u.DEPTH + 1}:], lambda x: '/' || x)), 'string_agg', '') AS template FROM a{u.DEPTH}),
+own_t AS (SELECT host, template, sum(labelled)::BIGINT AS labelled, sum(bad)::BIGINT AS bad, CASE WHEN regexp_extract(host, '([^.]*[.][^.]*)$', 1) = '' THEN host ELSE regexp_extract(host, '([^.]*[.][^.]*)$', 1) END AS dom FROM tr GROUP BY host, template),
+ra AS (SELECT dom, template, {rate} AS rate FROM own_t WHERE labelled > 0),
+ne AS (SELECT dom, template, count(*) AS near_n, sum(rate)::BIGINT AS near_rate FROM ra GROUP BY dom, template),
+wi AS (SELECT template, count(*) AS wide_n, sum(rate)::BIGINT AS wide_rate FROM ra GROUP BY template),
+pu AS (SELECT host, template, {purity} AS purity FROM own_t LEFT JOIN ne USING (dom, template) LEFT JOIN wi USING (template))
+SELECT page_id, lab.host, path, rule, coalesce(said, CASE WHEN pu.purity >= {u.PURITY} THEN 'block' ELSE 'allow' END) AS verdict, tr.template, round(pu.purity, 9) AS purity
+FROM lab LEFT JOIN tr ON tr.host = lab.host AND tr.segs = lab.segs LEFT JOIN pu ON pu.host = tr.host AND pu.template = tr.template
 """

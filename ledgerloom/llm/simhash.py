@@ -8,7 +8,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, slices
@@ -39,13 +39,15 @@ def fingerprint(text: str | None, width: int = SHINGLE) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
-        found = np.fromiter((fingerprint(t) for t in batch.column(1).to_pylist()), np.uint64, batch.num_rows)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+        found = np.fromiter((fingerprint(t) for t in batch.column(0).to_pylist()), np.uint64, batch.num_rows)
+        yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(found.view(np.int64))], [*batch.schema.names[1:], "fp"])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long) for each row of docs; a null text counts as empty."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long")
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", more: dict[str, Column] | None = None) -> DataFrame:
+    """doc_id, the long columns `more` by name, fp (the fingerprint as a signed long) for each row of docs; a null text counts as empty."""
+    more = more or {}
+    own = docs.select(F.col(text_col).cast("string").alias("text"), F.col(id_col).cast("long").alias("doc_id"), *(c.alias(k) for k, c in more.items()))
+    return own.mapInArrow(_fingerprints, "".join(f"{k} long, " for k in ("doc_id", *more)) + "fp long")
 
 
 def covering_masks(radius: int = RADIUS) -> list[int]:
@@ -126,6 +128,15 @@ def near_links(fps: DataFrame, radius: int = RADIUS, wide: int = WIDE) -> DataFr
     return links
 
 
+def components(marked: DataFrame, radius: int, wide: int) -> DataFrame:
+    """fp, component_id for each different fingerprint of marked (doc_id, fp): the smallest doc_id that it reaches over links."""
+    each = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    roots = connected_components(near_links(each, radius, wide), 60).withColumnRenamed("node", "fp")
+    rooted = materialize(each.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return rooted.join(named, "root").select("fp", "component_id")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, wide: int = WIDE) -> DataFrame:
     """doc_id, fp, fingerprint (16 hex digits), component_id for each row of docs.
 
@@ -135,19 +146,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     its component are null. Repeated rows stay repeated; an empty table gives no rows; other columns are ignored.
     """
     marked = materialize(fingerprints(docs, id_col, text_col))
-    each = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = connected_components(near_links(each, radius, wide), 60).withColumnRenamed("node", "fp")
-    rooted = materialize(each.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    label = rooted.join(named, "root").select("fp", "component_id")
-    return marked.join(label, "fp", "left").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return marked.join(components(marked, radius, wide), "fp", "left").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs with one row for each component: the one with the smallest id, and of rows that repeat this id one.
+    """The rows of docs with one row for each component: the one with the smallest id.
 
-    The columns are those of docs. Rows without an id stay, as they can't be told apart.
+    A row is told apart by its id and its text, so an id that comes with two texts is two documents, in two components perhaps. Of
+    different texts of a component's smallest id the one with the least hash stays; of rows that repeat id and text the one with the least hash of
+    all columns. The columns are those of docs, whatever their names. Rows without an id stay, as they can't be told apart; an empty table
+    gives no rows. Only ids and hashes are compared; the rows themselves meet the ids that go (not those that stay) in one join.
     """
-    found = near_duplicates(docs, id_col, text_col).where("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
-    known = docs.join(found, F.col(id_col).cast("long") == F.col("__keep"), "left_semi").dropDuplicates([id_col])
-    return known.unionByName(docs.where(F.col(id_col).isNull()))
+    key = [F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("text_hash")]
+    own = docs.select(F.struct(*docs.columns).alias("row"), *key)
+    known = docs.where(F.col(id_col).isNotNull())
+    marked = materialize(fingerprints(known, id_col, text_col, more={"text_hash": key[1]}).groupBy("doc_id", "text_hash", "fp").agg(F.count("*").alias("times")))
+    label = components(marked, RADIUS, WIDE)
+    named = marked.join(label, "fp")
+    first = named.where(F.col("doc_id") == F.col("component_id")).groupBy("component_id").agg(F.min("text_hash").alias("first"))
+    told = materialize(named.join(first, "component_id").select(F.col("doc_id").alias("id"), "text_hash", "times", ((F.col("doc_id") == F.col("component_id")) & (F.col("text_hash") == F.col("first"))).alias("stays")))
+    gone = told.where(~F.col("stays")).select("id", "text_hash").unionByName(told.where("stays and times > 1").select("id", "text_hash"))
+    kept = own.join(gone, ["id", "text_hash"], "left_anti").select("row.*")
+    again = own.join(told.where("stays and times > 1").select("id", "text_hash"), ["id", "text_hash"], "left_semi")
+    one = again.groupBy("id", "text_hash").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row.*")
+    return kept.unionByName(one)

@@ -86,3 +86,19 @@ def test_empty_table_and_keep_one(spark):
     ids = [r["doc_id"] for r in kept.collect()]
     want = {r["component_id"] for r in simhash.near_duplicates(docs).where(F.col("doc_id").isNotNull()).collect()}
     assert sorted(i for i in ids if i is not None) == sorted(want) and ids.count(None) == 1
+
+
+def test_keep_one_tells_rows_apart_by_id_and_text(spark):
+    """No text is lost because its id comes again, and which row stays doesn't depend on the partitions."""
+    alpha, beta, gamma = ("alpha one two three four", "beta six seven eight nine ten", "gamma a b c d e f")
+    rows = [(5, alpha, "x", 1), (5, beta, "x", 2), (9, gamma, "y", 3), (9, gamma, "y", 0), (3, beta, "z", 4), (7, None, "n", 5), (8, "", "n", 6), (None, gamma, "q", 7)]
+    for parts in (1, 4):
+        docs = spark.createDataFrame(rows, "doc_id long, text string, id string, text_hash int").repartition(parts)
+        kept = simhash.keep_one(docs)
+        assert kept.columns == docs.columns
+        got = {tuple(r) for r in kept.collect()}
+        assert {r[:2] for r in got} == {(5, alpha), (9, gamma), (3, beta), (7, None), (None, gamma)} and len(got) == 5
+        if parts == 1:
+            first = got
+        assert got == first
+    assert simhash.keep_one(docs.where("false")).count() == 0
