@@ -1,7 +1,7 @@
 """Language-model scores from a log-frequency Bloom filter of n-gram counts (Talbot and Osborne, 2007).
 
-A filter holds each n-gram with every level up to that of its quantised count; probing the levels in turn until one is missing gives the
-count back. It is built in segments on the executors. Up to MOST_BITS it is broadcast; a larger one stays in its segments, and what texts ask
+A filter holds each n-gram, those seen once too, with every level up to that of its quantised count; probing the levels in turn until one is
+missing gives the count back. The bits of a level of an n-gram lie in one 64-bit word, so a probe of all of them is one look. It is built in segments on the executors. Up to MOST_BITS it is broadcast; a larger one stays in its segments, and what texts ask
 for is dealt to them. Both give the same counts: no level is ever left out.
 """
 
@@ -15,6 +15,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,9 +28,9 @@ START = np.uint64(0x9E3779B97F4A7C15)
 HEAD, HEAD_BYTES = 1 << 17, 64
 #: Tokens for which one bucket of n-grams is made; bits of a key within its bucket.
 BUCKET, KEY_BITS = 4_000_000, 40
-#: Bits of the filter for each level that is stored, hash functions, and the most bits of a filter that is broadcast.
-BITS, PROBES, MOST_BITS = 10, 5, 1 << 29
-LEAST, BASE = 2, 1.5
+#: Bits of the filter for each level that is stored, bits of a word that each sets, and the most bits of a filter that is broadcast.
+BITS, PROBES, MOST_BITS = 8, 4, 5 << 27
+BASE = 1.5
 #: Tokens of the texts that ask the segments of a spread filter together, about.
 ASKED = 1_000_000
 BINS, RATIOS = 32, 64
@@ -53,13 +54,13 @@ def _key(h: np.ndarray, bits: int) -> np.ndarray:
     return h >> np.uint64(64 - KEY_BITS - bits)
 
 
-#: Least counts of the levels, from level 1 on, and the count that stands for each.
-EDGES = np.unique(np.ceil(LEAST * BASE ** np.arange(100)).astype(np.int64))
+#: Least counts of the levels, from level 1 (seen once) on, and the count that stands for each.
+EDGES = np.unique(np.ceil(BASE ** np.arange(100)).astype(np.int64))
 VALUES = np.concatenate([[0.0], np.sqrt(EDGES[:-1] * np.maximum(EDGES[:-1], EDGES[1:] - 1.0))])
 
 
 def level(counts: np.ndarray) -> np.ndarray:
-    """The quantised count: 0 below LEAST, then one more for each factor BASE."""
+    """The quantised count: 0 for none, then one more for each factor BASE."""
     return np.searchsorted(EDGES, counts, "right")
 
 
@@ -101,7 +102,7 @@ class Tokens(dict):
         """One more than the count of each kept word, as the filter has it; looked up once for each."""
         behind = self.hashes[len(self.ones) :]
         if len(behind):
-            self.ones = np.append(self.ones, np.maximum(grams.value(_mix(behind)), 1))
+            self.ones = np.append(self.ones, grams.value(_mix(behind)) + 1)
         return self.ones
 
 
@@ -169,14 +170,12 @@ def _pairs(bits: int):
 
 
 def _singles(bits: int):
-    """Words with one more than their count, so that the value is at least LEAST and what a missing word counts as is 1."""
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1 << 18):
             h = np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), SEED) for w in batch.column(0).to_pylist()), np.uint64, batch.num_rows)
             keys = _key(_mix(h), bits)
             order = np.argsort(keys, kind="stable")
-            yield _blobs(keys[order], batch.column(1).to_numpy()[order] + 1)
+            yield _blobs(keys[order], batch.column(1).to_numpy()[order])
 
     return run
 
@@ -192,58 +191,60 @@ def _reduced(table: pa.Table) -> pa.Table:
     return pa.table([pa.array([table["bucket"][0].as_py()], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (low, high, levels)), pa.array([np.bincount(levels, minlength=100).tolist()], pa.list_(pa.int64()))], schema=pa.schema(kinds))
 
 
-def _hashes(keys: np.ndarray, lev: int) -> tuple[np.ndarray, np.ndarray]:
-    """The two 32-bit hashes that make all probes of these keys at a level."""
-    h = _mix(keys * np.uint64(64) + np.uint64(lev))
-    return h & np.uint64(0xFFFFFFFF), (h >> np.uint64(32)) | np.uint64(1)
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of a partition, which are those of one bucket, to that bucket's keys and levels."""
+    table = pa.Table.from_batches(list(batches), schema=BLOBS)
+    for bucket in sorted(set(table["bucket"].to_pylist())):
+        yield from _reduced(table.filter(pa.compute.equal(table["bucket"], bucket))).to_batches()
 
 
-def _place(a: np.ndarray, b: np.ndarray, probe: int, size: int) -> np.ndarray:
-    """The bit of a segment of `size` bits (less than 2^32) for a probe."""
-    return (((a + np.uint64(probe) * b) & np.uint64(0xFFFFFFFF)) * np.uint64(size)) >> np.uint64(32)
+def _words_of(keys: np.ndarray, lev: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The 64-bit word, of a segment's `size` bits, that these keys have at a level, and their bits in it."""
+    h = _mix(keys * np.uint64(64) + np.uint64(lev))
+    word = ((h >> np.uint64(32)) * np.uint64(size // 64)) >> np.uint64(32)
+    bits = np.zeros(len(h), np.uint64)
+    for probe in range(PROBES):
+        bits |= np.uint64(1) << ((h >> np.uint64(6 * probe)) & np.uint64(63))
+    return word.view(np.int64), bits
 
 
-def _segments(size: int, drop: int):
+def _segments(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
             row = {k: v[0] for k, v in batch.to_pydict().items()}
-            keys, levels = _unblob(row["low"], row["high"]), np.frombuffer(row["level"], np.uint8).astype(int) - drop
-            marks = np.zeros(size, np.uint8)
-            for lev in range(1, levels.max(initial=0) + 1):
-                a, b = _hashes(keys[levels >= lev], lev)
-                for probe in range(PROBES):
-                    marks[_place(a, b, probe, size)] = 1
-            yield pa.RecordBatch.from_arrays([pa.array([row["bucket"]], pa.int32()), pa.array([np.packbits(marks, bitorder="little").tobytes()], pa.binary())], ["bucket", "bits"])
+            keys, levels = _unblob(row["low"], row["high"]), np.frombuffer(row["level"], np.uint8)
+            marks = np.zeros(size // 64, np.uint64)
+            for lev in range(1, int(levels.max(initial=0)) + 1):
+                np.bitwise_or.at(marks, *_words_of(keys[levels >= lev], lev, size))
+            yield pa.RecordBatch.from_arrays([pa.array([row["bucket"]], pa.int32()), pa.array([marks.astype("<u8").tobytes()], pa.binary())], ["bucket", "bits"])
 
     return run
 
 
 class Filter:
-    """The log-frequency Bloom filter: (segment, byte) and what its levels mean."""
+    """The log-frequency Bloom filter: the 64-bit words of its segments one after the other, and its top level."""
 
-    def __init__(self, bits: int, size: int, drop: int, top: int, marks: np.ndarray):
-        self.bits, self.size, self.drop, self.top, self.marks = bits, size, drop, top, marks
+    def __init__(self, bits: int, size: int, top: int, marks: np.ndarray):
+        self.bits, self.size, self.top, self.marks = bits, size, top, marks
 
     def levels(self, bucket: np.ndarray, keys: np.ndarray) -> np.ndarray:
         """The level of each key (without its bucket's bits) in that segment; 0 if it isn't in the filter."""
-        bucket = bucket.astype(np.int64) * (self.size // 8)
+        first = bucket.astype(np.int64) * (self.size // 64)
         levels, alive = np.zeros(len(keys), np.int64), np.arange(len(keys))
         for lev in range(1, self.top + 1):
-            a, b = _hashes(keys, lev)
-            for probe in range(PROBES):
-                place = _place(a, b, probe, self.size).view(np.int64)
-                hit = np.flatnonzero((self.marks[bucket + (place >> 3)] >> (place & 7).astype(np.uint8)) & 1)
-                if len(hit) < len(alive):
-                    alive, keys, bucket, a, b = alive[hit], keys[hit], bucket[hit], a[hit], b[hit]
-            if not len(alive):
+            word, bits = _words_of(keys, lev, self.size)
+            hit = np.flatnonzero(self.marks[first + word] & bits == bits)
+            if not len(hit):
                 break
+            if len(hit) < len(alive):
+                alive, keys, first = alive[hit], keys[hit], first[hit]
             levels[alive] = lev
-        return np.where(levels, levels + self.drop, 0)
+        return levels
 
     def value(self, h: np.ndarray) -> np.ndarray:
         """The count that each hash's level stands for; 0 if it isn't in the filter."""
         keys = _key(h, self.bits)
-        return VALUES[self.levels(keys >> np.uint64(KEY_BITS), keys & np.uint64((1 << KEY_BITS) - 1))]
+        return VALUES[self.levels((keys >> np.uint64(KEY_BITS)).view(np.int64), keys & np.uint64((1 << KEY_BITS) - 1))]
 
 
 class Answers:
@@ -339,8 +340,8 @@ def _answered(bits: int, size: int, top: int):
     def run(asked: pa.Table, segment: pa.Table) -> pa.Table:
         if not asked.num_rows:
             return ANSWERS.empty_table()
-        marks = np.frombuffer(segment["bits"][0].as_py(), np.uint8) if segment.num_rows else np.zeros(size // 8, np.uint8)
-        grams, out = Filter(bits, size, 0, top, marks), []
+        marks = np.frombuffer(segment["bits"][0].as_py(), "<u8") if segment.num_rows else np.zeros(size // 64, np.uint64)
+        grams, out = Filter(bits, size, top, marks), []
         for low, high in zip(asked["low"], asked["high"], strict=True):
             keys = _unblob(low.as_py(), high.as_py())
             out.append(grams.levels(np.zeros(len(keys), np.int64), keys).astype(np.uint8).tobytes())
@@ -432,19 +433,19 @@ def train(docs: DataFrame, most_bits: int = MOST_BITS) -> tuple[Model, DataFrame
     bits = max(3, math.ceil(math.log2(max(1, n_tokens / BUCKET))))
     schema = "bucket int, low binary, high binary, n binary"
     blobs = text.select("text").mapInArrow(_pairs(bits), schema).unionByName(words.select("word", "n").mapInArrow(_singles(bits), schema))
-    kept = materialize(blobs.repartition(1 << bits, "bucket").groupBy("bucket").applyInArrow(_reduced, "bucket int, low binary, high binary, level binary, histogram array<long>"))
+    kept = materialize(blobs.repartitionById(1 << bits, F.col("bucket")).mapInArrow(_buckets, "bucket int, low binary, high binary, level binary, histogram array<long>"))
     histogram = np.zeros(100, np.int64)
     for r in kept.select(F.posexplode("histogram").alias("level", "n")).groupBy("level").agg(F.sum("n").alias("n")).collect():
         histogram[r["level"]] = r["n"]
     stored = int((histogram * np.arange(100)).sum())
     size = -(-max(stored * BITS, 1 << 12) // (1 << bits) // 64) * 64 + 64
-    made = materialize(kept.select("bucket", "low", "high", "level").mapInArrow(_segments(size, 0), "bucket int, bits binary"))
+    made = materialize(kept.select("bucket", "low", "high", "level").mapInArrow(_segments(size), "bucket int, bits binary"))
     top, spread = int(np.flatnonzero(histogram).max(initial=0)), stored * BITS > most_bits
-    marks = np.zeros((0 if spread else 1 << bits, size // 8), np.uint8)
+    marks = np.zeros((0 if spread else 1 << bits, size // 64), np.uint64)
     if not spread:
         for r in made.toLocalIterator():  # a part at a time, so that the driver holds the bits about once
-            marks[r["bucket"]] = np.frombuffer(r["bits"], np.uint8)
-    model = Model(Filter(bits, size, 0, top, marks.ravel()), head, n_tokens, n_words, n_texts, np.full(BINS, 0.1), made if spread else None)
+            marks[r["bucket"]] = np.frombuffer(r["bits"], "<u8")
+    model = Model(Filter(bits, size, top, marks.ravel()), head, n_tokens, n_words, n_texts, np.full(BINS, 0.1), made if spread else None)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     source = text.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     table = np.zeros((BINS, RATIOS))

@@ -39,6 +39,32 @@ def test_bloom_lm_base_is_exact(spark, monkeypatch):
     assert copy > 0  # pairs that come again make the texts likelier
 
 
+def test_bloom_lm_score_is_the_mixture(spark, monkeypatch):
+    """The score against counts held exactly and quantised alike; pairs seen once count. A wide filter leaves almost no false hits."""
+    monkeypatch.setattr(bloomlm, "BITS", 64)
+    docs = corpus.docs(spark)
+    model, words = bloomlm.train(docs)
+    tokens = lambda t: [*(t or "").encode().lower().split(), b"\n"]
+    single = Counter(w for r in corpus.rows() for w in tokens(r[1]))
+    pairs = Counter(p for r in corpus.rows() for p in zip([None, *tokens(r[1])], tokens(r[1])))
+    value = lambda c: float(bloomlm.VALUES[bloomlm.level(np.array([c]))[0]])
+    assert value(0) == 0 and value(1) == 1 and value(2) == 2 and min(pairs.values()) == 1
+
+    def brute(text):
+        total, before = 0.0, None
+        for w in tokens(text):
+            past = value(single[before]) if before is not None else float(model.texts)
+            weight = model.weights[int(np.log2(past + 1))]
+            total += math.log10(weight * min(value(pairs[before, w]), past) / max(past, 1) + (1 - weight) * (value(single[w]) + 1) / (model.tokens + model.words + 1))
+            before = w
+        return total
+
+    text = {r[0]: r[1] for r in corpus.rows()}
+    got = bloomlm.score(docs, model, words).collect()
+    assert np.mean([math.isclose(g["score"], brute(text[g["doc_id"]]), rel_tol=1e-6) for g in got]) > 0.95
+    assert all(math.isclose(g["score"], brute(text[g["doc_id"]]), rel_tol=1e-2) for g in got)
+
+
 def test_bloom_lm_spread_filter_keeps_every_level(spark, monkeypatch):
     """A filter beyond the bound scores as one within it."""
     monkeypatch.setattr(bloomlm, "ASKED", 2000)
@@ -56,18 +82,18 @@ def test_bloom_filter_gives_counts_back():
     bits, size = 3, 1 << 16
     r = np.random.default_rng(1)
     h = r.integers(0, 1 << 63, 500, np.int64).astype(np.uint64)
-    counts = r.integers(2, 5000, 500)
+    counts = r.integers(1, 5000, 500)
     keys = np.sort(bloomlm._key(h, bits))
     order = np.argsort(bloomlm._key(h, bits), kind="stable")
-    marks = np.zeros((1 << bits, size // 8), np.uint8)
+    marks = np.zeros((1 << bits, size // 64), np.uint64)
     import pyarrow as pa
 
     blobs = bloomlm._blobs(keys, counts[order])
     for row in pa.Table.from_batches([blobs]).to_pylist():
         table = bloomlm._reduced(pa.Table.from_pylist([row, row], schema=bloomlm.BLOBS))  # counts of two tasks add up
-        seg = next(bloomlm._segments(size, 0)(iter([table.select(["bucket", "low", "high", "level"]).to_batches()[0]])))
-        marks[row["bucket"]] = np.frombuffer(seg.column(1)[0].as_py(), np.uint8)
-    f = bloomlm.Filter(bits, size, 0, 40, marks.ravel())
+        seg = next(bloomlm._segments(size)(iter([table.select(["bucket", "low", "high", "level"]).to_batches()[0]])))
+        marks[row["bucket"]] = np.frombuffer(seg.column(1)[0].as_py(), "<u8")
+    f = bloomlm.Filter(bits, size, 40, marks.ravel())
     got = f.value(h)
     assert np.mean(got == bloomlm.VALUES[bloomlm.level(2 * counts)]) > 0.97
     assert np.mean(f.value(r.integers(0, 1 << 63, 5000, np.int64).astype(np.uint64)) == 0) > 0.97
