@@ -5,7 +5,7 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
@@ -20,7 +20,9 @@ from .common import slices
 
 RANKS, PATTERN = "byte_bpe_50k.tiktoken", public_tokenizers.PATTERN
 #: Characters of a chunk, and of it those that it shares with the next one.
-CHUNK, OVERLAP = 1 << 16, 1 << 10
+CHUNK, OVERLAP = 1 << 12, 1 << 8
+#: Characters from which a text's chunks are dealt over all tasks; those of a shorter one are worked on where it is.
+DEALT = 1 << 20
 #: Characters after a piece that can change how the pattern ends it.
 AHEAD = 3
 #: Pieces whose ids a task keeps.
@@ -69,12 +71,9 @@ class Codec(dict):
     def encode_pieces(self, pieces: list[str]) -> list[int]:
         return list(chain.from_iterable(map(self.__getitem__, pieces)))
 
-    def encode(self, text: str) -> list[int]:
-        """The ids of one chunk: the library cuts it by the same pattern and merges its pieces; what that can't take goes piece by piece."""
-        try:
-            return self.library.encode_ordinary(text)
-        except Exception:  # noqa: BLE001  it gives up on some very long runs
-            return self.encode_pieces(self.pattern.findall(text))
+    def encode(self, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[int]:
+        """The ids of a text: its chunks are pre-tokenised, stitched, and the pieces encoded."""
+        return self.encode_pieces(self.stitched([(at, part, self.ends(part)) for at, part in chunks_of(text, chunk, overlap)]))
 
     def ends(self, text: str) -> np.ndarray:
         """Where the pieces of a text end."""
@@ -85,43 +84,57 @@ class Codec(dict):
 
         A piece of a chunk counts if the pattern could not see the chunk's end from it. From the first place after which
         two neighbours agree, the later one holds, as the pattern looks only ahead. Where they agree nowhere (one piece fills the
-        overlap), the later chunk is cut again from the last sure place.
+        overlap), the text is cut again from the last sure place, with as much more of it as there was, so a very long piece takes
+        linear time.
         """
         pieces: list[str] = []
         start, text, ends = chunks[0]
-        at = start
-        for following in [*chunks[1:], None]:
-            if following is None:
-                cut = ends
-            else:
-                sure = ends[ends + AHEAD <= len(text)]
-                place, more, more_ends = following
-                both = np.intersect1d(sure + start, np.append(more_ends + place, place), assume_unique=True)
-                both = both[both >= max(place, at)]
-                cut = sure if not len(both) else sure[sure + start <= both[0]]
-            cut = cut[cut + start > at]
-            for end in cut.tolist():
-                pieces.append(text[at - start : end])
-                at = start + end
-            if following is not None:
-                if len(both):
-                    start, text, ends = following
-                else:
-                    text = text[at - start : place - start] + more if at < place else more[at - place :]
-                    start, ends = at, self.ends(text)
+        at, following = start, 1
+
+        def take(cut: np.ndarray) -> None:
+            nonlocal at
+            own = cut[cut + start > at].tolist()
+            pieces.extend(text[a:b] for a, b in zip([at - start, *own], own, strict=False))
+            at = start + own[-1] if own else at
+
+        while following < len(chunks):
+            sure = ends[ends + AHEAD <= len(text)]
+            place, _, more_ends = chunks[following]
+            both = np.intersect1d(sure + start, np.append(more_ends + place, place), assume_unique=True)
+            both = both[both >= max(place, at)]
+            take(sure[sure + start <= both[0]] if len(both) else sure)
+            if len(both):
+                start, text, ends = chunks[following]
+                following += 1
+                continue
+            grown, reach = [text[at - start :]], start + len(text)
+            wanted = at + 2 * len(grown[0])
+            while following < len(chunks) and (reach < wanted or len(grown) == 1):
+                place, more, _ = chunks[following]
+                grown.append(more[reach - place :])
+                reach, following = place + len(more), following + 1
+            start, text = at, "".join(grown)
+            ends = self.ends(text)
+        take(ends)
         return pieces
 
 
+def chunks_of(text: str, chunk: int, overlap: int) -> Iterator[tuple[int, str]]:
+    """(place, text) of the overlapping chunks of a text; an empty one has one empty chunk."""
+    for at in range(0, max(1, len(text) - overlap), chunk - overlap):
+        yield at, text[at : at + chunk]
+
+
 @lru_cache(maxsize=4)
 def codec(ranks_path: str, pattern: str = PATTERN) -> Codec:
     return Codec(ranks_path, pattern)
 
 
-def _whole(path: str, pattern: str):
+def _whole(path: str, pattern: str, chunk: int, overlap: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
         for batch in slices(batches, 256):
-            ids = [np.array(c.encode(t or ""), np.int32) for t in batch.column(1).to_pylist()]
+            ids = [np.array(c.encode(t, chunk, overlap), np.int32) for t in batch.column(1).to_pylist()]
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))], ["doc_id", "ids"])
 
@@ -132,8 +145,9 @@ def _chunked(chunk: int, overlap: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 16):
             for row, doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for at in range(0, max(1, len(text) - overlap), chunk - overlap):
-                    yield pa.RecordBatch.from_pylist([{"row": row, "doc_id": doc_id, "at": at, "text": text[at : at + chunk]}], pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int64()), ("text", pa.string())]))
+                every = chunks_of(text, chunk, overlap)
+                while part := list(islice(every, 256)):
+                    yield pa.RecordBatch.from_pylist([{"row": row, "doc_id": doc_id, "at": at, "text": own} for at, own in part], pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int64()), ("text", pa.string())]))
 
     return run
 
@@ -158,16 +172,16 @@ def _joined(path: str, pattern: str):
     return run
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str = PATTERN, chunk: int = CHUNK, overlap: int = OVERLAP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, pattern: str = PATTERN, chunk: int = CHUNK, overlap: int = OVERLAP, dealt: int = DEALT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids for each row of docs: the ids of its whole text, as the tiktoken library gives them without special tokens.
 
-    Texts of up to `chunk` characters are one chunk. Longer ones are cut into overlapping chunks that are dealt over all
-    tasks and pre-tokenised there; one task per text then stitches and encodes them. A null text counts as empty
-    and has no ids. Repeated rows stay repeated, a null doc_id stays null, an empty table gives no rows, other columns are ignored.
+    Every text is cut into overlapping chunks, which are pre-tokenised, stitched and encoded by piece. Texts of more than `dealt` characters
+    have their chunks dealt over all tasks for the first step; one task per text then stitches and encodes them. A null text
+    counts as empty and has no ids. Repeated rows stay repeated, a null doc_id stays null, an empty table gives no rows, other columns are ignored.
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    short = source.where(F.length("text") <= chunk).mapInArrow(_whole(ranks_path, pattern), "doc_id long, ids array<int>")
-    long = source.where(F.length("text") > chunk).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    short = source.where(F.length("text") <= dealt).mapInArrow(_whole(ranks_path, pattern, chunk, overlap), "doc_id long, ids array<int>")
+    long = source.where(F.length("text") > dealt).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     parts = long.mapInArrow(_chunked(chunk, overlap), "row long, doc_id long, at long, text string").repartition("row", "at")
     ended = parts.mapInArrow(_pretokenised(ranks_path, pattern), "row long, doc_id long, at long, text string, ends array<int>")
     return short.unionByName(ended.groupBy("row").applyInPandas(_joined(ranks_path, pattern), "doc_id long, ids array<int>"))

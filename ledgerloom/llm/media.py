@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
-from collections.abc import Iterator
-from functools import lru_cache
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
+from functools import cached_property, lru_cache
 
 import ahocorasick
 import numpy as np
@@ -21,86 +23,139 @@ MAGIC = {"audio/wav": b"RIFF", "image/bmp": b"BM", "image/png": b"\x89PNG\r\n\x1
 UNIT, HEADER = 192, 44
 
 
-def _wav(data: bytes, at: int) -> int:
-    """Bytes of the WAV file at this place; 0 if there is none. Its chunks must fill the declared length."""
-    if len(data) < at + 12 or data[at + 8 : at + 12] != b"WAVE":
+class Bytes:
+    """The bytes that are sniffed, with what the validators look up more than once: places of end markers, each searched for once, and how
+    chains of blocks end. So all validators together take linear time, however many magic bytes there are."""
+
+    def __init__(self, data: bytes):
+        self.data = data
+        self.places: dict[bytes, list[int]] = {}
+        self.chains: dict[tuple[str, int], int] = {}
+
+    def next(self, marker: bytes, at: int) -> int:
+        """The first place of the marker from `at` on; -1 if there is none."""
+        if marker not in self.places:
+            self.places[marker] = [m.start() for m in re.finditer(re.escape(marker), self.data)]
+        found = self.places[marker]
+        k = bisect_left(found, at)
+        return found[k] if k < len(found) else -1
+
+    def chain(self, kind: str, at: int, step: Callable[[int], tuple[int, bool]]) -> int:
+        """Where the chain of step(place) -> (next place or result, whether it goes on) ends. Every 32nd place is kept: chains that meet
+        go on alike."""
+        seen, place, on, n = [], at, True, 0
+        while on:
+            if (kind, place) in self.chains:
+                place = self.chains[kind, place]
+                break
+            if n % 32 == 0:
+                seen.append(place)
+            place, on = step(place)
+            n += 1
+        for x in seen:
+            self.chains[kind, x] = place
+        return place
+
+    @cached_property
+    def archives(self) -> dict[int, int]:
+        """Start of each archive whose end record says where it begins, and the end of the first such record."""
+        found: dict[int, int] = {}
+        self.next(b"PK\x05\x06", 0)
+        for end in self.places[b"PK\x05\x06"]:
+            if end + 22 <= len(self.data):
+                size, offset, note = struct.unpack_from("<IIH", self.data, end + 12)
+                if end + 22 + note <= len(self.data):
+                    found.setdefault(end - offset - size, end + 22 + note)
+        return found
+
+
+def _wav(b: Bytes, at: int) -> int:
+    """Bytes of the WAV file at this place; 0 if there is none. Its chunks, the first of them fmt, must fill the declared length."""
+    data = b.data
+    if len(data) < at + 16 or data[at + 8 : at + 16] != b"WAVEfmt ":
         return 0
     end = at + 8 + struct.unpack_from("<I", data, at + 4)[0]
-    place, kinds = at + 12, []
-    while place + 8 <= min(end, len(data)):
+    if end > len(data):
+        return 0
+    place, sound = at + 12, False
+    while place + 8 <= end:
         kind, n = struct.unpack_from("<4sI", data, place)
-        kinds.append(kind)
+        sound |= kind == b"data"
         place += 8 + n + n % 2
-    return end - at if end <= len(data) and place == end and kinds[:1] == [b"fmt "] and b"data" in kinds else 0
+    return end - at if place == end and sound else 0
 
 
-def _bmp(data: bytes, at: int) -> int:
-    if len(data) < at + 26:
+def _bmp(b: Bytes, at: int) -> int:
+    if len(b.data) < at + 26:
         return 0
-    size, _, _, offset, header = struct.unpack_from("<IHHII", data, at + 2)
-    return size if header in (12, 40, 108, 124) and 14 + header <= offset <= size and at + size <= len(data) else 0
+    size, _, _, offset, header = struct.unpack_from("<IHHII", b.data, at + 2)
+    return size if header in (12, 40, 108, 124) and 14 + header <= offset <= size and at + size <= len(b.data) else 0
+
 
+def _png(b: Bytes, at: int) -> int:
+    data = b.data
 
-def _png(data: bytes, at: int) -> int:
-    place = at + 8
-    first = True
-    while place + 12 <= len(data):
+    def step(place: int) -> tuple[int, bool]:
+        if place + 12 > len(data):
+            return 0, False
         n, kind = struct.unpack_from(">I4s", data, place)
-        if place + 12 + n > len(data) or (first and (kind, n) != (b"IHDR", 13)) or zlib.crc32(data[place + 4 : place + 8 + n]) != struct.unpack_from(">I", data, place + 8 + n)[0]:
-            return 0
-        place, first = place + 12 + n, False
-        if kind == b"IEND":
-            return place - at
-    return 0
+        if place + 12 + n > len(data) or zlib.crc32(data[place + 4 : place + 8 + n]) != struct.unpack_from(">I", data, place + 8 + n)[0]:
+            return 0, False
+        return place + 12 + n, kind != b"IEND"
 
+    if data[at + 8 : at + 16] != b"\0\0\0\rIHDR":
+        return 0
+    return max(0, b.chain("png", at + 8, step) - at)
 
-def _gif(data: bytes, at: int) -> int:
+
+def _gif(b: Bytes, at: int) -> int:
+    data = b.data
     if data[at + 4 : at + 6] not in (b"7a", b"9a") or len(data) < at + 14:
         return 0
-    flags = data[at + 10]
-    place = at + 13 + (3 << ((flags & 7) + 1) if flags & 128 else 0)
-    while place < len(data):
+
+    def rows(place: int) -> tuple[int, bool]:  # sub-blocks up to the empty one
+        return (place + data[place] + 1, True) if place < len(data) and data[place] else (place + 1, False)
+
+    def block(place: int) -> tuple[int, bool]:
+        if place >= len(data):
+            return 0, False
         kind = data[place]
         if kind == 0x3B:
-            return place + 1 - at
+            return place + 1, False
         if kind == 0x21:
-            place += 2
-        elif kind == 0x2C and place + 10 <= len(data):
+            return b.chain("gif rows", place + 2, rows), True
+        if kind == 0x2C and place + 10 <= len(data):
             local = data[place + 9]
-            place += 11 + (3 << ((local & 7) + 1) if local & 128 else 0)
-        else:
-            return 0
-        while place < len(data) and data[place]:
-            place += data[place] + 1
-        place += 1
-    return 0
-
-
-def _jpeg(data: bytes, at: int) -> int:
-    place = at + 2
-    while place + 4 <= len(data) and data[place] == 0xFF:
-        kind = data[place + 1]
-        place += 2 + struct.unpack_from(">H", data, place + 2)[0]
-        if kind == 0xDA:  # coded data up to the end marker
-            end = data.find(b"\xff\xd9", place)
-            return end + 2 - at if end >= 0 else 0
-    return 0
-
-
-def _zip(data: bytes, at: int) -> int:
+            return b.chain("gif rows", place + 11 + (3 << ((local & 7) + 1) if local & 128 else 0), rows), True
+        return 0, False
+
+    flags = data[at + 10]
+    return max(0, b.chain("gif", at + 13 + (3 << ((flags & 7) + 1) if flags & 128 else 0), block) - at)
+
+
+def _jpeg(b: Bytes, at: int) -> int:
+    data = b.data
+
+    def segment(place: int) -> tuple[int, bool]:
+        if place + 4 > len(data) or data[place] != 0xFF:
+            return 0, False
+        after = place + 2 + struct.unpack_from(">H", data, place + 2)[0]
+        if data[place + 1] != 0xDA:
+            return after, True
+        end = b.next(b"\xff\xd9", after)  # coded data up to the end marker
+        return (end + 2 if end >= 0 else 0), False
+
+    return max(0, b.chain("jpeg", at + 2, segment) - at)
+
+
+def _zip(b: Bytes, at: int) -> int:
     """Up to the end record whose directory lies where it says, counted from this place."""
-    end = data.find(b"PK\x05\x06", at)
-    while end >= 0 and end + 22 <= len(data):
-        size, offset, note = struct.unpack_from("<IIH", data, end + 12)
-        if at + offset + size == end and end + 22 + note <= len(data):
-            return end + 22 + note - at
-        end = data.find(b"PK\x05\x06", end + 4)
-    return 0
+    return max(0, b.archives.get(at, 0) - at)
 
 
-def _pdf(data: bytes, at: int) -> int:
-    end = data.find(b"%%EOF", at)
-    return end + 5 - at if end >= 0 and data.find(b"startxref", at, end) >= 0 else 0
+def _pdf(b: Bytes, at: int) -> int:
+    end, start = b.next(b"%%EOF", at), b.next(b"startxref", at)
+    return end + 5 - at if 0 <= start and start + 9 <= end else 0
 
 
 VALID = {"audio/wav": _wav, "image/bmp": _bmp, "image/png": _png, "image/gif": _gif, "image/jpeg": _jpeg, "application/zip": _zip, "application/pdf": _pdf}
@@ -120,10 +175,10 @@ def sniff(data: bytes) -> list[tuple[str, int, int]]:
 
     One pass of the automaton finds all magic bytes; those whose format's structure and lengths don't hold are dropped.
     """
-    found = []
+    found, b = [], Bytes(data)
     for last, (kind, n) in _automaton().iter(data.decode("latin-1")):
         start = last - n + 1
-        if length := VALID[kind](data, start):
+        if length := VALID[kind](b, start):
             found.append((kind, start, length))
     return sorted(found, key=lambda x: (x[1], -x[2], x[0]))
 
@@ -191,7 +246,11 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_media(media: DataFrame) -> DataFrame:
-    """Digests and features of what the media of to_media() hold, from the stored bytes."""
+    """Digests and features of what the media of to_media() hold, from the stored bytes.
+
+    Repeated rows stay repeated and read alike, a null doc_id stays null, an empty table gives no rows, other columns are ignored;
+    bytes that are no stored payload are an error.
+    """
     return media.select("doc_id", "n_bytes", "media").mapInArrow(_read, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 

@@ -4,6 +4,7 @@ import hashlib
 import io
 import re
 import struct
+import time
 import zipfile
 import zlib
 
@@ -25,15 +26,31 @@ def library():
     return bpe.codec(RANKS).library
 
 
-@pytest.mark.parametrize("chunk", [64, 1 << 16])
-def test_bpe_is_the_library(spark, library, chunk):
+@pytest.mark.parametrize("chunk, overlap, dealt", [(64, 16, 100), (64, 16, 1 << 20), (bpe.CHUNK, bpe.OVERLAP, bpe.DEALT)])
+def test_bpe_is_the_library(spark, library, chunk, overlap, dealt):
     docs = corpus.docs(spark)
-    got = bpe.decode(bpe.encode(docs, RANKS, chunk=chunk, overlap=16 if chunk == 64 else 1024), RANKS).collect()
+    got = bpe.decode(bpe.encode(docs, RANKS, chunk=chunk, overlap=overlap, dealt=dealt), RANKS).collect()
     want = sorted((str(r[0]), " ".join(map(str, library.encode_ordinary(r[1] or ""))), (r[1] or "").encode()) for r in corpus.rows())
     assert sorted((str(g["doc_id"]), g["decimal"], bytes(g["raw"])) for g in got) == want
     assert bpe.encode(corpus.empty(spark), RANKS).count() == 0
 
 
+def took(run, *args):
+    began = time.process_time()
+    run(*args)
+    return time.process_time() - began
+
+
+def test_linear_time_on_any_text():
+    """Four times the text takes about four times as long: one-letter runs, spaces, and magic bytes without end."""
+    c = bpe.codec(RANKS)
+    c.encode("a" * 10_000)
+    for unit in ("a", " ", "ab1 ", "\n"):
+        assert took(c.encode, unit * (4_000_000 // len(unit))) < 8 * max(0.3, took(c.encode, unit * (1_000_000 // len(unit)))), unit
+    for unit in (b"%PDF-", b"%PDF-startxref", b"PK\x03\x04", b"PK\x05\x06 PK\x03\x04", b"GIF87a!,!0!,!", b"BM", b"RIFFabcdWAVEfmt ", b"\x89PNG\r\n\x1a\n\0\0\0\rIHDR"):
+        assert took(media.sniff, unit * (4_000_000 // len(unit))) < 8 * max(0.3, took(media.sniff, unit * (1_000_000 // len(unit)))), unit
+
+
 def test_stitching_any_cut():
     c = bpe.codec(RANKS)
     text = "It's  we'll see\n\n\n'll 123abc  ...!? \t x" * 7 + "a" * 90 + " " * 50 + "end"
@@ -138,7 +155,10 @@ def test_media_round_trip(spark):
         padded = raw + b" " * (-len(raw) % 192 or 192 * (not raw))
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-16:]))
         stored = media.store(padded)
-        assert (r["media_bytes"], r["media_sha256"]) == (len(stored), hashlib.sha256(stored).hexdigest()) and r["feature"].startswith("audio/wav;")
+        assert (r["media_bytes"], r["media_sha256"]) == (len(stored), hashlib.sha256(stored).hexdigest()) 
+        x = list(padded)
+        steps = sum(abs(a - b) for a, b in zip(x, x[1:]))
+        assert r["feature"] == f"audio/wav;samples={len(x)};level={sum(x) * 1000 // len(x)};step={steps * 1000 // (len(x) - 1)};inside="
     assert media.to_media(corpus.empty(spark)).count() == 0
 
 
