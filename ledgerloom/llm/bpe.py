@@ -200,5 +200,8 @@ def _decoded(path: str, pattern: str):
 
 
 def decode(encoded: DataFrame, ranks_path: str, pattern: str = PATTERN) -> DataFrame:
-    """doc_id, raw (the bytes that the ids stand for), decimal (the ids with one space between), n_tokens for each row of encode()."""
+    """doc_id, raw (the bytes that the ids stand for), decimal (the ids with one space between), n_tokens for each row of encode().
+
+    No ids give no bytes and an empty decimal. Repeated rows stay repeated, a null doc_id stays null, an empty table gives no rows.
+    """
     return encoded.select("doc_id", "ids").mapInArrow(_decoded(ranks_path, pattern), "doc_id long, raw binary, decimal string, n_tokens long")

@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 from .common import slices
 
 UNKNOWN = "und"
-#: The bounded sample: documents of a language, whole, and words kept of a language, at most.
-DOCS, WORDS = 800, 40_000
-LONGEST, SMOOTH, PARTS = 5, 0.5, 32
+#: The bounded sample: rows of a language, whole, their characters together, and languages (the most frequent ones), at most. It is dealt
+#: into PARTS by hash; a row that is longer than its part's characters, or goes beyond them, is left out.
+DOCS, CHARS, LANGS, PARTS = 800, 1 << 25, 256, 32
+LONGEST, SMOOTH = 5, 0.5
 WORD = re.compile(r"[^\W\d_]+")
 #: Words whose vector a task keeps.
 KEPT = 200_000
@@ -105,24 +106,29 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], ["lang", "word", "n"])
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = DOCS, words: int = WORDS) -> Model:
-    """Fit on a bounded sample of rows with text and language: `per_lang` of each language at most, dealt into PARTS by hash, and of each part
-    those whose id hashes lowest.
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = DOCS, chars: int = CHARS, langs: int = LANGS) -> Model:
+    """Fit on a bounded sample of rows with text and language: `per_lang` rows of each language with `chars` characters at most, dealt into
+    PARTS by hash, and of each part those whose id hashes lowest; and of at most `langs` languages, the most frequent ones.
 
-    Words are counted on the executors and dealt into PARTS by hash; the driver gets the most frequent of each part, `words` of a language at most.
+    The rows are read whole, and all of their words count: on the executors, so that the driver gets a row for each different word. A
+    repeated row counts once. An empty table, or one without languages, gives a model that knows none.
     """
-    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
-    order = Window.partitionBy("lang", "part").orderBy(F.xxhash64("doc_id"), "doc_id")
-    dealt = own.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id", "lang"), F.lit(PARTS)).alias("part"))
-    chosen = dealt.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= per_lang // PARTS)
-    sample = own.join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi")
+    text = F.col(text_col).cast("string")
+    own = docs.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), text.alias("text"), F.xxhash64(text).alias("text_hash"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
+    known = [r["lang"] for r in own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(langs).collect()]
+    if not known:
+        return Model([], {})
+    order = Window.partitionBy("lang", "part").orderBy("h", "id", "text_hash")
+    key = ["id", "text_hash", "lang"]
+    dealt = own.where(F.col("lang").isin(known)).select(*key, F.length("text").alias("n"), F.xxhash64("id").alias("h"), F.pmod(F.xxhash64("id", "lang"), F.lit(PARTS)).alias("part")).where(F.col("n") <= chars // PARTS)
+    first = dealt.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= per_lang // PARTS)
+    chosen = first.withColumn("so_far", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("so_far") <= chars // PARTS)
+    sample = own.join(F.broadcast(chosen.select(key).distinct()), key, "left_semi").groupBy(key).agg(F.max("text").alias("text"))
     counted = sample.select("lang", "text").mapInArrow(_counted, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    most = Window.partitionBy("lang", "part").orderBy(F.desc("n"), "word")
     counts: dict[str, dict[str, int]] = defaultdict(dict)
-    parts = counted.where(F.length("word") <= 64).withColumn("part", F.pmod(F.xxhash64("word"), F.lit(PARTS)))
-    for r in parts.withColumn("nth", F.row_number().over(most)).where(F.col("nth") <= words // PARTS).collect():
+    for r in counted.collect():
         counts[r["lang"]][r["word"]] = r["n"]
-    return Model(sorted(counts), counts)
+    return Model(sorted(counts), {k: dict(sorted(v.items())) for k, v in counts.items()})
 
 
 def _classified(shared):
@@ -140,7 +146,7 @@ def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     A null text, one without a letter, or a model without languages gives `und` and 0. Ties go to the language that sorts first.
     Repeated rows stay repeated, a null doc_id stays null, an empty table gives no rows, other columns are ignored. The
-    model's size is bounded by the number of languages and WORDS, so it is broadcast.
+    model's size is bounded by its sample, so it is broadcast.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -160,5 +166,9 @@ def _kept(shared, lowest: float):
 
 
 def keep_known(docs: DataFrame, model: Model, lowest: float = 0.5) -> DataFrame:
-    """The rows of docs whose language is told with a score of at least `lowest`, with it in column lang; other columns as they were."""
+    """The rows of docs whose language is told with a score of at least `lowest`, with it in column lang; other columns as they were.
+
+    Rows with a null text or one without a letter go, as do all rows if the model knows no language. Repeated rows stay repeated, a null doc_id
+    stays null, an empty table gives no rows.
+    """
     return docs.mapInArrow(_kept(docs.sparkSession.sparkContext.broadcast(model), lowest), docs.schema)

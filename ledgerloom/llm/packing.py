@@ -179,7 +179,8 @@ def pack(docs: DataFrame, json_path: str, ranks_path: str, capacity: int = CAPAC
     Texts are tokenised once; their pieces' sizes, a few dozen bytes each, are written to the shared folder. The driver
     sees only how many pieces have each length (at most `capacity` numbers) and plans from that. Each piece then needs its rank
     among those of its length: they are ranked in salted groups whose offsets come from the groups' counts, so one very common
-    length is not one task. A null or empty text is a piece of one id. Repeated rows are packed each; an empty
+    length is not one task. The table of these offsets grows with the input, so it is merged with the ranked rows, which are sorted by
+    the same keys, and not broadcast. A null or empty text is a piece of one id. Repeated rows are packed each; an empty
     table gives no rows; other columns are ignored.
     """
     made = materialize(pieces(docs, json_path, ranks_path, capacity))
@@ -190,13 +191,17 @@ def pack(docs: DataFrame, json_path: str, ranks_path: str, capacity: int = CAPAC
     groups = materialize(groups.select("length", "salt", "n", F.coalesce(F.sum("n").over(by_length), F.lit(0)).alias("before")))
     counts = {r["length"]: r["n"] for r in groups.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     by_group = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32")
-    ranked = salted.withColumn("nth", F.row_number().over(by_group)).join(groups.drop("n"), ["length", "salt"])
+    ranked = salted.withColumn("nth", F.row_number().over(by_group)).join(groups.drop("n").hint("merge"), ["length", "salt"])
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("nth") - 1).alias("rank"))
     return ranked.mapInArrow(_placed(plan(counts, capacity)), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def sequences(docs: DataFrame, placed: DataFrame, json_path: str, ranks_path: str, capacity: int = CAPACITY) -> DataFrame:
-    """sequence_id, ids of each packed sequence: the ids of its pieces in order. doc_id must be unique in docs."""
+    """sequence_id, ids of each packed sequence: the ids of its pieces in order. doc_id must be unique and not null in docs.
+
+    Null and empty texts are one id; pieces of documents that are not in docs are left out of their sequence; an empty table gives no rows; other
+    columns are ignored. A group is one sequence, so it never holds more than `capacity` ids.
+    """
     own = pieces(docs, json_path, ranks_path, capacity, with_ids=True).select("doc_id", "piece", "ids")
     joined = placed.join(own, ["doc_id", "piece"]).groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct("offset", "ids"))).alias("x"))
     return joined.select("sequence_id", F.flatten(F.transform("x", lambda e: e["ids"])).alias("ids"))

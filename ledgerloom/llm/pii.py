@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import hashlib
 import random
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import islice
@@ -61,9 +61,9 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 #: Tokens of the CRF: letters, digits, or one other character that is not white space.
 TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]|_")
-#: A token that a span can hang on: the check of each kind asks for a digit, an @ or the word at. Text further than REACH from all of these is
-#: skipped; each stretch around them is decoded whole, as one chain.
-HOOK, REACH = re.compile(r"[0-9@]|\b(?:[Dd][Oo]|[Aa])[Tt]\b"), 48
+#: A token that a span can hang on: the check of each kind asks for a digit, an @ or the word at. Tokens further than REACH characters from all of
+#: these are O by rule; each stretch between is decoded whole, as one chain, with the BESIDE tokens that its features look at on either side.
+HOOK, REACH, BESIDE = re.compile(r"[0-9@]|\b(?:[Dd][Oo]|[Aa])[Tt]\b"), 48, 2
 #: Padded tokens that are decoded together, and tokens of a chain whose features are held at once.
 TOGETHER, BLOCK = 1 << 16, 1 << 12
 WORDS = frozenset("at dot mail email com org net phone tel call mobile card visa ip host address version license section page year token key id".split())
@@ -198,38 +198,49 @@ def _fits(kind: int, text: str) -> bool:
     return 9 <= len(d) <= 15 and text[-1].isdigit() and not any(c.isalpha() for c in text)
 
 
-def stretches(text: str) -> list[list[tuple[int, int]]]:
-    """The tokens near hooks, as separate chains: those whose place is within REACH characters of a hook."""
-    out, low, high = [], None, 0
+def stretches(text: str) -> list[tuple[list[tuple[int, int]], int, int]]:
+    """(tokens, first, end) of each chain: its tokens from `first` up to `end` are near hooks, those before and behind are O by rule."""
+    near: list[list[int]] = []
     for m in HOOK.finditer(text):
-        if low is not None and m.start() - REACH <= high:
-            high = m.end() + REACH
-            continue
-        if low is not None:
-            out.append((low, high))
-        low, high = max(0, m.start() - REACH), m.end() + REACH
-    if low is not None:
-        out.append((low, high))
-    chains = []
-    for low, high in out:
-        if tokens := [t.span() for t in TOKEN.finditer(text, low, min(high, len(text)))]:
-            chains.append(tokens)
-    return chains
+        if near and m.start() - REACH <= near[-1][1]:
+            near[-1][1] = m.end() + REACH
+        else:
+            near.append([m.start() - REACH, m.end() + REACH])
+    if not near:
+        return []
+    tokens = [t.span() for t in TOKEN.finditer(text)]
+    starts, ends = [a for a, _ in tokens], [b for _, b in tokens]
+    ranges: list[list[int]] = []
+    for low, high in near:
+        first, end = bisect_right(ends, low), bisect_left(starts, high)
+        if ranges and first <= ranges[-1][1]:
+            ranges[-1][1] = max(end, ranges[-1][1])
+        elif first < end:
+            ranges.append([first, end])
+    return [(tokens[max(0, a - BESIDE) : b + BESIDE], min(a, BESIDE), min(a, BESIDE) + b - a) for a, b in ranges]
+
+
+def chain_scores(text: str, chain: tuple[list[tuple[int, int]], int, int], model: Model) -> np.ndarray:
+    """Scores (token, label) of a chain; outside of its own tokens every label but O is ruled out."""
+    tokens, first, end = chain
+    scores = model.scores(each_features(text, tokens))
+    scores[:first, 1:] = scores[end:, 1:] = -1e4
+    return scores
 
 
 def find(texts: list[str], model: Model) -> list[tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]]:
     """For each text its base spans and all spans, by kind and start. Chains of all texts are decoded together."""
     base = [base_spans(t) for t in texts]
-    chains = [(i, tokens) for i, t in enumerate(texts) for tokens in stretches(t)]
+    chains = [(i, c) for i, t in enumerate(texts) for c in stretches(t)]
     added: dict[int, list[tuple[int, int, int]]] = {}
-    chains.sort(key=lambda c: len(c[1]))
+    chains.sort(key=lambda c: len(c[1][0]))
     at = 0
     while at < len(chains):
-        size = max(1, min(128, TOGETHER // len(chains[min(at + 127, len(chains) - 1)][1])))
+        size = max(1, min(128, TOGETHER // len(chains[min(at + 127, len(chains) - 1)][1][0])))
         part = chains[at : at + size]
         at += size
-        scores, lengths = crf.padded([model.scores(each_features(texts[i], tokens)) for i, tokens in part])
-        for (i, tokens), labels in zip(part, crf.viterbi(scores, model.trans, lengths).tolist(), strict=True):
+        scores, lengths = crf.padded([chain_scores(texts[i], c, model) for i, c in part])
+        for (i, (tokens, _, _)), labels in zip(part, crf.viterbi(scores, model.trans, lengths).tolist(), strict=True):
             k = 0
             while k < len(tokens):
                 end = k + 1
@@ -295,6 +306,9 @@ def _masked(model: Model):
 
 
 def mask(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """docs with the spans in column text replaced; other columns as they were, n_chars (if there) counted anew."""
+    """docs with the spans in column text replaced; other columns as they were, n_chars (if there) counted anew.
+
+    A null text stays null, an empty one empty. Repeated rows stay repeated, rows without an id stay, an empty table gives no rows.
+    """
     out = docs.mapInArrow(_masked(model or default_model()), docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from . import crf
 from .common import slices
 
-#: The bounded sample: labelled documents, whole, at most; and lines of a chain that the CRF is fitted on, longer documents give several.
-DOCS, LINES = 3000, 200
+#: The bounded sample: labelled rows, whole, and their lines together, at most. A row that would go beyond the lines is left out.
+DOCS, FIT_LINES = 3000, 200_000
+#: Lines of a chain that the CRF is fitted on; longer documents give several.
+LINES = 200
 THRESHOLD = 0.7
 #: Byte classes; bytes of 128 and more count as letters.
 CLASSES = (b"abcdefghijklmnopqrstuvwxyz" + bytes(range(128, 256)), b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"#*$%&|<>", b".,;:?", b"!", b"\"'()[]{}/\\=+-_~^`@")
@@ -143,12 +145,35 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *blobs], ["doc_id", "good", "own", "sizes"])
 
 
-def train(docs: DataFrame, labels: DataFrame, at_most: int = DOCS) -> Model:
-    """Fit on the `at_most` labelled documents whose id hashes lowest; labels has doc_id and quality (1 good, 0 bad)."""
-    chosen = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("__quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(at_most)
-    rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), "__quality")
-    rows = rows.select(F.col("doc_id").cast("long"), "text", (F.col("__quality") == 1).alias("good")).mapInArrow(_featured, "doc_id long, good boolean, own binary, sizes binary").collect()
-    rows.sort(key=lambda r: r["doc_id"])
+def _sample(labelled: DataFrame, at_most: int, lines: int) -> list[tuple[int, int]]:
+    """(id, hash of the text) of the rows of labelled (id, text_hash, lines) to fit on, in the order of their ids' hashes."""
+    rows = labelled.groupBy("id", "text_hash").agg(F.max("lines").alias("lines")).orderBy(F.xxhash64("id"), "id", "text_hash").limit(at_most).collect()
+    out, left = [], lines
+    for r in sorted(rows, key=lambda r: (r["id"], r["text_hash"])):
+        if r["lines"] <= left:
+            left -= r["lines"]
+            out.append((r["id"], r["text_hash"]))
+    return out
+
+
+def train(docs: DataFrame, labels: DataFrame, at_most: int = DOCS, lines: int = FIT_LINES) -> Model:
+    """Fit on `at_most` labelled rows with `lines` lines together at most, those whose id hashes lowest; labels has doc_id and quality (1 good, 0 bad).
+
+    A row counts once however often it is repeated; of an id with two texts each is a row; of an id with two labels the good one holds. Null
+    ids and labels are left out, null texts are empty. The bounds hold before anything comes to the driver: it gets ids, then the lines'
+    features of the sample, never texts.
+    """
+    known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("id")).agg((F.max("quality") == 1).alias("good"))
+    chosen = known.orderBy(F.xxhash64("id"), "id").limit(at_most)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    own = docs.select(F.col("doc_id").cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("text_hash")).join(F.broadcast(chosen), "id")
+    picked = _sample(own.select("id", "text_hash", (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).alias("lines")), at_most, lines)
+    if not picked:
+        return fit_model([], [], np.zeros(0, bool))
+    table = docs.sparkSession.createDataFrame(picked, "id long, text_hash long")
+    rows = own.join(F.broadcast(table), ["id", "text_hash"], "left_semi").groupBy("id", "text_hash").agg(F.max("text").alias("text"), F.max("good").alias("good"))
+    rows = rows.select(F.col("id").alias("doc_id"), "text", "good").mapInArrow(_featured, "doc_id long, good boolean, own binary, sizes binary").collect()
+    rows.sort(key=lambda r: (r["doc_id"], r["sizes"], r["own"]))
     features = [_beside(np.frombuffer(r["own"], np.float32).reshape(-1, OWN)) for r in rows]
     return fit_model(features, [np.frombuffer(r["sizes"], np.int64) for r in rows], np.array([r["good"] for r in rows], bool))
 

@@ -176,6 +176,110 @@ def test_quality_awkward_rows(spark):
     assert quality.score(corpus.empty(spark), quality.train(docs, labels.where("false"))).count() == 0
 
 
+def brute_quality(text, model):
+    """The score from the line features, the forward and backward sums and the weighted mean, one step at a time."""
+    lines, own, seen = text.encode().split(b"\n"), [], set()
+    classes = (b"abcdefghijklmnopqrstuvwxyz" + bytes(range(128, 256)), b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"#*$%&|<>", b".,;:?", b"!", b"\"'()[]{}/\\=+-_~^`@")
+    for line in lines:
+        words = line.split()
+        shares = [sum(c in k for c in line) / max(1, len(line)) for k in classes]
+        spoken = [math.log1p(len(words)), len(set(words)) / len(words), len(line) / len(words) / 10] if words else [0, 0, 0]
+        own.append([*shares, *spoken, float(not line), math.log1p(len(line)) / 5, float(bool(line) and line in seen), 1.0])
+        seen.add(line)
+    none = [0.0] * len(own[0])
+    full = [x + (own[i - 1] if i else none) + (own[i + 1] if i + 1 < len(own) else none) for i, x in enumerate(own)]
+    e = [[math.exp(sum(a * b for a, b in zip(x, model.weights[:, k]))) for k in (0, 1)] for x in full]
+    t = np.exp(model.trans)
+    front, back = [e[0]], [[1.0, 1.0]]
+    for x in e[1:]:
+        step = [x[k] * sum(front[-1][j] * t[j, k] for j in (0, 1)) for k in (0, 1)]
+        front.append([v / sum(step) for v in step])
+    for x in e[:0:-1]:
+        step = [sum(t[k, j] * x[j] * back[0][j] for j in (0, 1)) for k in (0, 1)]
+        back.insert(0, [v / sum(step) for v in step])
+    bad = [f[1] * b[1] / (f[0] * b[0] + f[1] * b[1]) for f, b in zip(front, back)]
+    weight = [len(line) + 1 for line in lines]
+    mean, most = sum(b * w for b, w in zip(bad, weight)) / sum(weight), sum(w for b, w in zip(bad, weight) if b > 0.5) / sum(weight)
+    return 1 / (1 + math.exp(-(model.curve[0] + model.curve[1] * mean + model.curve[2] * most)))
+
+
+def test_quality_score_against_brute_force(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.train(docs, labels)
+    rows = [(i, t) for i, (t,) in enumerate(docs.select("text").limit(40).collect())] + [(100 + i, t) for i, t in enumerate((None, "", "\n\n", "a\na\n\nB 1!", "### $$$\n" * 300))]
+    got = {r["doc_id"]: r["score"] for r in quality.score(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert len(got) == len(rows) and all(math.isclose(got[i], brute_quality(t or "", model), rel_tol=1e-3, abs_tol=1e-6) for i, t in rows)
+
+
+def test_quality_sample_is_bounded(spark, monkeypatch):
+    """One labelled id with very many rows, or very long ones, brings no more rows and lines than the bounds."""
+    docs = spark.range(4000).select(F.lit(7).alias("doc_id"), F.concat(F.lit("text "), (F.col("id") % 2000).cast("string")).alias("text"), F.lit("q").alias("__quality"), F.lit("g").alias("good"), F.lit(1).alias("id"))
+    docs = docs.unionByName(spark.createDataFrame([(8, "line\n" * 5000, "q", "g", 1), (9, "fine", "q", "g", 1), (None, "x", "q", "g", 1)], "doc_id int, text string, __quality string, good string, id int"))
+    labels = spark.createDataFrame([(7, 1), (8, 0), (9, 0)], "doc_id long, quality int")
+    got = []
+    monkeypatch.setattr(quality, "fit_model", lambda features, weights, good: got.append((features, good)))
+    quality.train(docs, labels, at_most=50, lines=60)
+    (features, good), = got
+    assert len(features) <= 50 and sum(map(len, features)) <= 60 and len(good) == len(features)
+    quality.train(docs, labels, at_most=3000, lines=200_000)
+    assert len(got[1][0]) == 2002 and sum(got[1][1]) == 2000
+
+
+def brute_language(text, counts):
+    """The language by the definition: log frequencies of known words, else the mean of the longest known n-grams."""
+    langs = sorted(counts)
+    if not text or not any(c.isalpha() for c in text):
+        return "und", 0.0
+    grams = lambda w, n: [f"_{w}_"[i : i + n] for i in range(len(w) + 3 - n)] if n > 1 else list(w)
+    tables = [counts] + [{k: Counter() for k in langs} for _ in range(5)]
+    for k in langs:
+        for w, c in counts[k].items():
+            for n in range(1, 6):
+                for g in grams(w, n):
+                    tables[n][k][g] += c
+    every = [set().union(*(t[k] for k in langs)) for t in tables]
+    sums = [{k: sum(t[k].values()) for k in langs} for t in tables]
+    log = lambda n, x, k: math.log((tables[n][k][x] + 0.5) / (sums[n][k] + 0.5 * len(every[n])))
+    total = dict.fromkeys(langs, 0.0)
+    for w in re.findall(r"[^\W\d_]+", text.lower()):
+        if w in every[0]:
+            for k in langs:
+                total[k] += log(0, w, k)
+            continue
+        for n in range(5, 0, -1):
+            if found := [g for g in grams(w, n) if g in every[n]]:
+                for k in langs:
+                    total[k] += sum(log(n, g, k) for g in found) / len(found)
+                break
+    best = max(langs, key=lambda k: (total[k], [-ord(c) for c in k]))
+    return best, 1 / sum(math.exp(max(-700, total[k] - total[best])) for k in langs)
+
+
+def test_language_id_against_brute_force(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    train = docs.where("doc_id % 2 = 0")
+    model = langid.train(train)
+    counts = defaultdict(Counter)
+    for r in train.where("lang is not null and text is not null").collect():
+        counts[r["lang"]].update(re.findall(r"[^\W\d_]+", r["text"].lower()))
+    sampled = sum(model.rows[0].shape)  # small tables are below the bounds but for the dealing into parts
+    rows = [(i, r["text"]) for i, r in enumerate(docs.where("doc_id % 2 = 1").limit(25).collect())] + [(100, "zzzyq xkcd"), (101, "a"), (102, None), (103, "12 !"), (104, "ß" * 70)]
+    got = {r["doc_id"]: r for r in langid.classify(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    own = {k: Counter({w: n for w, n in c.items()}) for k, c in counts.items()}
+    assert sampled and set(model.langs) == set(own) and {w for c in own.values() for w in c} == set(model.index[0])
+    for i, t in rows:
+        lang, score = brute_language(t, own)
+        assert got[i]["lang_pred"] == lang and math.isclose(got[i]["score"], score, rel_tol=1e-3, abs_tol=1e-6)
+
+
+def test_language_sample_is_bounded(spark):
+    rows = [(1, f"word{i} same", "en") for i in range(500)] + [(2, "x" * 5000, "en"), (3, "wort", "de"), (None, "mot", "fr"), (4, None, "es"), (5, "palabra", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs, per_lang=64, chars=32 * 1000)
+    assert model.langs == ["de", "en", "fr"] and sum(w.startswith("word") for w in model.index[0]) <= 2 and "x" * 5000 not in model.index[0]
+    assert langid.train(docs, langs=1).langs == ["en"] and langid.train(docs.where("false")).langs == []
+
+
 def brute_counts(text):
     words = re.findall(r"[^\x20\x09-\x0d]+", text)
     seen, dup, places, covered = set(), 0, defaultdict(list), set()

@@ -144,6 +144,46 @@ def test_pii_held_out_and_mask(spark):
     assert all(r["n_chars"] == len(r["text"]) for r in out.values() if r["text"] is not None)
 
 
+#: Written by hand, unlike the training table, which is made by rule: text, and what of it is personal data.
+BY_HAND = [
+    ("Please reach me at anna.k (at) mailbox (dot) org before Friday.", ["anna.k (at) mailbox (dot) org"]), ("Write to peter at example dot com today", ["peter at example dot com"]),
+    ("Contact: maria_lopez [at] uni [dot] edu", ["maria_lopez [at] uni [dot] edu"]), ("My address is tom(at)post.net, thanks", ["tom(at)post.net"]), ("Call 415-555-0134 after six", ["415-555-0134"]),
+    ("Office (030) 901-2345, ask for Kim", ["(030) 901-2345"]), ("Dial 0049 170 5551234 from abroad", ["0049 170 5551234"]), ("tel 212.555.0199", ["212.555.0199"]), ("fax: 030 555 0101", []),
+    ("The card 4111.1111.1111.1111 was refused", ["4111.1111.1111.1111"]), ("We met at dot and went home at 10", []), ("See section 4.2.1 on page 118", []), ("Version 3.11.2 came out in 2023", []),
+    ("It was 12,500.00 in total, 20 % off", []), ("ISBN 978-3-16-148410-0 is a book", []), ("On 2024-11-28 at 09:45 we left", []), ("id 550e8400-e29b-41d4-a716-446655440000", []), ("look at this dot over there", []),
+    ("The score was 3-1 at half time", []), ("Order no 20231145 shipped", []), ("Ratio 1.618 and 2.718", []), ("lat 52.5200 lon 13.4050", []), ("see you at noon. Dot will come", []), ("@home we like C++ and 7 cats", []),
+]
+
+
+def test_pii_on_a_table_written_by_hand():
+    model = pii.default_model()
+    found = [[t[a:b] for _, a, b in every] for (t, _), (_, every) in zip(BY_HAND, pii.find([t for t, _ in BY_HAND], model), strict=True)]
+    hit = sum(len(set(f) & set(w)) for f, (_, w) in zip(found, BY_HAND, strict=True))
+    extra = [x for f, (_, w) in zip(found, BY_HAND, strict=True) for x in set(f) - set(w)]
+    assert hit >= 0.7 * sum(len(w) for _, w in BY_HAND) and len(extra) <= 3, (found, extra)
+
+
+def test_pii_stretches_are_the_uncut_chain():
+    """Decoding stretches gives the spans that decoding the whole text as one chain gives, tokens far from any hook being O."""
+    import random
+
+    model, r = pii.default_model(), random.Random(11)
+    table = [t for t, _ in pii.labelled_table(120, 5)]
+    for _ in range(40):
+        text = " ".join(r.choice([r.choice(table), "word " * r.randint(1, 60), "long" * 40, "... " * 30]) for _ in range(r.randint(2, 8)))
+        tokens = [m.span() for m in pii.TOKEN.finditer(text)]
+        near = [m.span() for m in pii.HOOK.finditer(text)]
+        inside = [any(b > x - pii.REACH and a < y + pii.REACH for x, y in near) for a, b in tokens]
+        scores = model.scores(pii.each_features(text, tokens))
+        scores[[i for i, x in enumerate(inside) if not x], 1:] = -1e4
+        whole = pii.crf.viterbi(scores[None], model.trans, np.array([len(tokens)]))[0]
+        by_place = {t: int(k) for t, k in zip(tokens, whole)}
+        for own, first, end in pii.stretches(text):
+            labels = pii.crf.viterbi(pii.chain_scores(text, (own, first, end), model)[None], model.trans, np.array([len(own)]))[0]
+            assert [int(x) for x in labels[first:end]] == [by_place[t] for t in own[first:end]]
+        assert sum(e - f for _, f, e in pii.stretches(text)) == sum(inside)
+
+
 def test_linear_time_on_long_runs():
     for text in ("1" * 200_000, "a" * 200_000, "@" * 50_000, "1 " * 50_000):
         pii.base_spans(text)
