@@ -53,3 +53,8 @@ def client_gstin_error(gstin: Column | str) -> Column:
     """What is wrong with an identifier that someone entered (its check character isn't looked at); null if nothing."""
     value = F.upper(F.regexp_replace(_c(gstin), r"\s+", ""))
     return F.when(value.isNull() | (value == ""), F.lit(None).cast("string")).when(F.length(value) != 15, "length").when(~value.rlike(f"^{GSTIN}$"), "shape")
+
+
+def looks_like_gstin(value: Column | str) -> Column:
+    """Whether a shown value has the length of an identifier."""
+    return F.coalesce(F.length(F.trim(_c(value))) == 15, F.lit(False))

@@ -99,3 +99,24 @@ def redact(text: Column | str, secret: str, mark: str = "***") -> Column:
     """The first line of the text with a secret masked."""
     first = F.substring_index(_c(text), "\n", 1)
     return F.replace(first, F.lit(secret), F.lit(mark)) if secret else first
+
+
+def flag_items(raw: Column | str) -> Column:
+    """Flags of a shown row: a JSON list of text, or codes between commas and semicolons; blanks dropped, null gives none."""
+    text = F.trim(F.coalesce(_c(raw), F.lit("")))
+    listed = F.when(text.startswith("["), F.from_json(text, "array<string>"))
+    return F.filter(F.transform(F.coalesce(listed, F.split(text, "[,;]+")), lambda x: F.trim(x)), lambda x: x != "")
+
+
+def shown(value: Column | str) -> Column:
+    """Text of a cell; a dash for nothing."""
+    return F.coalesce(F.nullif(_c(value).cast("string"), F.lit("")), F.lit("—"))
+
+
+def shown_money(value: Column | str) -> Column:
+    """An amount with two decimals and Indian grouping (the last three digits, then pairs); a dash for nothing."""
+    plain = F.format_string("%.2f", F.abs(_c(value).cast("decimal(20,2)")).cast("double"))
+    whole = F.substring_index(plain, ".", 1)
+    pairs = F.regexp_replace(F.substring(whole, F.lit(1), F.greatest(F.length(whole) - 3, F.lit(0))), r"(?<=\d)(?=(\d\d)+$)", ",")
+    grouped = F.when(F.length(whole) > 3, F.concat(pairs, F.lit(","), F.right(whole, F.lit(3)))).otherwise(whole)
+    return F.coalesce(F.concat(F.when(_c(value) < 0, "-").otherwise(""), grouped, F.lit("."), F.substring_index(plain, ".", -1)), F.lit("—"))

@@ -66,20 +66,19 @@ def continues(text: Column) -> Column:
 def statement_context(lines: DataFrame, files: DataFrame) -> DataFrame:
     """Per file: profile, opening, stated_closing, account_number, ifsc. lines: file_id, line_no, page, text; files: file_id, name.
 
-    A label's amount is the last one of the first line that has both. The header is the text of the first two pages; only its first
-    lines are kept together, as many as are needed for an account number to show.
+    A label's amount is the last one of the first line that has both. The header is the text of the first two pages, in order; account number and
+    code are looked for in it as a whole, so a label and its digits may stand on different lines.
     """
     last = F.when(F.col("text").rlike(OPENING) | F.col("text").rlike(CLOSING), let(amounts_in("text"), lambda a: F.get(a, F.size(a) - 1)))
     lines = lines.withColumn("__last", last)
     labelled = lambda label: F.min_by("__last", F.when(F.col("text").rlike(label) & F.col("__last").isNotNull(), F.col("line_no")))
     head = F.col("page") <= 2
     found = lambda text, shape: F.nullif(F.regexp_extract(text, shape, 1), F.lit(""))
-    first = lambda value: F.min_by(value, F.when(head & value.isNotNull(), F.col("line_no")))
-    top = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(head & (F.col("line_no") <= 60), F.struct("line_no", "text")))), lambda x: x["text"]), "\n")
-    each = lines.groupBy("file_id").agg(labelled(OPENING).alias("opening"), labelled(CLOSING).alias("stated_closing"), first(found(F.col("text"), ACCOUNT)).alias("account_number"), first(found(F.upper("text"), IFSC)).alias("ifsc"), top.alias("__head"))
+    top = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(head, F.struct("line_no", "text")))), lambda x: x["text"]), "\n")
+    each = lines.groupBy("file_id").agg(labelled(OPENING).alias("opening"), labelled(CLOSING).alias("stated_closing"), top.alias("__head"))
     joined = files.select("file_id", "name").join(each, "file_id", "left")
     key = profile(F.coalesce("name", F.lit("")), F.coalesce("__head", F.lit("")))
-    return joined.select("file_id", "name", key.alias("profile"), profile_label(key).alias("account_name"), "opening", "stated_closing", "account_number", "ifsc")
+    return joined.select("file_id", "name", key.alias("profile"), profile_label(key).alias("account_name"), "opening", "stated_closing", found(F.col("__head"), ACCOUNT).alias("account_number"), found(F.upper("__head"), IFSC).alias("ifsc"))
 
 
 def description(text: Column, amounts: Column) -> Column:
@@ -215,25 +214,61 @@ def stamp_closing(checked: DataFrame, summary: DataFrame) -> DataFrame:
     return last.withColumn("flags", add_flags(F.col("flags"), flag(F.coalesce(F.col("__wrong") & F.col("__last"), F.lit(False)), "closing_mismatch"))).drop("__wrong", "__last", "row_count")
 
 
+#: The least confidence of a recognised word, and how far items of a line may differ in height, by font size or by the height of a word.
+CONFIDENCE, SLACK, FONT_SHARE, WORD_SHARE = 40, 3.0, 0.45, 0.6
+
+
 def _bands(group: pd.DataFrame) -> pd.DataFrame:
-    out: list[list] = []
-    for r in group.sort_values(["y", "x"], ascending=[False, True], kind="stable").itertuples():
-        slack = max(3.0, 0.45 * r.font_size)
-        band = next((b for b in out if abs(r.y - b[0].y) <= slack), None)
-        out.append([r]) if band is None else band.append(r)
+    """Items in order to bands: each joins the first band whose first item is near in height. Bands begin ever lower, so those that are still in
+    reach of any later item are the last ones; with the widest reach of the page known, the others are left behind for good."""
+    group = group.sort_values(["top", "x"], ascending=[False, True], kind="stable")
+    y, slack, widest = group["y"].to_list(), group["slack"].to_list(), group["slack"].max()
+    drop = float((group["top"] - group["y"]).max() - (group["top"] - group["y"]).min())  # how far y may lag behind the order
+    first, members, oldest = [], [], 0
+    for i, at in enumerate(y):
+        while oldest < len(first) and first[oldest] - at > widest + drop:
+            oldest += 1
+        for b in range(oldest, len(first)):
+            if abs(at - first[b]) <= slack[i]:
+                members[b].append(i)
+                break
+        else:
+            first.append(at)
+            members.append([i])
+    x, w, h, text = (group[c].to_list() for c in ("x", "width", "height", "text"))
     rows = []
-    for n, band in enumerate(out):
-        band.sort(key=lambda r: r.x)
-        x, y = min(r.x for r in band), min(r.y for r in band)
-        rows.append((band[0].file_id, band[0].page, n, " ".join(r.text.strip() for r in band), x, y, max(r.x + r.width for r in band) - x, max(r.y + r.height for r in band) - y))
+    for n, own in enumerate(members):
+        own = sorted(own, key=lambda i: x[i])
+        left, low = min(x[i] for i in own), min(y[i] for i in own)
+        rows.append((group["file_id"].iloc[0], group["page"].iloc[0], n, " ".join(text[i].strip() for i in own), left, low, max(x[i] + w[i] for i in own) - left, max(y[i] + h[i] for i in own) - low))
     return pd.DataFrame(rows, columns=["file_id", "page", "band", "text", "x", "y", "width", "height"])
 
 
+def _grouped(items: DataFrame) -> DataFrame:
+    whole = items.where(F.trim("text") != "").groupBy("file_id", "page").applyInPandas(_bands, "file_id long, page int, band int, text string, x double, y double, width double, height double")
+    return whole.withColumn("line_no", F.row_number().over(Window.partitionBy("file_id").orderBy("page", "band")))
+
+
 def group_lines(items: DataFrame) -> DataFrame:
     """Visual lines of positioned text items (file_id, page, text, x, y, width, height, font_size): from the top, each item joins the first
     band whose first item is near in height. Order decides, so each page is folded by one task; a page is bounded."""
-    whole = items.where(F.trim("text") != "").groupBy("file_id", "page").applyInPandas(_bands, "file_id long, page int, band int, text string, x double, y double, width double, height double")
-    return whole.withColumn("line_no", F.row_number().over(Window.partitionBy("file_id").orderBy("page", "band")))
+    small = items.select("file_id", "page", "text", "x", "y", "width", "height", F.col("y").alias("top"), F.greatest(F.lit(SLACK), FONT_SHARE * F.col("font_size")).alias("slack"))
+    return _grouped(small)
+
+
+def recognised_items(words: DataFrame) -> DataFrame:
+    """Items in page units, counted from the bottom, of recognised words (file_id, page, level, text, conf, left, top, width, height in pixels, scale,
+    page_height): single words (level 5, where told) with enough confidence and a size."""
+    conf = F.coalesce(F.col("conf").cast("string").try_cast("double"), F.lit(-1.0))
+    fine = (F.coalesce("level", F.lit(5)) == 5) & (F.trim(F.coalesce("text", F.lit(""))) != "") & (conf >= CONFIDENCE) & (F.col("width") > 0) & (F.col("height") > 0) & (F.col("scale") > 0)
+    px = lambda c: F.col(c).cast("double") / F.col("scale")
+    return words.where(fine).select("file_id", page_number(F.col("page")).alias("page"), F.trim("text").alias("text"), px("left").alias("x"), (F.col("page_height") - (F.col("top") + F.col("height")) / F.col("scale")).cast("double").alias("y"), px("width").alias("width"), px("height").alias("height"))
+
+
+def recognised_lines(words: DataFrame) -> DataFrame:
+    """Visual lines of recognised words: as group_lines(), in the order of the words' middles and with a reach by their height."""
+    items = recognised_items(words).withColumns({"top": F.col("y") + F.col("height") / 2, "slack": F.greatest(F.lit(SLACK), WORD_SHARE * F.col("height"))})
+    return _grouped(items)
 
 
 def needs_ocr(pdf_type: Column, page_needs: Column, lines: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,18 +52,24 @@ def score_matches(bank: DataFrame, invoices: DataFrame, days: int = 7) -> DataFr
     """The best invoice of each bank row: bank_id, invoice_id, score, grade.
 
     bank: bank_id, day, cents, direction, name; invoices: the same with invoice_id. Candidates have amounts within one rupee and dates at most
-    `days` apart: a join on rupee and week cells, in which the invoice stands in its own and the neighbouring ones, so no side
-    is compared with all of the other. Points: amount 50, date 20, direction 10, name 20 times similarity, rounded down. 90 and more is auto, 70 likely,
-    40 possible. Ties go to the smallest invoice_id.
+    `days` apart. Rows of a side that agree in all of this score alike, so both sides are folded to their different rows first, the invoices
+    with their smallest id; then they meet by rupee and week cells, in which the invoice stands in its own and the neighbouring ones, so
+    no side is compared with all of the other, and a common amount counts once a day, direction and name. Points: amount 50, date 20, direction
+    10, name 20 times similarity, rounded down. 90 and more is auto, 70 likely, 40 possible. Ties go to the smallest invoice_id.
     """
+    key = ["day", "cents", "direction", "name"]
     week = lambda c: F.floor(F.datediff(F.col(c), F.lit("1970-01-01").cast("date")) / days)
-    left = bank.select("bank_id", F.col("day").alias("b_day"), F.col("cents").alias("b_cents"), F.col("direction").alias("b_dir"), F.col("name").alias("b_name"), F.floor(F.col("cents") / 100).alias("rupee"), week("day").alias("week"))
-    right = invoices.select("invoice_id", "day", "cents", "direction", "name", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda i: F.floor(F.col("cents") / 100) + i)).alias("rupee"), week("day").alias("__week"))
-    right = right.withColumn("week", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda i: F.col("__week") + i))).drop("__week")
-    near = left.join(right, ["rupee", "week"]).where((F.abs(F.col("cents") - F.col("b_cents")) <= 100) & (F.abs(F.datediff("day", "b_day")) <= days))
-    score = 70 + F.when(F.col("direction") == F.col("b_dir"), 10).otherwise(0) + F.floor(20 * similarity(F.col("name"), F.col("b_name")))
-    best = near.select("bank_id", "invoice_id", score.cast("int").alias("score")).groupBy("bank_id").agg(F.max_by("invoice_id", F.struct("score", (-F.col("invoice_id")).alias("n"))).alias("invoice_id"), F.max("score").alias("score"))
-    return best.withColumn("grade", F.when(F.col("score") >= 90, "auto").when(F.col("score") >= 70, "likely").otherwise("possible"))
+    kinds = bank.select(*key).distinct().select(F.struct(*key).alias("b"))
+    left = kinds.select("b", F.floor(F.col("b.cents") / 100).alias("rupee"), week("b.day").alias("week"))
+    right = invoices.groupBy(*key).agg(F.min("invoice_id").alias("invoice_id")).select("invoice_id", *key, F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda i: F.floor(F.col("cents") / 100) + i)).alias("rupee"), week("day").alias("own_week"))
+    right = right.select("*", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda i: F.col("own_week") + i)).alias("week")).drop("own_week")
+    near = left.join(right, ["rupee", "week"]).where((F.abs(F.col("cents") - F.col("b.cents")) <= 100) & (F.abs(F.datediff("day", "b.day")) <= days))
+    score = 70 + F.when(F.col("direction") == F.col("b.direction"), 10).otherwise(0) + F.floor(20 * similarity(F.col("name"), F.col("b.name")))
+    best = near.select("b", "invoice_id", score.cast("int").alias("score")).groupBy("b").agg(F.max_by("invoice_id", F.struct("score", (-F.col("invoice_id")).alias("n"))).alias("invoice_id"), F.max("score").alias("score"))
+    best = best.select(*[F.col(f"b.{k}").alias(f"b_{k}") for k in key], "invoice_id", "score")
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"b_{k}")) for k in key])
+    matched = bank.select("bank_id", *key).join(best, same).select("bank_id", "invoice_id", "score")
+    return matched.withColumn("grade", F.when(F.col("score") >= 90, "auto").when(F.col("score") >= 70, "likely").otherwise("possible"))
 
 
 def presence(sides: dict[str, DataFrame], key: str) -> DataFrame:
@@ -77,6 +85,12 @@ def presence(sides: dict[str, DataFrame], key: str) -> DataFrame:
     return each.withColumn("label", F.when(missing == "", "consistent").otherwise(F.concat(F.lit("missing in "), missing)))
 
 
+def period_owners(periods: DataFrame, clients: DataFrame) -> DataFrame:
+    """period_id, label, client_id, client, gstin: whose each period is; a period of an unknown client stays, without one."""
+    own = clients.select("client_id", F.col("name").alias("client"), "gstin")
+    return periods.select("period_id", "label", "client_id").join(own, "client_id", "left").select("period_id", "label", "client_id", "client", "gstin")
+
+
 def missing_months(rows: DataFrame, account: str, day: str) -> DataFrame:
     """account, month (first day): the months without a row between an account's first and last one."""
     months = rows.where(F.col(day).isNotNull()).select(account, F.trunc(day, "month").alias("month")).distinct()

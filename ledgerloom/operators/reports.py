@@ -5,12 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.dates import try_date
+
 #: Titles of the report columns, and what marks rows.
 PURCHASES = {"Supplier": "supplier_name", "Supplier GSTIN": "supplier_gstin", "Invoice no": "invoice_number", "Date": "invoice_date", "Taxable": "taxable_value", "Tax": "tax", "Invoice value": "invoice_value", "HSN": "hsn", "Flags": "flags", "Source": "source"}
 SALES = {"Party": "supplier_name", "Party GSTIN": "supplier_gstin"} | {k: v for k, v in PURCHASES.items() if not k.startswith("Supplier")}
 BOOKS = {"Type": "voucher_type", "Number": "voucher_number", "Date": "date", "Party": "party_name", "GSTIN": "gstin", "Amount": "amount", "Invoice no": "invoice_number", "Invoice value": "invoice_value", "Flags": "flags", "Source": "source"}
 RETURN = {"GSTIN": "gstin", "Trade name": "trade_name", "Invoice no": "invoice_number", "Date": "invoice_date", "Value": "invoice_value", "Taxable": "taxable", "IGST": "igst", "CGST": "cgst", "SGST": "sgst", "Cess": "cess", "ITC": "itc_availability", "Type": "document_type", "Flags": "flags", "Source": "source", "Match": "match_status", "Books ref": "books_ref"}
 SUMMARY = {"Section": "section", "Taxable": "taxable", "IGST": "igst", "CGST": "cgst", "SGST": "sgst", "Cess": "cess", "Source": "source"}
+HSN = {"HSN": "hsn", "Taxable": "taxable", "IGST": "igst", "CGST": "cgst", "SGST": "sgst", "Cess": "cess", "Flags": "flags", "Source": "source"}
+BANK = {"Date": "date", "Description": "description", "Cheque / Ref": "cheque_ref", "Debit": "debit", "Credit": "credit", "Balance": "balance", "Source": "source", "Flags": "flags"}
+CHECKS = {"File": "name", "Bank": "account_name", "Sheet": "sheet", "Account no": "account_number", "IFSC": "ifsc", "Rows": "row_count", "Opening": "opening_balance", "Stated close": "stated_closing", "Computed close": "computed_closing", "Result": "result", "Broken at": "broken_at_row", "Flags": "flags"}
+NO_ROWS, NONE, MATCH_NOTE = "No rows extracted", "none", "Match columns are empty until reconciliation."
 NOTES = ("CDN", "CDNR", "CDNA", "CDNRA")
 RED = ("gstin_checksum", "hsn_length", "invoice_math")
 
@@ -97,3 +103,90 @@ def first_seen(paths: DataFrame, path: str, order: list[str]) -> DataFrame:
     """One row for each path compared in lower case: the first in a total order."""
     key = F.lower(path).alias("__key")
     return paths.groupBy(key).agg(F.min_by(F.struct(*paths.columns), F.struct(*order)).alias("__row")).select("__row.*")
+
+
+def _cells(rows: DataFrame, columns: dict[str, str]) -> Column:
+    """The columns of a report as an array of text, amounts with two decimals."""
+    kinds = dict(rows.dtypes)
+
+    def cell(c: str) -> Column:
+        if c not in kinds:
+            return F.lit(None).cast("string")
+        if kinds[c] == "array<string>":
+            return F.array_join(c, ", ")
+        return F.format_string("%.2f", F.col(c).cast("double")) if kinds[c] == "double" or kinds[c].startswith("decimal") else F.col(c).cast("string")
+
+    # format_string writes a null as text
+    return F.array(*[F.when(F.col(c).isNotNull(), cell(c)) if c in kinds else cell(c) for c in columns.values()])
+
+
+def _sheet(rows: DataFrame, number: int, sheet: Column | str, columns: dict[str, str], order: list[Column | str]) -> DataFrame:
+    """pack_id, sheet_no, sheet, titles, row_no, cells of the rows of one sheet in each pack."""
+    name = F.lit(sheet) if isinstance(sheet, str) else sheet
+    nth = F.row_number().over(Window.partitionBy("pack_id", "s").orderBy(*order))
+    own = rows.withColumn("s", name)
+    return own.select("pack_id", F.lit(number).alias("sheet_no"), F.col("s").alias("sheet"), F.array(*[F.lit(t) for t in columns]).alias("titles"), nth.alias("row_no"), _cells(own, columns).alias("cells"))
+
+
+def _placeholder(packs: DataFrame, sheet: DataFrame, number: int, name: str, columns: dict[str, str], text: str) -> DataFrame:
+    """One row with a text for each pack whose sheet has no rows."""
+    empty = packs.join(sheet.select("pack_id").distinct(), "pack_id", "left_anti")
+    return sheet.unionByName(empty.select("pack_id", F.lit(number).alias("sheet_no"), F.lit(name).alias("sheet"), F.array(*[F.lit(t) for t in columns]).alias("titles"), F.lit(1).alias("row_no"), F.array(F.lit(text)).alias("cells")))
+
+
+def cover_facts(packs: DataFrame, rows: DataFrame) -> DataFrame:
+    """packs (pack_id, filer_gstin, period) with source: the file that a pack's first row (by source) comes from."""
+    first = rows.groupBy("pack_id").agg(F.min("source").alias("first"))
+    return packs.join(first, "pack_id", "left").select("pack_id", "filer_gstin", "period", F.nullif(F.substring_index("first", "#", 1), F.lit("")).alias("source"))
+
+
+def return_pack(packs: DataFrame, rows: DataFrame, kind: str) -> DataFrame:
+    """Rows of the workbooks of a return, for workbooks(): a cover, its sheets, flagged rows.
+
+    packs: pack_id, filer_gstin, period; rows: pack_id and the columns of the return's rows; kind: gstr_1, gstr_2b or gstr_3b. The outward
+    return's notes stand among its invoices, its HSN summary on a sheet of its own; the inward return's notes on one of theirs. A
+    sheet that every such workbook has says so where it is empty. Sorting and numbering is by pack and sheet.
+    """
+    title = {"gstr_1": "GSTR-1", "gstr_2b": "GSTR-2B", "gstr_3b": "GSTR-3B"}[kind]
+    order = ["source"]
+    if kind == "gstr_3b":
+        counted = rows.groupBy("pack_id").agg(F.count("*").alias("n0"))
+        counts = [("Summary rows", "n0")]
+        sheets = _placeholder(packs, _sheet(rows, 2, "Summary", SUMMARY, order), 2, "Summary", SUMMARY, NO_ROWS)
+    else:
+        hsn, note = is_hsn(F.col("document_type"), F.col("trade_name"), F.col("source")), is_note(F.col("document_type"))
+        apart, sheet, columns = (hsn, "HSN", HSN) if kind == "gstr_1" else (note, "CDN", RETURN)
+        flagged = is_flagged(F.col("flags"))
+        counted = rows.groupBy("pack_id").agg(F.count_if(~apart).alias("n0"), F.count_if(apart).alias("n1"), F.count_if(flagged).alias("n2"), F.count("*").alias("n3"))
+        counts = [("B2B rows", "n0"), (f"{sheet} rows", "n1"), ("Flagged rows", "n2"), ("Total rows", "n3")]
+        shown = rows.withColumn("document_type", F.upper(F.coalesce(F.nullif(F.trim("document_type"), F.lit("")), F.when(apart, sheet).otherwise("B2B")))).withColumn("hsn", F.coalesce(F.nullif("hsn", F.lit("")), F.col("invoice_number")))
+        sheets = _placeholder(packs, _sheet(shown.where(~apart), 2, "B2B", RETURN, order), 2, "B2B", RETURN, NO_ROWS)
+        sheets = sheets.unionByName(_sheet(shown.where(apart), 3, sheet, columns, order))
+        sheets = sheets.unionByName(_placeholder(packs, _sheet(shown.where(flagged), 4, "Flags", RETURN, order), 4, "Flags", RETURN, NONE))
+    facts = cover_facts(packs, rows).join(counted, "pack_id", "left")
+    line = lambda a, b=None: F.array(F.lit(a).cast("string"), (F.lit(None) if b is None else b).cast("string"))
+    lines = [line("GSTIN", F.col("filer_gstin")), line("Period", F.col("period")), line("Source", F.col("source")), *[line(t, F.coalesce(c, F.lit(0))) for t, c in counts]]
+    if kind != "gstr_3b":
+        lines.append(line(MATCH_NOTE))
+    cover = facts.select("pack_id", F.lit(1).alias("sheet_no"), F.lit("Cover").alias("sheet"), F.array(F.lit(title)).alias("titles"), F.posexplode(F.array(*lines)).alias("row_no", "cells"))
+    return cover.withColumn("row_no", F.col("row_no") + 1).unionByName(sheets)
+
+
+def bank_pack(files: DataFrame, rows: DataFrame, checks: DataFrame) -> DataFrame:
+    """Rows of the bank workbooks, for workbooks(): the balance check of each file, and a sheet for each file.
+
+    files: pack_id, file_id, name, account_name, account_number, ifsc; rows: file_id, row_no and a transaction's columns; checks:
+    balance_summary(). A pack of one file calls its sheet Transactions; a file without rows has a sheet that says so.
+    """
+    alone = files.groupBy("pack_id").agg(F.count("*").alias("files"))
+    named = sheet_names(files).join(alone, "pack_id").withColumn("sheet", F.when(F.col("files") == 1, "Transactions").otherwise(F.col("sheet")))
+    nth = F.row_number().over(Window.partitionBy("pack_id").orderBy("file_id"))
+    named = named.withColumn("sheet_no", nth + 1)
+    told = named.join(checks, "file_id", "left").withColumn("result", F.when(F.col("match"), "MATCH").otherwise("MISMATCH"))
+    cover = _sheet(told, 1, "Balance Check", CHECKS, ["file_id"])
+    own = rows.join(named.select("pack_id", "file_id", F.col("sheet").alias("title"), F.col("sheet_no").alias("place")), "file_id")
+    # dates are shown as the report has them, text that is none stays
+    own = own.withColumn("date", F.coalesce(F.date_format(try_date("date"), "dd-MM-yyyy"), F.col("date")))
+    sheets = own.select("pack_id", F.col("place").alias("sheet_no"), F.col("title").alias("sheet"), F.array(*[F.lit(t) for t in BANK]).alias("titles"), F.row_number().over(Window.partitionBy("pack_id", "file_id").orderBy("row_no")).alias("row_no"), _cells(own, BANK).alias("cells"))
+    empty = named.join(rows.select("file_id").distinct(), "file_id", "left_anti").select("pack_id", "sheet_no", "sheet", F.array(*[F.lit(t) for t in BANK]).alias("titles"), F.lit(1).alias("row_no"), F.array(F.lit(NO_ROWS)).alias("cells"))
+    return cover.unionByName(sheets).unionByName(empty)

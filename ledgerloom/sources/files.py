@@ -25,18 +25,36 @@ def visible(path: Column) -> Column:
     return ~path.rlike(r"(^|[/\\])(\.[^/\\]+|__MACOSX)([/\\]|$)")
 
 
+def listed(paths: DataFrame) -> DataFrame:
+    """paths (path, length, ...) with name, suffix, mime, size_status, stored_name: columns of the path and the length alone."""
+    return paths.withColumns({"name": file_name("path"), "suffix": file_suffix("path"), "mime": mime("path"), "size_status": F.when(F.col("length") > LARGEST, "oversize").otherwise("ok"), "stored_name": F.concat(F.substring(F.sha2("path", 256), 1, 8), F.lit("_"), safe_name(file_name("path")))})
+
+
 def listing(paths: DataFrame) -> DataFrame:
-    """paths (path, length, ...) without hidden files and repeats (compared in lower case), with name, suffix, mime, size_status, stored_name.
+    """paths (path, length, ...) without hidden files and repeats (compared in lower case), with the columns of listed().
 
     No file is cut off silently: too large ones stay with size_status oversize.
     """
-    own = first_seen(paths.where(visible(F.col("path"))), "path", ["path"])
-    return own.withColumns({"name": file_name("path"), "suffix": file_suffix("path"), "mime": mime("path"), "size_status": F.when(F.col("length") > LARGEST, "oversize").otherwise("ok"), "stored_name": F.concat(F.substring(F.sha2("path", 256), 1, 8), F.lit("_"), safe_name(file_name("path")))})
+    return listed(first_seen(paths.where(visible(F.col("path"))), "path", ["path"]))
+
+
+def repeats(paths: DataFrame) -> DataFrame:
+    """path of the files that listing() leaves out as repeats of another one."""
+    key = F.lower("path").alias("key")
+    first = paths.groupBy(key).agg(F.min("path").alias("first"), F.count("*").alias("n")).where("n > 1")
+    return paths.select(key, "path").join(first, "key").where(F.col("path") != F.col("first")).select("path")
 
 
 def scan(spark: SparkSession, folder: str) -> DataFrame:
-    """All files below a folder with their content; the content of too large ones is null. Lengths are filtered before contents are read."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
-    names = listing(reader.load(folder).select("path", "length", "modificationTime"))
-    small = reader.load(folder).where(F.col("length") <= LARGEST).select("path", "content")
-    return names.join(small, "path", "left")
+    """All files below a folder with their content; the content of too large ones is null. Lengths are filtered before contents are read.
+
+    Only paths are compared and shuffled: files that repeat another one's path, which are few, are taken out where they are read.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    seen = files.where(visible(F.col("path")))
+    small = seen.where(F.col("length") <= LARGEST).select("path", "length", "modificationTime", "content")
+    large = seen.where(F.col("length") > LARGEST).select("path", "length", "modificationTime", F.lit(None).cast("binary").alias("content"))
+    again = repeats(seen.select("path")).cache()
+    if again.isEmpty():
+        return listed(small.unionByName(large))
+    return listed(small.unionByName(large).join(again, "path", "left_anti"))

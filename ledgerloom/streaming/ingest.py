@@ -10,6 +10,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.types import StructType
 
 from ..operators.classify import classify
+from ..sources.containers import content_clues
 from ..sources.files import LARGEST, listing
 
 
@@ -19,9 +20,8 @@ def overwrite_partitions(rows: DataFrame, path: str, by: list[str]) -> None:
 
 
 def classified_files(files: DataFrame) -> DataFrame:
-    """Files with content as bytes to the listing with kind, confidence, reason; text is read of text files only."""
-    text = F.when(F.lower("path").rlike(r"\.(json|xml|txt)$") & (F.col("length") <= LARGEST), F.decode("content", "UTF-8"))
-    told = classify(files.withColumn("content", text))
+    """Files with content as bytes to the listing with kind, confidence, reason, told from names and contents."""
+    told = classify(content_clues(files, LARGEST))
     return listing(told.select("path", "length", "modificationTime", F.col("verdict.kind").alias("detected_kind"), F.col("verdict.confidence").alias("confidence"), F.col("verdict.reason").alias("classify_reason")))
 
 

@@ -207,15 +207,15 @@ def test_dump_folder(spark, tmp_path):
     run()
     run()
     got = {r["name"]: (r["detected_kind"], r["batch"]) for r in spark.read.parquet(str(tmp_path / "table")).collect()}
-    assert got == {"a.json": ("gstr_1", 0), "A.JSON2": ("unknown", 0), "e.xml": ("tally", 0), "late.csv": ("unknown", 1)}
+    assert got == {"a.json": ("gstr_1", 0), "A.JSON2": ("unknown", 0), "e.xml": ("tally", 0), "late.csv": ("zoho", 1)}
 
 
 def test_period(spark, tmp_path):
-    rows = [(1, "s.pdf", ".pdf", "bank", None), (2, "i.pdf", ".pdf", "invoice", None), (3, "e.xml", ".xml", "tally", VOUCHER.format("Sales", "<AMOUNT>5</AMOUNT>").encode()), (4, "t.zip", ".zip", "tally", archive(a_xml=VOUCHER.format("Purchase", ""), b_xml=VOUCHER.format("Sales", ""))), (5, "r.json", ".json", "gstr_2b", b'{"b2b":[{"ctin":"c","inv":[{"inum":"1"}]}]}'), (6, "b.json", ".json", "gstr_3b", b"{}"), (7, "z.csv", ".csv", "zoho", b"Bill Number,Total\nB,5\n"), (8, "u.bin", ".bin", "unknown", b""), (9, "empty.json", ".json", "gstr_2b", b"junk")]
-    stored = spark.createDataFrame(rows, "file_id long, name string, suffix string, kind string, content binary")
+    rows = [(1, "s.pdf", ".pdf", "bank", None), (2, "i.pdf", ".pdf", "invoice", None), (3, "e.xml", ".xml", "tally", VOUCHER.format("Sales", "<AMOUNT>5</AMOUNT>").encode()), (4, "t.zip", ".zip", "tally", archive(a_xml=VOUCHER.format("Purchase", ""), b_xml=VOUCHER.format("Sales", ""))), (5, "r.json", ".json", "gstr_2b", b'{"b2b":[{"ctin":"c","inv":[{"inum":"1"}]}]}'), (6, "b.json", ".json", "gstr_3b", b"{}"), (7, "z.csv", ".csv", "zoho", b"Bill Number,Total\nB,5\n"), (8, "u.bin", ".bin", "unknown", b""), (9, "empty.json", ".json", "gstr_2b", b"junk"), (10, "x.xls", ".xls", "zoho", b"x"), (11, "gone.xml", ".xml", "tally", None), (12, "bad.zip", ".zip", "tally", b"x"), (13, "none.csv", ".csv", "zoho", b"Bill Number\n"), (14, "big.csv", ".csv", "zoho", None)]
+    stored = spark.createDataFrame(rows, "file_id long, name string, suffix string, kind string, content binary").withColumn("size_status", F.when(F.col("file_id") == 14, "oversize").otherwise("ok"))
     every = lines(spark, *STATEMENT).unionByName(lines(spark, *INVOICE.split("\n"), file_id=2))
     p = period.parse(stored, every)
-    assert {r["file_id"]: (r["rows"], r["parse_outcome"]) for r in p.outcomes.collect()} == {1: (3, "processed"), 2: (1, "processed"), 3: (1, "processed"), 4: (2, "processed"), 5: (1, "processed"), 6: (1, "processed"), 7: (1, "processed"), 8: (0, "needs_review"), 9: (0, "empty")}
+    assert {r["file_id"]: (r["rows"], r["parse_outcome"]) for r in p.outcomes.collect()} == {1: (3, "processed"), 2: (1, "processed"), 3: (1, "processed"), 4: (2, "processed"), 5: (1, "processed"), 6: (1, "processed"), 7: (1, "processed"), 8: (0, "needs_review"), 9: (0, "failed"), 10: (0, "unsupported_xls"), 11: (0, "skipped"), 12: (0, "failed"), 13: (0, "empty"), 14: (0, "oversize")}
     assert {r["key"]: r["rows"] for r in period.outputs(p).collect()} == {"bank": 3, "purchase": 3, "sales": 2, "gstr_2b": 1, "gstr_3b": 1}
     for _ in range(2):
         period.write(p, 4, str(tmp_path / "out"))
