@@ -119,4 +119,4 @@ def shown_money(value: Column | str) -> Column:
     whole = F.substring_index(plain, ".", 1)
     pairs = F.regexp_replace(F.substring(whole, F.lit(1), F.greatest(F.length(whole) - 3, F.lit(0))), r"(?<=\d)(?=(\d\d)+$)", ",")
     grouped = F.when(F.length(whole) > 3, F.concat(pairs, F.lit(","), F.right(whole, F.lit(3)))).otherwise(whole)
-    return F.coalesce(F.concat(F.when(_c(value) < 0, "-").otherwise(""), grouped, F.lit("."), F.substring_index(plain, ".", -1)), F.lit("—"))
+    return F.when(_c(value).isNull(), "—").otherwise(F.concat(F.when(_c(value) < 0, "-").otherwise(""), grouped, F.lit("."), F.substring_index(plain, ".", -1)))

@@ -30,6 +30,22 @@ def query(sql: str | None = None):
     return add
 
 
+def shared_place(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir; a local session without it gets a folder of its own, a cluster an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="ledgerloom-")
+        spark.sparkContext.setCheckpointDir(base)
+    return base.rstrip("/")
+
+
+def paise_text(paise: Column) -> Column:
+    """Whole paise as rupees with two decimals."""
+    return (paise / 100).cast(money.MONEY).cast("string")
+
+
 def joined(flags: Column | str) -> Column:
     return F.array_join(flags, ",")
 
@@ -502,19 +518,10 @@ def sheet_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.sheet_names(files).select("pack_id", "file_id", "sheet")
 
 
-@query()
-def line_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of documents' numbers placed on pages, grouped to lines."""
-    k = F.col("p_partkey")
-    items = table(spark, sf_dir, "part").select((k % 50).alias("file_id"), F.lit(1).alias("page"), F.col("p_brand").alias("text"), (k % 7 * 80).cast("double").alias("x"), (800 - F.floor(k / 350) * 20 + k % 3).cast("double").alias("y"), F.lit(60.0).alias("width"), F.lit(9.0).alias("height"), F.lit(10.0).alias("font_size"))
-    return bank.group_lines(items).select("file_id", "page", "line_no", "text", "x", "y", "width", "height")
-
-
 @query("SELECT user_id, event_type, count(*) AS n, sum(floor(abs(value) * 100 + 0.5)::BIGINT)::BIGINT AS paise FROM events GROUP BY ALL")
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events taken in as a stream of files that stops when none is left; the table it wrote, summed up."""
-    base = (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="ledgerloom-")).rstrip("/")
-    place = f"{base}/stream/{uuid.uuid4().hex}"
+    place = f"{shared_place(spark)}/stream/{uuid.uuid4().hex}"
     schema = table(spark, sf_dir, "events").schema
     change = lambda df: df.select("user_id", "event_type", F.floor(F.abs("value") * 100 + 0.5).cast("long").alias("paise"))
     rows = run_available(spark, sf_dir, schema, "events.parquet", change, f"{place}/table", f"{place}/log")

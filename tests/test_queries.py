@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__
-from ledgerloom.plans import queries
+from ledgerloom.plans import catalog as queries
 
 from .conftest import DATA
 
@@ -30,7 +30,7 @@ def test_query(spark, duck, name):
         want = duck.execute(queries.SQL[name]).df()
         assert sorted(got.columns) == sorted(want.columns)
         columns = sorted(got.columns)
-        one = lambda v: "null" if pd.isna(v) else repr(float(v)) if isinstance(v, Number) else str(v)[:10] if isinstance(v, (date, pd.Timestamp)) else str(v)
+        one = lambda v: "null" if pd.isna(v) else repr(float(v)) if isinstance(v, Number) else str(pd.Timestamp(v)) if isinstance(v, (date, pd.Timestamp)) else str(v)
         rows = lambda df: sorted([one(v) for v in r] for r in df[columns].itertuples(index=False))
         assert rows(got) == rows(want)
 
