@@ -108,19 +108,22 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = DOCS, chars: int = CHARS, langs: int = LANGS) -> Model:
     """Fit on a bounded sample of rows with text and language: `per_lang` rows of each language with `chars` characters at most, dealt into
-    PARTS by hash, and of each part those whose id hashes lowest; and of at most `langs` languages, the most frequent ones.
+    PARTS by hash, and of each part those whose id hashes lowest, among about twice as many that are drawn by hash; and of at most `langs` languages, the most frequent ones.
 
     The rows are read whole, and all of their words count: on the executors, so that the driver gets a row for each different word. A
     repeated row counts once. An empty table, or one without languages, gives a model that knows none.
     """
     text = F.col(text_col).cast("string")
     own = docs.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), text.alias("text"), F.xxhash64(text).alias("text_hash"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
-    known = [r["lang"] for r in own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(langs).collect()]
+    known = {r["lang"]: r["count"] for r in own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(langs).collect()}
     if not known:
         return Model([], {})
     order = Window.partitionBy("lang", "part").orderBy("h", "id", "text_hash")
     key = ["id", "text_hash", "lang"]
-    dealt = own.where(F.col("lang").isin(known)).select(*key, F.length("text").alias("n"), F.xxhash64("id").alias("h"), F.pmod(F.xxhash64("id", "lang"), F.lit(PARTS)).alias("part")).where(F.col("n") <= chars // PARTS)
+    # of a language with many rows only about twice as many as are wanted are dealt at all: those whose hash is low
+    share = F.element_at(F.create_map(*[F.lit(x) for k, n in known.items() for x in (k, min(1.0, 2 * per_lang / n))]), F.col("lang"))
+    low = F.pmod(F.xxhash64("id", "text_hash", F.lit("sample")), F.lit(1 << 30)) < share * (1 << 30)
+    dealt = own.where(F.col("lang").isin(*known)).where(low).select(*key, F.length("text").alias("n"), F.xxhash64("id").alias("h"), F.pmod(F.xxhash64("id", "lang"), F.lit(PARTS)).alias("part")).where(F.col("n") <= chars // PARTS)
     first = dealt.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= per_lang // PARTS)
     chosen = first.withColumn("so_far", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("so_far") <= chars // PARTS)
     sample = own.join(F.broadcast(chosen.select(key).distinct()), key, "left_semi").groupBy(key).agg(F.max("text").alias("text"))

@@ -128,13 +128,14 @@ def near_links(fps: DataFrame, radius: int = RADIUS, wide: int = WIDE) -> DataFr
     return links
 
 
-def components(marked: DataFrame, radius: int, wide: int) -> DataFrame:
-    """fp, component_id for each different fingerprint of marked (doc_id, fp): the smallest doc_id that it reaches over links."""
-    each = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
+def components(marked: DataFrame, radius: int, wide: int, first: Column | None = None) -> DataFrame:
+    """fp, component for each different fingerprint of marked: the least that `first` (by default the smallest doc_id) gives among all that it
+    reaches over links. Names are folded by fingerprint before they meet, so copies and large components are never gathered."""
+    each = materialize(marked.groupBy("fp").agg((F.min("doc_id") if first is None else first).alias("least")))
     roots = connected_components(near_links(each, radius, wide), 60).withColumnRenamed("node", "fp")
     rooted = materialize(each.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rooted.join(named, "root").select("fp", "component_id")
+    named = rooted.groupBy("root").agg(F.min("least").alias("component"))
+    return rooted.join(named, "root").select("fp", "component")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, wide: int = WIDE) -> DataFrame:
@@ -146,7 +147,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     its component are null. Repeated rows stay repeated; an empty table gives no rows; other columns are ignored.
     """
     marked = materialize(fingerprints(docs, id_col, text_col))
-    return marked.join(components(marked, radius, wide), "fp", "left").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = components(marked, radius, wide).withColumnRenamed("component", "component_id")
+    return marked.join(named, "fp", "left").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -161,12 +163,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     own = docs.select(F.struct(*docs.columns).alias("row"), *key)
     known = docs.where(F.col(id_col).isNotNull())
     marked = materialize(fingerprints(known, id_col, text_col, more={"text_hash": key[1]}).groupBy("doc_id", "text_hash", "fp").agg(F.count("*").alias("times")))
-    label = components(marked, RADIUS, WIDE)
-    named = marked.join(label, "fp")
-    first = named.where(F.col("doc_id") == F.col("component_id")).groupBy("component_id").agg(F.min("text_hash").alias("first"))
-    told = materialize(named.join(first, "component_id").select(F.col("doc_id").alias("id"), "text_hash", "times", ((F.col("doc_id") == F.col("component_id")) & (F.col("text_hash") == F.col("first"))).alias("stays")))
-    gone = told.where(~F.col("stays")).select("id", "text_hash").unionByName(told.where("stays and times > 1").select("id", "text_hash"))
-    kept = own.join(gone, ["id", "text_hash"], "left_anti").select("row.*")
-    again = own.join(told.where("stays and times > 1").select("id", "text_hash"), ["id", "text_hash"], "left_semi")
-    one = again.groupBy("id", "text_hash").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row.*")
+    label = components(marked, RADIUS, WIDE, F.min(F.struct("doc_id", "text_hash")))
+    stays = (F.col("doc_id") == F.col("component.doc_id")) & (F.col("text_hash") == F.col("component.text_hash"))
+    told = materialize(marked.join(label, "fp").select(F.col("doc_id").alias("id"), "text_hash", "times", stays.alias("stays")))
+    gone, twice = told.where(~F.col("stays")).select("id", "text_hash"), told.where("stays and times > 1").select("id", "text_hash")
+    if twice.isEmpty():
+        return own.join(gone, ["id", "text_hash"], "left_anti").select("row.*")
+    kept = own.join(gone.unionByName(twice), ["id", "text_hash"], "left_anti").select("row.*")
+    one = own.join(twice, ["id", "text_hash"], "left_semi").groupBy("id", "text_hash").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row.*")
     return kept.unionByName(one)
