@@ -172,6 +172,11 @@ def return_pack(packs: DataFrame, rows: DataFrame, kind: str) -> DataFrame:
     return cover.withColumn("row_no", F.col("row_no") + 1).unionByName(sheets)
 
 
+def register_pack(rows: DataFrame, sheet: str, columns: dict[str, str]) -> DataFrame:
+    """Rows of the workbooks of a register, for workbooks(): one sheet of rows (pack_id and the register's columns) in the order of their sources."""
+    return _sheet(rows, 1, sheet, columns, ["source", "invoice_number", "invoice_value"])
+
+
 def bank_pack(files: DataFrame, rows: DataFrame, checks: DataFrame) -> DataFrame:
     """Rows of the bank workbooks, for workbooks(): the balance check of each file, and a sheet for each file.
 

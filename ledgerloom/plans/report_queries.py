@@ -19,7 +19,7 @@ FOLD = SQL["bank_align_fold"].rsplit("\nSELECT", 1)[0]
     FOLD
     + """, w AS (SELECT *, CASE WHEN event_id % 6 = 0 THEN 'deposit slip' WHEN event_id % 6 = 1 THEN 'withdrawal atm' ELSE 'upi transfer' END AS said, printf('%.2f', amount / 100.0) AS a, printf('%.2f', stated / 100.0) AS b FROM s),
 t AS (SELECT w.file_id, w.n, f.outcome, f.row_no, f.debit, f.credit, w.stated, w.day, w.event_id, strftime(w.day, '%d/%m/%Y') || ' ' || said || ' ' || a || ' ' || b AS txt, trim(regexp_replace(replace(replace(' ' || said || ' ' || a || ' ' || b, a, ''), b, ''), '\\s{2,}', ' ', 'g'), ' -|') AS d FROM w JOIN f USING (file_id, n)),
-m AS (SELECT file_id, row_no, 2 * n AS place, txt FROM t WHERE outcome = 'rejected' AND row_no > 0 UNION ALL SELECT file_id, row_no, 2 * n + 1, 'to the shop' FROM t WHERE event_id % 10 = 5 AND row_no > 0),
+m AS (SELECT file_id, row_no, 2 * n AS place, txt FROM t WHERE outcome = 'rejected' AND row_no > 0 AND event_id % 6 <> 1 UNION ALL SELECT file_id, row_no, 2 * n + 1, 'to the shop' FROM t WHERE event_id % 10 = 5 AND row_no > 0),
 x AS (SELECT file_id, row_no, string_agg(' ' || txt, '' ORDER BY place) AS more, string_agg(' | ' || txt, '' ORDER BY place) AS raw FROM m GROUP BY ALL)
 SELECT t.file_id, t.row_no::INT AS row_no, strftime(day, '%Y-%m-%d') AS date, trim(d || coalesce(more, '')) AS description, t.debit / 100.0::DOUBLE AS debit, t.credit / 100.0::DOUBLE AS credit, stated / 100.0::DOUBLE AS balance, 'sbi_statement.pdf#p1@1.0,2.0,3.0,4.0' AS source, txt || coalesce(raw, '') AS raw_text FROM t LEFT JOIN x ON x.file_id = t.file_id AND x.row_no = t.row_no WHERE outcome = 'row'"""
 )
