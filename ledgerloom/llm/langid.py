@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -39,21 +40,25 @@ class Model:
 
     def __init__(self, langs: list[str], counts: dict[str, dict[str, int]]):
         self.langs = langs
-        tables: list[dict[str, np.ndarray]] = [defaultdict(lambda: np.zeros(len(langs))) for _ in range(LONGEST + 1)]
-        for k, lang in enumerate(langs):
+        self.index: list[dict[str, int]] = [{} for _ in range(LONGEST + 1)]
+        columns: list[list[np.ndarray]] = [[] for _ in range(LONGEST + 1)]
+        for lang in langs:
+            rows, times = [array("l") for _ in self.index], [array("d") for _ in self.index]
             for word, n in counts[lang].items():
-                tables[0][word][k] += n
-                for size in range(1, LONGEST + 1):
-                    for gram in _grams(word, size):
-                        tables[size][gram][k] += n
-        self.index = [{w: i for i, w in enumerate(t)} for t in tables]
-        self.rows = [self._logs(t) for t in tables]
-
-    def _logs(self, counts: dict[str, np.ndarray]) -> np.ndarray:
-        if not counts:
-            return np.zeros((0, len(self.langs)), np.float32)
-        table = np.array(list(counts.values()))
-        return np.log((table + SMOOTH) / (table.sum(0) + SMOOTH * len(table))).astype(np.float32)
+                for size, index in enumerate(self.index):
+                    for gram in _grams(word, size) if size else (word,):
+                        rows[size].append(index.setdefault(gram, len(index)))
+                        times[size].append(n)
+            for column, r, t in zip(columns, rows, times, strict=True):
+                column.append(np.bincount(np.array(r, np.int64), np.array(t)))
+        self.rows = [self._logs(column, len(index)) for column, index in zip(columns, self.index, strict=True)]
+
+    def _logs(self, columns: list[np.ndarray], n: int) -> np.ndarray:
+        """Log frequencies (string, language) from each language's counts, which end where a language has no later string."""
+        table = np.zeros((n, len(self.langs)))
+        for k, own in enumerate(columns):
+            table[: len(own), k] = own
+        return np.log((table + SMOOTH) / (table.sum(0) + SMOOTH * max(1, n))).astype(np.float32)
 
     def backoff(self, word: str) -> np.ndarray:
         """The mean vector of the word's longest n-grams that are known; none: all languages alike."""
@@ -129,8 +134,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     sample = own.join(F.broadcast(chosen.select(key).distinct()), key, "left_semi").groupBy(key).agg(F.max("text").alias("text"))
     counted = sample.select("lang", "text").mapInArrow(_counted, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     counts: dict[str, dict[str, int]] = defaultdict(dict)
-    for r in counted.collect():
-        counts[r["lang"]][r["word"]] = r["n"]
+    table = counted.toArrow()
+    for lang, word, n in zip(*(table[c].to_pylist() for c in ("lang", "word", "n")), strict=True):
+        counts[lang][word] = n
     return Model(sorted(counts), {k: dict(sorted(v.items())) for k, v in counts.items()})
 
 
