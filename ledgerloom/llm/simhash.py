@@ -8,7 +8,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, slices
@@ -43,11 +43,9 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(found.view(np.int64))], [*batch.schema.names[1:], "fp"])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", more: dict[str, Column] | None = None) -> DataFrame:
-    """doc_id, the long columns `more` by name, fp (the fingerprint as a signed long) for each row of docs; a null text counts as empty."""
-    more = more or {}
-    own = docs.select(F.col(text_col).cast("string").alias("text"), F.col(id_col).cast("long").alias("doc_id"), *(c.alias(k) for k, c in more.items()))
-    return own.mapInArrow(_fingerprints, "".join(f"{k} long, " for k in ("doc_id", *more)) + "fp long")
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, fp (the fingerprint as a signed long) for each row of docs; a null text counts as empty."""
+    return docs.select(F.col(text_col).cast("string").alias("text"), F.col(id_col).cast("long").alias("doc_id")).mapInArrow(_fingerprints, "doc_id long, fp long")
 
 
 def covering_masks(radius: int = RADIUS) -> list[int]:
@@ -128,14 +126,13 @@ def near_links(fps: DataFrame, radius: int = RADIUS, wide: int = WIDE) -> DataFr
     return links
 
 
-def components(marked: DataFrame, radius: int, wide: int, first: Column | None = None) -> DataFrame:
-    """fp, component for each different fingerprint of marked: the least that `first` (by default the smallest doc_id) gives among all that it
-    reaches over links. Names are folded by fingerprint before they meet, so copies and large components are never gathered."""
-    each = materialize(marked.groupBy("fp").agg((F.min("doc_id") if first is None else first).alias("least")))
+def components(marked: DataFrame, radius: int, wide: int) -> DataFrame:
+    """fp, component_id for each different fingerprint of marked (doc_id, fp): the smallest doc_id that it reaches over links."""
+    each = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = connected_components(near_links(each, radius, wide), 60).withColumnRenamed("node", "fp")
     rooted = materialize(each.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    return rooted.join(named, "root").select("fp", "component")
+    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return rooted.join(named, "root").select("fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, wide: int = WIDE) -> DataFrame:
@@ -147,12 +144,163 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     its component are null. Repeated rows stay repeated; an empty table gives no rows; other columns are ignored.
     """
     marked = materialize(fingerprints(docs, id_col, text_col))
-    named = components(marked, radius, wide).withColumnRenamed("component", "component_id")
-    return marked.join(named, "fp", "left").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return marked.join(components(marked, radius, wide), "fp", "left").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: Near copies of texts: words of a shingle, the similarity of their sets from which two texts are linked, fingerprints of a text's words, values of a
+#: sketch, and the estimated similarity from which the exact one is looked at.
+TEXT_SHINGLE, SIMILAR, PRINTS, SKETCH, LOOK = 5, 0.8, 3, 128, 0.65
+#: Members of a bucket that one task compares by their sketches; in a larger one those are that share one of so many bands of so many sketch values.
+MEMBERS, BANDS, ROWS = 4096, 16, 8
+_MINS = np.random.default_rng(SEED).integers(1 << 32, 1 << 63, SKETCH, np.int64).astype(np.uint64) | np.uint64(1)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
+    return x ^ (x >> np.uint64(33))
+
+
+def shingle_set(words: list[bytes], width: int = TEXT_SHINGLE) -> np.ndarray:
+    """The different hashes of a text's shingles of `width` words, sorted; fewer words are one shingle, none give none."""
+    if not words:
+        return np.zeros(0, np.uint64)
+    n = max(1, len(words) - width + 1)
+    parts = zip(*(words[k : k + n] for k in range(width)), strict=True) if len(words) >= width else [words]
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(x), SEED) for x in parts), np.uint64, n))
+
+
+def sketch(shingles: np.ndarray) -> bytes:
+    """SKETCH min-hash values of a set, a byte each: as a share of them, equal ones tell the similarity of two sets."""
+    least = np.full(SKETCH, (1 << 64) - 1, np.uint64)
+    for at in range(0, len(shingles), BLOCK // 8):
+        least = np.minimum(least, (_mixed(shingles[at : at + BLOCK // 8])[:, None] * _MINS[None, :]).min(0))
+    return (_mixed(least) >> np.uint64(56)).astype(np.uint8).tobytes()
+
+
+def word_prints(words: list[bytes], prints: int = PRINTS) -> np.ndarray:
+    """SimHash fingerprints of the set of a text's words, each by hashes of its own; no words: zero."""
+    if not words:
+        return np.zeros(prints, np.int64)
+    own = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in set(words)), np.uint64)
+    out = []
+    for k in range(prints):
+        ones = np.zeros(64, np.int64)
+        h = _mixed(own + np.uint64(k))
+        for at in range(0, len(h), BLOCK):
+            ones += np.unpackbits(h[at : at + BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        out.append(np.packbits((2 * ones > len(h)).astype(np.uint8), bitorder="little").view("<i8")[0])
+    return np.array(out, np.int64)
+
+
+def _words(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, 256):
+        prints, sketches = [], []
+        for text in batch.column(0).to_pylist():
+            words = _words(text)
+            prints.append(word_prints(words).tolist())
+            sketches.append(sketch(shingle_set(words)))
+        yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(prints, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["doc_id", "text_hash", "fps", "sketch"])
+
+
+def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, 64):
+        own = [shingle_set(_words(t)).view(np.int64).tolist() for t in batch.column(0).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(own, pa.list_(pa.int64()))], ["node", "shingles"])
+
+
+def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Members of a bucket (node, sketch) to a spanning forest of the highest estimated similarities: it joins at every threshold just what all
+    pairs of at least that similarity would join."""
+    for batch in slices(batches, 64):
+        us, vs = [], []
+        for members in batch.column(0).to_pylist():
+            nodes = [m["node"] for m in members]
+            marks = np.frombuffer(b"".join(m["sketch"] for m in members), np.uint8).reshape(len(nodes), SKETCH)
+            best, parent, left = np.full(len(nodes), -1), np.zeros(len(nodes), np.int64), np.arange(1, len(nodes))
+            last = 0
+            while len(left):
+                like = (marks[left] == marks[last]).sum(1)
+                nearer = like > best[left]
+                best[left[nearer]], parent[left[nearer]] = like[nearer], last
+                last = left[best[left].argmax()]
+                left = left[left != last]
+                if best[last] >= LOOK * SKETCH:
+                    us.append(nodes[parent[last]])
+                    vs.append(nodes[last])
+        yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
+
+
+def _buckets(keyed: DataFrame, members: int) -> tuple[DataFrame, DataFrame]:
+    """(small, wide): key, node, n of the buckets that have two members or more, up to `members` and beyond."""
+    counts = materialize(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    shared = keyed.join(counts, "key")
+    return shared.where(F.col("n") <= members).select("key", "node"), shared.where(F.col("n") > members).select("key", "node")
+
+
+def text_links(nodes: DataFrame, members: int = MEMBERS) -> DataFrame:
+    """Candidate links u, v between nodes (node, fps, sketch): in each bucket of each fingerprint's covering masks the spanning forest by sketches.
+
+    Buckets are counted by a combining aggregate first; only members of shared ones get their sketches. One task compares `members` of a bucket at
+    most, half a megabyte of sketches. Those of a larger bucket are dealt by bands of their sketches: two texts of similarity 0.8 share one of
+    BANDS bands of ROWS values with a chance of 0.95, in each of the buckets that they share.
+    """
+    masks = covering_masks(RADIUS)
+    keys = F.array(*[F.xxhash64(F.lit(k), F.lit(v), F.get("fps", F.lit(k)).bitwiseAND(F.lit(_signed(m)))) for k in range(PRINTS) for v, m in enumerate(masks)])
+    small, wide = _buckets(nodes.select("node", F.explode(keys).alias("key")), members)
+    sketches = nodes.select("node", "sketch")
+    if not wide.isEmpty():
+        bands = F.array(*[F.xxhash64("key", F.lit(b), F.substring("sketch", b * ROWS + 1, ROWS)) for b in range(BANDS)])
+        dealt = materialize(wide.join(sketches, "node").select("node", F.explode(bands).alias("key")))
+        part, rest = _buckets(dealt, members)
+        # what even one band has in common beyond the bound is cut into runs of it, in the order of the sketches
+        nth = F.row_number().over(Window.partitionBy("key").orderBy("sketch", "node"))
+        runs = rest.join(sketches, "node").select("node", F.xxhash64("key", F.floor(nth / members)).alias("key"))
+        small = small.unionByName(part).unionByName(runs)
+    grouped = small.join(sketches, "node").groupBy("key").agg(F.collect_list(F.struct("node", "sketch")).alias("x"))
+    links = grouped.select(F.array_sort("x").alias("x")).mapInArrow(_trees, "u long, v long")
+    return links.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
+def similar_links(links: DataFrame, texts: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """The links u, v of texts (node, text) whose shingle sets have an exact Jaccard similarity of at least `similar`; two sets without shingles
+    are alike. Only texts that have a link are shingled."""
+    links = materialize(links)
+    ends = links.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    sets = materialize(texts.join(ends, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")).select("text", "node").mapInArrow(_shingled, "node long, shingles array<long>"))
+    side = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"{c}_set"))
+    both = links.join(side("u"), "u").join(side("v"), "v")
+    common, total = F.size(F.array_intersect("u_set", "v_set")), F.size("u_set") + F.size("v_set")
+    return both.where(common >= F.lit(similar) * (total - common)).select("u", "v")
+
+
+def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", members: int = MEMBERS) -> DataFrame:
+    """doc_id, text_hash, times, component of each different id and text of docs: near copies, joined by links of similar texts, share a component,
+    named by the least (doc_id, text_hash) in it.
+
+    Candidates share a bucket of the covering masks of one of PRINTS fingerprints, each the SimHash of the set of the text's words; words
+    change far less than shingles where single words are replaced, so fingerprints within the radius reach down to the similarity that is asked
+    for. Whether a candidate is a near copy is decided by its five-word shingles, exactly. Null ids are left out, null texts are empty, texts without
+    words are alike, an empty table gives no rows.
+    """
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    own = docs.where(F.col(id_col).isNotNull()).select(text.alias("text"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"))
+    marked = materialize(own.mapInArrow(_marked, "doc_id long, text_hash long, fps array<long>, sketch binary"))
+    nodes = materialize(marked.groupBy(F.col("text_hash").alias("node")).agg(F.first("fps").alias("fps"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("doc_id")))
+    links = similar_links(text_links(nodes, members), own.select(F.col("text_hash").alias("node"), "text"))
+    roots = connected_components(links)
+    rooted = materialize(nodes.select("node", "doc_id").join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root")))
+    named = rooted.groupBy("root").agg(F.min(F.struct("doc_id", F.col("node").alias("text_hash"))).alias("component"))
+    label = rooted.join(named, "root").select(F.col("node").alias("text_hash"), "component")
+    return marked.groupBy("doc_id", "text_hash").agg(F.count("*").alias("times")).join(label, "text_hash").select("doc_id", "text_hash", "times", "component")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs with one row for each component: the one with the smallest id.
+    """The rows of docs with one row for each component of near_texts(): the one with the smallest id.
 
     A row is told apart by its id and its text, so an id that comes with two texts is two documents, in two components perhaps. Of
     different texts of a component's smallest id the one with the least hash stays; of rows that repeat id and text the one with the least hash of
@@ -161,11 +309,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     key = [F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("text_hash")]
     own = docs.select(F.struct(*docs.columns).alias("row"), *key)
-    known = docs.where(F.col(id_col).isNotNull())
-    marked = materialize(fingerprints(known, id_col, text_col, more={"text_hash": key[1]}).groupBy("doc_id", "text_hash", "fp").agg(F.count("*").alias("times")))
-    label = components(marked, RADIUS, WIDE, F.min(F.struct("doc_id", "text_hash")))
     stays = (F.col("doc_id") == F.col("component.doc_id")) & (F.col("text_hash") == F.col("component.text_hash"))
-    told = materialize(marked.join(label, "fp").select(F.col("doc_id").alias("id"), "text_hash", "times", stays.alias("stays")))
+    told = materialize(near_texts(docs, id_col, text_col).select(F.col("doc_id").alias("id"), "text_hash", "times", stays.alias("stays")))
     gone, twice = told.where(~F.col("stays")).select("id", "text_hash"), told.where("stays and times > 1").select("id", "text_hash")
     if twice.isEmpty():
         return own.join(gone, ["id", "text_hash"], "left_anti").select("row.*")

@@ -3,8 +3,6 @@ from collections import defaultdict
 
 import pytest
 import xxhash
-from pyspark.sql import functions as F
-
 from ledgerloom.llm import simhash
 from ledgerloom.llm.components import connected_components
 
@@ -84,7 +82,7 @@ def test_empty_table_and_keep_one(spark):
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
     ids = [r["doc_id"] for r in kept.collect()]
-    want = {r["component_id"] for r in simhash.near_duplicates(docs).where(F.col("doc_id").isNotNull()).collect()}
+    want = {r["component"]["doc_id"] for r in simhash.near_texts(docs).collect()}
     assert sorted(i for i in ids if i is not None) == sorted(want) and ids.count(None) == 1
 
 
@@ -102,3 +100,43 @@ def test_keep_one_tells_rows_apart_by_id_and_text(spark):
             first = got
         assert got == first
     assert simhash.keep_one(docs.where("false")).count() == 0
+
+
+def similarity(a, b):
+    sets = []
+    for text in (a, b):
+        w = (text or "").lower().split()
+        sets.append({" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1]) if sets[0] | sets[1] else 1.0
+
+
+@pytest.mark.parametrize("members", [simhash.MEMBERS, 6])
+def test_near_texts_against_brute_force(spark, members):
+    """Nothing is joined that links of similarity 0.8 don't join, and of those links at least nine in ten are found; also where buckets are large."""
+    r = random.Random(4)
+    vocabulary = ["".join(r.choice("aeioulnrst") for _ in range(r.randint(2, 7))) for _ in range(900)]
+    texts = []
+    for _ in range(14):
+        base = [r.choice(vocabulary) for _ in range(r.choice([40, 80, 200, 600]))]
+        for share in (0, 0, 0.005, 0.01, 0.015, 0.02, 0.025, 0.03, 0.05):
+            texts.append(" ".join(r.choice(vocabulary) if r.random() < share else w for w in base))
+    texts += ["", None, " \n", "one two", "one two", "One  Two", "x" * 3000] + [" ".join(texts[0].split()[5:]), texts[1] + "\nand a tail"]
+    got = {x["doc_id"]: x["component"]["doc_id"] for x in simhash.near_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), members=members).collect()}
+    links = [(i, j) for i in range(len(texts)) for j in range(i) if similarity(texts[i], texts[j]) >= 0.8]
+    root = list(range(len(texts)))
+    for i, j in links:
+        a, b = root[i], root[j]
+        root = [min(a, b) if x in (a, b) else x for x in root]
+    assert all(root[i] == root[c] for i, c in got.items()) and len(got) == len(texts)
+    assert sum(got[i] == got[j] for i, j in links) >= 0.9 * len(links) > 100
+    assert simhash.near_texts(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_sketches_tell_similarity():
+    r = random.Random(2)
+    words = [str(r.random()).encode() for _ in range(3000)]
+    for kept in (3000, 2700, 1500):
+        a, b = simhash.shingle_set(words), simhash.shingle_set(words[:kept] + [str(r.random()).encode() for _ in range(3000 - kept)])
+        exact = len(set(a.tolist()) & set(b.tolist())) / len(set(a.tolist()) | set(b.tolist()))
+        told = sum(x == y for x, y in zip(simhash.sketch(a), simhash.sketch(b))) / simhash.SKETCH
+        assert abs(exact - told) < 0.15
