@@ -152,6 +152,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 TEXT_SHINGLE, SIMILAR, PRINTS, SKETCH, LOOK = 5, 0.8, 3, 128, 0.65
 #: Members of a bucket that one task compares by their sketches; in a larger one those are that share one of so many bands of so many sketch values.
 MEMBERS, BANDS, ROWS = 4096, 16, 8
+#: Ids and hashes, some tens of bytes each, that are sent to all tasks at most, so that texts need not be shuffled to meet them.
+NARROW = 500_000
 _MINS = np.random.default_rng(SEED).integers(1 << 32, 1 << 63, SKETCH, np.int64).astype(np.uint64) | np.uint64(1)
 
 
@@ -268,10 +270,12 @@ def text_links(nodes: DataFrame, members: int = MEMBERS) -> DataFrame:
 
 def similar_links(links: DataFrame, texts: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """The links u, v of texts (node, text) whose shingle sets have an exact Jaccard similarity of at least `similar`; two sets without shingles
-    are alike. Only texts that have a link are shingled."""
+    are alike. Only texts that have a link are shingled; up to NARROW of them are told to all tasks, more meet their texts by a join."""
     links = materialize(links)
-    ends = links.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    sets = materialize(texts.join(ends, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")).select("text", "node").mapInArrow(_shingled, "node long, shingles array<long>"))
+    ends = materialize(links.select(F.explode(F.array("u", "v")).alias("node")).distinct())
+    one = lambda df: df.groupBy("node").agg(F.first("text").alias("text"))  # noqa: E731  copies are folded in each task first
+    picked = one(texts.join(F.broadcast(ends), "node", "left_semi")) if ends.count() <= NARROW else one(texts).join(ends, "node", "left_semi")
+    sets = materialize(picked.select("text", "node").mapInArrow(_shingled, "node long, shingles array<long>"))
     side = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"{c}_set"))
     both = links.join(side("u"), "u").join(side("v"), "v")
     common, total = F.size(F.array_intersect("u_set", "v_set")), F.size("u_set") + F.size("v_set")
@@ -313,7 +317,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     told = materialize(near_texts(docs, id_col, text_col).select(F.col("doc_id").alias("id"), "text_hash", "times", stays.alias("stays")))
     gone, twice = told.where(~F.col("stays")).select("id", "text_hash"), told.where("stays and times > 1").select("id", "text_hash")
     if twice.isEmpty():
-        return own.join(gone, ["id", "text_hash"], "left_anti").select("row.*")
+        return own.join(F.broadcast(gone) if gone.count() <= NARROW else gone, ["id", "text_hash"], "left_anti").select("row.*")
     kept = own.join(gone.unionByName(twice), ["id", "text_hash"], "left_anti").select("row.*")
     one = own.join(twice, ["id", "text_hash"], "left_semi").groupBy("id", "text_hash").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row.*")
     return kept.unionByName(one)
