@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bloomlm, bpe, langid, media, oracles, packing, pii, quality, rules, simhash, urltree
+from . import audit, bloomlm, bpe, langid, media, oracles, packing, pii, quality, recipes, rules, search, simhash, urltree
 
 JSON, RANKS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -66,9 +66,25 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op11_block_max_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, documents = search.build(table(spark, sf_dir, "documents"))
+    return search.search(index, documents, table(spark, sf_dir, "benchmark"))
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recipes.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filters": oracles.op2(), "op8_quality_rules": oracles.OP8}
+    return {
+        "op2_url_filters": oracles.op2(), "op8_quality_rules": oracles.OP8, "op11_block_max_search": oracles.OP11, "op12_exact_dedup": oracles.OP12,
+        "op13_filter_audit": oracles.OP13,
+    }
