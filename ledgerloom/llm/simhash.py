@@ -8,7 +8,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, slices
@@ -147,13 +147,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marked.join(components(marked, radius, wide), "fp", "left").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Near copies of texts: words of a shingle, the similarity of their sets from which two texts are linked, fingerprints of a text's words, values of a
-#: sketch, and the estimated similarity from which the exact one is looked at.
-TEXT_SHINGLE, SIMILAR, PRINTS, SKETCH, LOOK = 5, 0.8, 3, 128, 0.65
-#: Members of a bucket that one task compares by their sketches; in a larger one those are that share one of so many bands of so many sketch values.
-MEMBERS, BANDS, ROWS = 4096, 16, 8
-#: Ids and hashes, some tens of bytes each, that are sent to all tasks at most, so that texts need not be shuffled to meet them.
-NARROW = 500_000
+#: Near copies of texts: words of a shingle, the similarity of their sets from which two texts are linked, bands of a sketch and values of a band, and
+#: the similarity by sketches from which the exact one is looked at.
+TEXT_SHINGLE, SIMILAR, BANDS, ROWS, LOOK = 5, 0.8, 25, 5, 0.65
+SKETCH = BANDS * ROWS
+#: Texts, and shingles of theirs, that one task compares; texts of a larger cluster that all its tasks compare with theirs.
+MEMBERS, SHINGLES, LEADERS = 2048, 1 << 24, 16
+#: Bits of a table of marked rows: 64 to a row, so at most half a million rows of two longs are sent to all tasks, whatever the input.
+SLOTS = 1 << 25
 _MINS = np.random.default_rng(SEED).integers(1 << 32, 1 << 63, SKETCH, np.int64).astype(np.uint64) | np.uint64(1)
 
 
@@ -163,144 +164,213 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def shingle_set(words: list[bytes], width: int = TEXT_SHINGLE) -> np.ndarray:
-    """The different hashes of a text's shingles of `width` words, sorted; fewer words are one shingle, none give none."""
+def shingles(words: list[bytes], width: int = TEXT_SHINGLE) -> np.ndarray:
+    """The hashes of a text's shingles of `width` words in order; fewer words are one shingle, none give none."""
     if not words:
         return np.zeros(0, np.uint64)
-    n = max(1, len(words) - width + 1)
-    parts = zip(*(words[k : k + n] for k in range(width)), strict=True) if len(words) >= width else [words]
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(x), SEED) for x in parts), np.uint64, n))
+    hash64 = xxhash.xxh64_intdigest
+    own = np.fromiter((hash64(w, SEED) for w in words), np.uint64, len(words))
+    n, width = max(1, len(words) - width + 1), min(width, len(words))
+    h = np.full(n, width, np.uint64)
+    for k in range(width):
+        h = _mixed(h * np.uint64(0x9E3779B97F4A7C15) + own[k : k + n])
+    return h
 
 
-def sketch(shingles: np.ndarray) -> bytes:
+def shingle_set(words: list[bytes], width: int = TEXT_SHINGLE) -> np.ndarray:
+    """The different hashes of a text's shingles, sorted."""
+    return np.unique(shingles(words, width))
+
+
+def sketch(own: np.ndarray) -> bytes:
     """SKETCH min-hash values of a set, a byte each: as a share of them, equal ones tell the similarity of two sets."""
     least = np.full(SKETCH, (1 << 64) - 1, np.uint64)
-    for at in range(0, len(shingles), BLOCK // 8):
-        least = np.minimum(least, (_mixed(shingles[at : at + BLOCK // 8])[:, None] * _MINS[None, :]).min(0))
+    for at in range(0, len(own), BLOCK // 8):
+        least = np.minimum(least, (_mixed(own[at : at + BLOCK // 8])[:, None] * _MINS[None, :]).min(0))
     return (_mixed(least) >> np.uint64(56)).astype(np.uint8).tobytes()
 
 
-def word_prints(words: list[bytes], prints: int = PRINTS) -> np.ndarray:
-    """SimHash fingerprints of the set of a text's words, each by hashes of its own; no words: zero."""
-    if not words:
-        return np.zeros(prints, np.int64)
-    own = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in set(words)), np.uint64)
-    out = []
-    for k in range(prints):
-        ones = np.zeros(64, np.int64)
-        h = _mixed(own + np.uint64(k))
-        for at in range(0, len(h), BLOCK):
-            ones += np.unpackbits(h[at : at + BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-        out.append(np.packbits((2 * ones > len(h)).astype(np.uint8), bitorder="little").view("<i8")[0])
-    return np.array(out, np.int64)
+def _majority(h: np.ndarray) -> int:
+    """SimHash of hashes, as a signed long; of none: zero."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(h), BLOCK):
+        ones += np.unpackbits(h[at : at + BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits((2 * ones > len(h)).astype(np.uint8), bitorder="little").view("<i8")[0])
 
 
 def _words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
+MARKED = "doc_id long, text_hash long, node long, size long, fp long, sketch binary"
+
+
 def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, 256):
-        prints, sketches = [], []
+        nodes, sizes, fps, sketches = [], [], [], []
         for text in batch.column(0).to_pylist():
-            words = _words(text)
-            prints.append(word_prints(words).tolist())
-            sketches.append(sketch(shingle_set(words)))
-        yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(prints, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["doc_id", "text_hash", "fps", "sketch"])
+            h = shingles(_words(text))
+            own = np.unique(h)
+            nodes.append(_signed(xxhash.xxh64_intdigest(own.tobytes(), SEED)))
+            sizes.append(len(own))
+            fps.append(_majority(h))
+            sketches.append(sketch(own))
+        yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(fps, pa.int64()), pa.array(sketches, pa.binary())], ["doc_id", "text_hash", "node", "size", "fp", "sketch"])
 
 
 def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, 64):
-        own = [shingle_set(_words(t)).view(np.int64).tolist() for t in batch.column(0).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(own, pa.list_(pa.int64()))], ["node", "shingles"])
+        own = [shingle_set(_words(t)).view(np.int64) for t in batch.column(0).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(own, pa.list_(pa.int64()))], ["doc_id", "text_hash", "shingles"])
 
 
 def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Members of a bucket (node, sketch) to a spanning forest of the highest estimated similarities: it joins at every threshold just what all
-    pairs of at least that similarity would join."""
+    """Members of a bucket (node, sketch) to a spanning forest of those pairs whose sketches are alike in LOOK or more."""
     for batch in slices(batches, 64):
         us, vs = [], []
         for members in batch.column(0).to_pylist():
             nodes = [m["node"] for m in members]
             marks = np.frombuffer(b"".join(m["sketch"] for m in members), np.uint8).reshape(len(nodes), SKETCH)
-            best, parent, left = np.full(len(nodes), -1), np.zeros(len(nodes), np.int64), np.arange(1, len(nodes))
-            last = 0
+            left = np.arange(len(nodes))
             while len(left):
-                like = (marks[left] == marks[last]).sum(1)
-                nearer = like > best[left]
-                best[left[nearer]], parent[left[nearer]] = like[nearer], last
-                last = left[best[left].argmax()]
-                left = left[left != last]
-                if best[last] >= LOOK * SKETCH:
-                    us.append(nodes[parent[last]])
-                    vs.append(nodes[last])
+                front, left = left[:1], left[1:]
+                while len(front) and len(left):
+                    near = (marks[left] == marks[front[0]]).sum(1) >= LOOK * SKETCH
+                    us += [nodes[front[0]]] * int(near.sum())
+                    vs += [nodes[x] for x in left[near]]
+                    front, left = np.concatenate([front[1:], left[near]]), left[~near]
         yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
 
 
-def _buckets(keyed: DataFrame, members: int) -> tuple[DataFrame, DataFrame]:
-    """(small, wide): key, node, n of the buckets that have two members or more, up to `members` and beyond."""
-    counts = materialize(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
-    shared = keyed.join(counts, "key")
-    return shared.where(F.col("n") <= members).select("key", "node"), shared.where(F.col("n") > members).select("key", "node")
+def _compared(table: pa.Table) -> pa.Table:
+    """Texts (node, part, sketch, shingles) to the links that join what all pairs of similarity SIMILAR would join, parts being joined already.
+
+    Pairs are those of different parts whose sketches are alike in LOOK or more and whose sizes allow the similarity, the likeliest first; each is
+    either of one part by then, or compared by its sets. None is given up because another one failed.
+    """
+    node, first = np.unique(table.column("node").to_numpy(), return_index=True)
+    table = table.take(pa.array(first))
+    part = np.unique(table.column("part").to_numpy(), return_inverse=True)[1]
+    marks = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(node), SKETCH)
+    sets = [x.values.to_numpy() for x in table.column("shingles")]
+    size = np.array([len(x) for x in sets])
+    left, right, like = [], [], []
+    for i in range(len(node) - 1):
+        may = (part[i + 1 :] != part[i]) & (np.minimum(size[i + 1 :], size[i]) >= SIMILAR * np.maximum(size[i + 1 :], size[i]))
+        some = np.flatnonzero(may) + i + 1
+        told = (marks[some] == marks[i]).sum(1)
+        some, told = some[keep := told >= LOOK * SKETCH], told[keep]
+        left.append(np.full(len(some), i, np.int32))
+        right.append(some.astype(np.int32))
+        like.append(told.astype(np.uint8))
+    order = np.argsort(255 - np.concatenate(like), kind="stable") if like else []
+    a, b = (np.concatenate(x)[order] if x else np.zeros(0, np.int32) for x in (left, right))
+    us, vs, take = [], [], 256
+    while len(a):
+        for i, j in zip(a[:take].tolist(), b[:take].tolist(), strict=True):
+            if part[i] != part[j]:
+                common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if common / max(1, size[i] + size[j] - common) >= SIMILAR:
+                    part[part == part[j]] = part[i]
+                    us.append(node[i])
+                    vs.append(node[j])
+        a, b = a[take:], b[take:]
+        a, b = a[apart := part[a] != part[b]], b[apart]
+        take = min(4096, 2 * take)
+    return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
+
+
+def candidates(nodes: DataFrame, members: int = MEMBERS) -> DataFrame:
+    """Edges u, v between nodes (node, fp, sketch) that connect all pairs that may be near copies.
+
+    Those within the covering radius of their SimHash fingerprints, as near_links() finds them; and, as a similarity of 0.8 lies beyond that radius, those
+    that share a band of their sketches and are alike in LOOK of them (0.99995 of all pairs at 0.8). Buckets of bands are counted by a combining aggregate; only members
+    of shared ones get their sketches, `members` of them in a task at most. Those of a larger bucket are all joined to its least one.
+    """
+    firsts = materialize(nodes.groupBy("fp").agg(F.min("node").alias("first")))
+    links = near_links(firsts.select("fp"))
+    end = lambda c: firsts.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_first"))
+    near = links.join(end("u"), "u").join(end("v"), "v").select(F.col("u_first").alias("u"), F.col("v_first").alias("v"))
+    same = nodes.join(firsts, "fp").where(F.col("node") != F.col("first")).select(F.col("first").alias("u"), F.col("node").alias("v"))
+    keys = F.array(*[F.xxhash64(F.lit(b), F.substring("sketch", b * ROWS + 1, ROWS)) for b in range(BANDS)])
+    keyed = nodes.select("node", F.explode(keys).alias("key"))
+    counts = materialize(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1"))
+    shared = materialize(keyed.join(counts, "key"))
+    small = shared.where(F.col("n") <= members).join(nodes.select("node", "sketch"), "node")
+    grouped = small.groupBy("key").agg(F.collect_list(F.struct("node", "sketch")).alias("x"))
+    trees = grouped.select("x").mapInArrow(_trees, "u long, v long")
+    stars = shared.where((F.col("n") > members) & (F.col("node") != F.col("least"))).select(F.col("least").alias("u"), F.col("node").alias("v"))
+    return near.unionByName(same).unionByName(trees).unionByName(stars)
+
+
+def _slot(key: Column) -> tuple[Column, Column]:
+    at = F.pmod(key, F.lit(SLOTS))
+    return F.shiftright(at, 6).alias("slot"), (at % 64).cast("int").alias("bit")
+
+
+def marked_rows(df: DataFrame, keys: DataFrame, key: Column) -> DataFrame:
+    """df with column hit: true for all rows whose key (the same columns in df and keys) is one of keys, and for few others.
+
+    What is sent to all tasks is a table of bits with a bound of its own, at every size of keys: if they fill it, more rows are hit in vain.
+    """
+    slot, bit = _slot(key)
+    bits = keys.select(slot, bit).groupBy("slot").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
+    return df.withColumns({"slot": slot, "bit": bit}).join(F.broadcast(bits), "slot", "left").withColumn("hit", F.coalesce(F.expr("shiftright(bits, bit) & 1") == 1, F.lit(False))).drop("slot", "bit", "bits")
 
 
-def text_links(nodes: DataFrame, members: int = MEMBERS) -> DataFrame:
-    """Candidate links u, v between nodes (node, fps, sketch): in each bucket of each fingerprint's covering masks the spanning forest by sketches.
+def similar_links(clustered: DataFrame, texts: DataFrame, members: int = MEMBERS, most: int = SHINGLES) -> DataFrame:
+    """Links u, v that join what all pairs of exact similarity SIMILAR or more join within each cluster; two sets without shingles are one node.
 
-    Buckets are counted by a combining aggregate first; only members of shared ones get their sketches. One task compares `members` of a bucket at
-    most, half a megabyte of sketches. Those of a larger bucket are dealt by bands of their sketches: two texts of similarity 0.8 share one of
-    BANDS bands of ROWS values with a chance of 0.95, in each of the buckets that they share.
+    clustered: node, root (its cluster), size (its shingles), sketch, doc_id, text_hash (of one text of it); texts: text, doc_id, text_hash. Only
+    texts of clusters are shingled, which a table of bits of bounded size tells where the texts lie, so no text is shuffled. A cluster of up to `members` texts
+    with `most` shingles is one task's work. A larger one is dealt over tasks, each of which has LEADERS texts of the cluster too, so
+    near copies of the same text meet; then texts that are not in the part of most of the cluster are compared with all the others, in blocks.
     """
-    masks = covering_masks(RADIUS)
-    keys = F.array(*[F.xxhash64(F.lit(k), F.lit(v), F.get("fps", F.lit(k)).bitwiseAND(F.lit(_signed(m)))) for k in range(PRINTS) for v, m in enumerate(masks)])
-    small, wide = _buckets(nodes.select("node", F.explode(keys).alias("key")), members)
-    sketches = nodes.select("node", "sketch")
-    if not wide.isEmpty():
-        bands = F.array(*[F.xxhash64("key", F.lit(b), F.substring("sketch", b * ROWS + 1, ROWS)) for b in range(BANDS)])
-        dealt = materialize(wide.join(sketches, "node").select("node", F.explode(bands).alias("key")))
-        part, rest = _buckets(dealt, members)
-        # what even one band has in common beyond the bound is cut into runs of it, in the order of the sketches
-        nth = F.row_number().over(Window.partitionBy("key").orderBy("sketch", "node"))
-        runs = rest.join(sketches, "node").select("node", F.xxhash64("key", F.floor(nth / members)).alias("key"))
-        small = small.unionByName(part).unionByName(runs)
-    grouped = small.join(sketches, "node").groupBy("key").agg(F.collect_list(F.struct("node", "sketch")).alias("x"))
-    links = grouped.select(F.array_sort("x").alias("x")).mapInArrow(_trees, "u long, v long")
-    return links.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-
-
-def similar_links(links: DataFrame, texts: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """The links u, v of texts (node, text) whose shingle sets have an exact Jaccard similarity of at least `similar`; two sets without shingles
-    are alike. Only texts that have a link are shingled; up to NARROW of them are told to all tasks, more meet their texts by a join."""
-    links = materialize(links)
-    ends = materialize(links.select(F.explode(F.array("u", "v")).alias("node")).distinct())
-    one = lambda df: df.groupBy("node").agg(F.first("text").alias("text"))  # noqa: E731  copies are folded in each task first
-    picked = one(texts.join(F.broadcast(ends), "node", "left_semi")) if ends.count() <= NARROW else one(texts).join(ends, "node", "left_semi")
-    sets = materialize(picked.select("text", "node").mapInArrow(_shingled, "node long, shingles array<long>"))
-    side = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"{c}_set"))
-    both = links.join(side("u"), "u").join(side("v"), "v")
-    common, total = F.size(F.array_intersect("u_set", "v_set")), F.size("u_set") + F.size("v_set")
-    return both.where(common >= F.lit(similar) * (total - common)).select("u", "v")
+    key = F.xxhash64("doc_id", "text_hash")
+    hit = marked_rows(texts, clustered, key).where("hit").select("text", "doc_id", "text_hash")
+    sets = hit.mapInArrow(_shingled, "doc_id long, text_hash long, shingles array<long>").dropDuplicates(["doc_id", "text_hash"])
+    parts = F.ceil(F.greatest(F.col("n") / members, F.col("total") / most)).cast("int")
+    per = clustered.groupBy("root").agg(F.count("*").alias("n"), F.sum("size").alias("total")).withColumn("tasks", parts)
+    own = materialize(clustered.join(per.select("root", "n", "tasks"), "root").join(sets, ["doc_id", "text_hash"]).select("root", "n", "tasks", "node", F.col("node").alias("part"), "sketch", "shingles"))
+    compare = lambda df, *by: df.groupBy(*by).applyInArrow(_compared, "u long, v long")
+    links = materialize(compare(own.where("tasks = 1"), "root"))
+    large = own.where("tasks > 1")
+    if large.isEmpty():
+        return links
+    dealt = F.pmod(F.xxhash64("node"), F.col("tasks")).cast("int").alias("task")
+    each = F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task")
+    leads = F.pmod(F.xxhash64("node", F.lit(1)), F.greatest(F.lit(1), F.col("n") / LEADERS).cast("long")) == 0
+    columns = ("root", "node", "part", "sketch", "shingles")
+    first = materialize(compare(large.select(*columns, dealt).unionByName(large.where(leads).select(*columns, each)), "root", "task"))
+    told = large.drop("part").join(connected_components(first).withColumnRenamed("root", "part"), "node", "left").withColumn("part", F.coalesce("part", "node"))
+    sizes = materialize(told.groupBy("root", "part").agg(F.count("*").alias("k")))
+    main = sizes.groupBy("root").agg(F.max_by("part", F.struct("k", "part")).alias("main"), (F.sum("k") - F.max("k")).alias("apart")).where("apart > 0")
+    split = told.join(main, "root").withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("apart") * F.col("tasks") / F.col("n"))).cast("int"))
+    block = F.pmod(F.xxhash64("node", F.lit(2)), F.col("blocks")).cast("int").alias("block")
+    blocks = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
+    both = split.select(*columns, dealt, blocks).unionByName(split.where("part <> main").select(*columns, block, each))
+    return links.unionByName(first).unionByName(materialize(compare(both, "root", "task", "block")))
 
 
 def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", members: int = MEMBERS) -> DataFrame:
     """doc_id, text_hash, times, component of each different id and text of docs: near copies, joined by links of similar texts, share a component,
     named by the least (doc_id, text_hash) in it.
 
-    Candidates share a bucket of the covering masks of one of PRINTS fingerprints, each the SimHash of the set of the text's words; words
-    change far less than shingles where single words are replaced, so fingerprints within the radius reach down to the similarity that is asked
-    for. Whether a candidate is a near copy is decided by its five-word shingles, exactly. Null ids are left out, null texts are empty, texts without
-    words are alike, an empty table gives no rows.
+    Texts with the same set of five-word shingles are one node. candidates() connects nodes that may be near copies to clusters; within a cluster
+    every pair that its sketches don't rule out is decided by its sets of shingles, exactly, unless both are joined already. Null ids are left out,
+    null texts are empty, texts without words are alike, an empty table gives no rows.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     own = docs.where(F.col(id_col).isNotNull()).select(text.alias("text"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"))
-    marked = materialize(own.mapInArrow(_marked, "doc_id long, text_hash long, fps array<long>, sketch binary"))
-    nodes = materialize(marked.groupBy(F.col("text_hash").alias("node")).agg(F.first("fps").alias("fps"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("doc_id")))
-    links = similar_links(text_links(nodes, members), own.select(F.col("text_hash").alias("node"), "text"))
-    roots = connected_components(links)
-    rooted = materialize(nodes.select("node", "doc_id").join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root")))
-    named = rooted.groupBy("root").agg(F.min(F.struct("doc_id", F.col("node").alias("text_hash"))).alias("component"))
-    label = rooted.join(named, "root").select(F.col("node").alias("text_hash"), "component")
-    return marked.groupBy("doc_id", "text_hash").agg(F.count("*").alias("times")).join(label, "text_hash").select("doc_id", "text_hash", "times", "component")
+    marked = materialize(own.mapInArrow(_marked, MARKED))
+    rep = F.min(F.struct("doc_id", "text_hash", "size", "fp", "sketch")).alias("rep")
+    nodes = materialize(marked.groupBy("node").agg(rep).select("node", "rep.*"))
+    clustered = materialize(connected_components(candidates(nodes, members)).join(nodes, "node"))
+    roots = connected_components(similar_links(clustered, own, members))
+    rooted = materialize(nodes.select("node", "doc_id", "text_hash").join(roots, "node", "left").select("node", "doc_id", "text_hash", F.coalesce("root", "node").alias("root")))
+    named = rooted.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("component"))
+    label = rooted.join(named, "root").select("node", "component")
+    return marked.groupBy("doc_id", "text_hash", "node").agg(F.count("*").alias("times")).join(label, "node").select("doc_id", "text_hash", "times", "component")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -309,15 +379,18 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     A row is told apart by its id and its text, so an id that comes with two texts is two documents, in two components perhaps. Of
     different texts of a component's smallest id the one with the least hash stays; of rows that repeat id and text the one with the least hash of
     all columns. The columns are those of docs, whatever their names. Rows without an id stay, as they can't be told apart; an empty table
-    gives no rows. Only ids and hashes are compared; the rows themselves meet the ids that go (not those that stay) in one join.
+    gives no rows. Only ids and hashes are compared. Rows that a table of bits of bounded size tells to stay go nowhere, at every size of the input; those that
+    it marks, the ones that go and few others, meet the ids in a join.
     """
     key = [F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("text_hash")]
     own = docs.select(F.struct(*docs.columns).alias("row"), *key)
     stays = (F.col("doc_id") == F.col("component.doc_id")) & (F.col("text_hash") == F.col("component.text_hash"))
-    told = materialize(near_texts(docs, id_col, text_col).select(F.col("doc_id").alias("id"), "text_hash", "times", stays.alias("stays")))
-    gone, twice = told.where(~F.col("stays")).select("id", "text_hash"), told.where("stays and times > 1").select("id", "text_hash")
-    if twice.isEmpty():
-        return own.join(F.broadcast(gone) if gone.count() <= NARROW else gone, ["id", "text_hash"], "left_anti").select("row.*")
-    kept = own.join(gone.unionByName(twice), ["id", "text_hash"], "left_anti").select("row.*")
-    one = own.join(twice, ["id", "text_hash"], "left_semi").groupBy("id", "text_hash").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row.*")
-    return kept.unionByName(one)
+    told = near_texts(docs, id_col, text_col).select(F.col("doc_id").alias("id"), "text_hash", "times", stays.alias("stays"))
+    told = materialize(told.where("not stays or times > 1"))
+    rows = marked_rows(own, told, F.xxhash64("id", "text_hash"))
+    maybe = rows.where("hit").drop("hit").join(told, ["id", "text_hash"], "left")
+    alone = rows.where("not hit").unionByName(maybe.where("stays is null").withColumn("hit", F.lit(True)).drop("times", "stays"))
+    if told.where("stays").isEmpty():
+        return alone.select("row.*")
+    one = maybe.where("stays").groupBy("id", "text_hash").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return alone.select("row.*").unionByName(one.select("row.*"))
