@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from decimal import Decimal
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,6 +10,8 @@ from ..functions.dates import DATE, day_first, first_date
 from ..functions.geometry import box_text
 from ..functions.money import MONEY, amounts_in, edge, or_zero, within_tolerance
 from ..functions.text import add_flags, any_of, flag, let, squeeze
+from ..sources.staging import staged
+from .chain import accepted
 
 #: Lines that are never transactions, labels, and references.
 SKIP = r"(?i)page\s+\d+|statement of account|account statement|customer id|nomination|gstin of bank|relationship manager|continued on next|computer generated|end of statement|confidential|^summary\b|debits\s+\d+|opening\s+[\d,]+|this statement is system"
@@ -112,49 +112,43 @@ def line_columns(lines: DataFrame, context: DataFrame) -> DataFrame:
     )
 
 
-ALIGNED = "file_id long, line_no int, row_no int, outcome string, debit decimal(18,2), credit decimal(18,2), extra string"
-
-
-def _align(group: pd.DataFrame) -> pd.DataFrame:
-    """One statement in order: each line's outcome, and the sides as the running balance has them."""
-    near = Decimal("1.00")
-    out, running, row_no = [], None, 0
-    opening = group["opening"].iloc[0]
-    running = opening if isinstance(opening, Decimal) else None
-    for r in group.sort_values("line_no").itertuples():
-        debit, credit = (x if isinstance(x, Decimal) else None for x in (r.debit, r.credit))
-        if row_no and not r.has_date and r.continues:
-            out.append((r.file_id, r.line_no, row_no, "continuation", None, None, r.txt))
-            continue
-        if not r.is_row:
-            out.append((r.file_id, r.line_no, None, "skipped", None, None, None))
-            continue
-        fits = True
-        if running is not None and abs(running - (debit or 0) + (credit or 0) - r.balance) > near:
-            moved = debit or credit
-            if moved and abs(running - moved - r.balance) <= near:
-                debit, credit = moved, None
-            elif moved and abs(running + moved - r.balance) <= near:
-                debit, credit = None, moved
-            else:
-                fits = False
-        if fits:
-            row_no += 1
-            running = r.balance
-            out.append((r.file_id, r.line_no, row_no, "row", debit, credit, None))
-        else:
-            out.append((r.file_id, r.line_no, row_no if row_no and r.continues else None, "rejected", None, None, r.txt if row_no and r.continues else None))
-    return pd.DataFrame(out, columns=["file_id", "line_no", "row_no", "outcome", "debit", "credit", "extra"]).astype({"row_no": "Int64"})
+def _settled(columns: DataFrame, openings: DataFrame) -> DataFrame:
+    """file_id, line_no, row_no, debit, credit of the rows that fit the running balance, with their sides as the balance has them.
+
+    What a row may follow, in paise: its balance with its sides taken back, or with its amount taken back from either side. Which rows follow
+    one another from the opening on is found by chain.accepted().
+    """
+    paise = lambda c: (F.coalesce(F.col(c), F.lit(0).cast(MONEY)) * 100).cast("long")
+    own = columns.where("is_row").join(openings, "file_id", "left")
+    moved = F.coalesce(*[F.nullif((F.col(c) * 100).cast("long"), F.lit(0)) for c in ("debit", "credit")])
+    nth = F.row_number().over(Window.partitionBy("file_id").orderBy("line_no"))
+    stated = paise("balance") + paise("debit") - paise("credit")
+    wants = F.array(stated, paise("balance") + moved, paise("balance") - moved).alias("wants")
+    rows = staged(own.select("file_id", "line_no", nth.alias("idx"), "debit", "credit", paise("balance").alias("state"), wants, (F.col("opening") * 100).cast("long").alias("start")))
+    held = rows.join(accepted(rows.select("file_id", "idx", "state", "wants", "start")), ["file_id", "idx"])
+    fits = lambda i: F.coalesce(F.abs(F.get("wants", F.lit(i)) - F.col("before")) <= 100, F.lit(False))
+    as_is = F.col("before").isNull() | fits(0)
+    amount = F.coalesce(F.nullif("debit", F.lit(0).cast(MONEY)), F.col("credit"))
+    debit = F.when(as_is, F.col("debit")).when(fits(1), amount)
+    credit = F.when(as_is, F.col("credit")).when(~fits(1), amount)
+    row_no = F.row_number().over(Window.partitionBy("file_id").orderBy("idx"))
+    return held.select("file_id", "line_no", row_no.alias("row_no"), debit.alias("debit"), credit.alias("credit"))
 
 
 def align(columns: DataFrame, context: DataFrame) -> DataFrame:
     """Each line's outcome (row, continuation, rejected, skipped), the row it belongs to, and its sides after alignment.
 
-    The state is the last accepted balance, so a statement is folded in order by one task; a statement is one file of bounded size, and
-    only the fold's small columns travel.
+    The state is the last accepted balance. Which rows fit it is found in sorts and joins, whatever the length of a statement; no Python runs.
     """
     small = columns.select("file_id", "line_no", "is_row", "continues", "has_date", "debit", "credit", "balance", F.when(~F.col("has_date") | F.col("is_row"), F.col("txt")).alias("txt"))
-    return small.join(context.select("file_id", "opening"), "file_id").groupBy("file_id").applyInPandas(_align, ALIGNED)
+    small = staged(small.join(context.select("file_id"), "file_id", "left_semi"))
+    held = _settled(small, context.select("file_id", "opening"))
+    df = small.drop("debit", "credit").join(held.withColumnRenamed("row_no", "own"), ["file_id", "line_no"], "left")
+    df = df.withColumn("last", F.last("own", ignorenulls=True).over(Window.partitionBy("file_id").orderBy("line_no")))
+    follows = F.col("last").isNotNull() & F.col("continues")
+    outcome = F.when(follows & ~F.col("has_date"), "continuation").when(~F.col("is_row"), "skipped").when(F.col("own").isNotNull(), "row").otherwise("rejected").alias("outcome")
+    adds = follows & F.col("own").isNull() & (~F.col("has_date") | F.col("is_row"))
+    return df.select("file_id", "line_no", F.when(F.col("own").isNotNull() | adds, F.col("last")).alias("row_no"), outcome, "debit", "credit", F.when(adds, F.col("txt")).alias("extra"))
 
 
 def transactions(lines: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:

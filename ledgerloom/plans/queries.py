@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -13,6 +12,7 @@ from ..functions import dates, geometry, identifiers, money, text
 from ..operators import bank, books, classify, gst, invoice, recon, reports
 from ..sources.containers import voucher_elements
 from ..sources.files import mime
+from ..sources.staging import shared_place
 from ..streaming.ingest import run_available
 from .views import INV, STATEMENT, flags_sql, gstin_of, gstin_sql, inv, rupees, statement, table
 
@@ -30,17 +30,6 @@ def query(sql: str | None = None):
     return add
 
 
-def shared_place(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; a local session without it gets a folder of its own, a cluster an error."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = tempfile.mkdtemp(prefix="ledgerloom-")
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
 def paise_text(paise: Column) -> Column:
     """Whole paise as rupees with two decimals."""
     return (paise / 100).cast(money.MONEY).cast("string")
