@@ -48,28 +48,45 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when(longest == 0, 0.0).otherwise(1.0 - F.levenshtein(a, b) / longest)
 
 
+def grade(score: Column) -> Column:
+    return F.when(score >= 90, "auto").when(score >= 70, "likely").otherwise("possible")
+
+
+def near_kinds(bank: DataFrame, invoices: DataFrame, days: int) -> DataFrame:
+    """Candidates of two sides that have different rows only, with score: amounts within one rupee, dates at most `days` apart.
+
+    Both have day, cents, direction, name, and columns of their own, which stay. They meet by rupee and week cells, in which the second side stands in
+    its own and the neighbouring ones, so no side is compared with all of the other. Points: amount 50, date 20, direction 10, name 20 times similarity,
+    rounded down.
+    """
+    key = ["day", "cents", "direction", "name"]
+    week = lambda c: F.floor(F.datediff(F.col(c), F.lit("1970-01-01").cast("date")) / days)
+    around = lambda c: F.explode(F.array(c - 1, c, c + 1))
+    left = bank.select(F.struct(*key).alias("k"), *[c for c in bank.columns if c not in key])
+    left = left.select("*", F.floor(F.col("k.cents") / 100).alias("rupee"), week("k.day").alias("week"))
+    right = invoices.select("*", around(F.floor(F.col("cents") / 100)).alias("rupee"), week("day").alias("own_week"))
+    right = right.select("*", around(F.col("own_week")).alias("week")).drop("own_week")
+    near = left.join(right, ["rupee", "week"]).where((F.abs(F.col("cents") - F.col("k.cents")) <= 100) & (F.abs(F.datediff("day", "k.day")) <= days))
+    score = 70 + F.when(F.col("direction") == F.col("k.direction"), 10).otherwise(0) + F.floor(20 * similarity(F.col("name"), F.col("k.name")))
+    return near.withColumn("score", score.cast("int")).drop("rupee", "week")
+
+
 def score_matches(bank: DataFrame, invoices: DataFrame, days: int = 7) -> DataFrame:
     """The best invoice of each bank row: bank_id, invoice_id, score, grade.
 
-    bank: bank_id, day, cents, direction, name; invoices: the same with invoice_id. Candidates have amounts within one rupee and dates at most
-    `days` apart. Rows of a side that agree in all of this score alike, so both sides are folded to their different rows first, the invoices
-    with their smallest id; then they meet by rupee and week cells, in which the invoice stands in its own and the neighbouring ones, so
-    no side is compared with all of the other, and a common amount counts once a day, direction and name. Points: amount 50, date 20, direction
-    10, name 20 times similarity, rounded down. 90 and more is auto, 70 likely, 40 possible. Ties go to the smallest invoice_id.
+    bank: bank_id, day, cents, direction, name; invoices: the same with invoice_id. Rows of a side that agree in all of this score alike, so both
+    sides are folded to their different rows first, the invoices with their smallest id, and a common amount counts once a day,
+    direction and name; then they meet by near_kinds(). 90 and more is auto, 70 likely, 40 possible. Ties go to the smallest invoice_id. An invoice may
+    be the best of several rows: matching.assign() gives each one once.
     """
     key = ["day", "cents", "direction", "name"]
-    week = lambda c: F.floor(F.datediff(F.col(c), F.lit("1970-01-01").cast("date")) / days)
-    kinds = bank.select(*key).distinct().select(F.struct(*key).alias("b"))
-    left = kinds.select("b", F.floor(F.col("b.cents") / 100).alias("rupee"), week("b.day").alias("week"))
-    right = invoices.groupBy(*key).agg(F.min("invoice_id").alias("invoice_id")).select("invoice_id", *key, F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda i: F.floor(F.col("cents") / 100) + i)).alias("rupee"), week("day").alias("own_week"))
-    right = right.select("*", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda i: F.col("own_week") + i)).alias("week")).drop("own_week")
-    near = left.join(right, ["rupee", "week"]).where((F.abs(F.col("cents") - F.col("b.cents")) <= 100) & (F.abs(F.datediff("day", "b.day")) <= days))
-    score = 70 + F.when(F.col("direction") == F.col("b.direction"), 10).otherwise(0) + F.floor(20 * similarity(F.col("name"), F.col("b.name")))
-    best = near.select("b", "invoice_id", score.cast("int").alias("score")).groupBy("b").agg(F.max_by("invoice_id", F.struct("score", (-F.col("invoice_id")).alias("n"))).alias("invoice_id"), F.max("score").alias("score"))
+    kinds = invoices.groupBy(*key).agg(F.min("invoice_id").alias("invoice_id"))
+    near = near_kinds(bank.select(*key).distinct(), kinds, days).select(F.col("k").alias("b"), "invoice_id", "score")
+    best = near.groupBy("b").agg(F.max_by("invoice_id", F.struct("score", (-F.col("invoice_id")).alias("n"))).alias("invoice_id"), F.max("score").alias("score"))
     best = best.select(*[F.col(f"b.{k}").alias(f"b_{k}") for k in key], "invoice_id", "score")
     same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"b_{k}")) for k in key])
     matched = bank.select("bank_id", *key).join(best, same).select("bank_id", "invoice_id", "score")
-    return matched.withColumn("grade", F.when(F.col("score") >= 90, "auto").when(F.col("score") >= 70, "likely").otherwise("possible"))
+    return matched.withColumn("grade", grade(F.col("score")))
 
 
 def presence(sides: dict[str, DataFrame], key: str) -> DataFrame:
@@ -85,6 +102,25 @@ def presence(sides: dict[str, DataFrame], key: str) -> DataFrame:
     return each.withColumn("label", F.when(missing == "", "consistent").otherwise(F.concat(F.lit("missing in "), missing)))
 
 
+#: What it is called when some sources have an entry and others don't. A rule looks at the named sources only.
+FINDINGS = (
+    ("possible_sale_missing_from_books", {"gstr_1": True, "bank": True, "books": False}),
+    ("possible_gst_reporting_gap", {"books": True, "bank": True, "gstr_1": False}),
+    ("documents_or_books_entry_missing", {"gstr_2b": True, "invoice": False, "books": False}),
+    ("supporting_document_missing", {"gstr_2b": True, "invoice": False, "books": True}),
+)
+
+
+def inconsistencies(present: DataFrame, findings: tuple = FINDINGS) -> DataFrame:
+    """present (of presence(), columns in_<source>) with finding: the first rule that fits a key, or null. A rule about a source that wasn't compared
+    can't fit."""
+    found = F.lit(None).cast("string")
+    for name, rule in reversed(findings):
+        if all(f"in_{source}" in present.columns for source in rule):
+            found = F.when(reduce(lambda x, y: x & y, [F.col(f"in_{source}") == F.lit(has) for source, has in rule.items()]), name).otherwise(found)
+    return present.withColumn("finding", found)
+
+
 def period_owners(periods: DataFrame, clients: DataFrame) -> DataFrame:
     """period_id, label, client_id, client, gstin: whose each period is; a period of an unknown client stays, without one."""
     own = clients.select("client_id", F.col("name").alias("client"), "gstin")
@@ -103,12 +139,64 @@ def missing_documents(portal: DataFrame, invoices: DataFrame) -> DataFrame:
     return keyed(portal).join(keyed(invoices).select(*KEY).distinct(), KEY, "left_anti").drop(*KEY)
 
 
-def unusual_months(monthly: DataFrame, account: str, factor: float = 3.0, least: int = 3) -> DataFrame:
-    """monthly (account, month, amount) with mean_before, months_before and unusual: more than `factor` times the mean of all months before,
-    once there are at least `least` of them."""
+def coverage_gaps(statements: DataFrame, accounts: DataFrame, start: Column, end: Column) -> DataFrame:
+    """account, gap_from, gap_to, days: the stretches of a period that no statement of an account covers, at both ends as well.
+
+    statements: account, day_from, day_to (both included; turned ones are put right, ones without both days are left out); accounts: account, all that are known, so one
+    without any statement lacks the whole period. Statements are cut to the period and those that overlap or touch are joined to
+    islands by the greatest end so far; a gap is what lies before an island, or after the last one.
+    """
+    low, high = F.least("day_from", "day_to"), F.greatest("day_from", "day_to")
+    own = statements.where("day_from is not null and day_to is not null").select("account", F.greatest(low, start).alias("a"), F.least(high, end).alias("b")).where("a <= b")
+    known = accounts.select("account").distinct()
+    # an empty island after the period, so that what follows the last one is a gap like any other
+    every = own.join(known, "account", "left_semi").unionByName(known.select("account", F.date_add(end, 1).alias("a"), F.date_add(end, 1).alias("b")))
+    before = Window.partitionBy("account").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1)
+    reached = F.coalesce(F.max("b").over(before), F.date_sub(start, 1))
+    gaps = every.withColumn("reached", reached).where(F.col("a") > F.date_add("reached", 1))
+    return gaps.select("account", F.date_add("reached", 1).alias("gap_from"), F.date_sub("a", 1).alias("gap_to"), (F.datediff("a", "reached") - 1).alias("days"))
+
+
+def missing_statement_months(gaps: DataFrame) -> DataFrame:
+    """account, month (first day), days: how many days of each month lie in gaps."""
+    month = F.explode(F.sequence(F.trunc("gap_from", "month"), F.trunc("gap_to", "month"), F.expr("interval 1 month"))).alias("month")
+    each = gaps.select("account", "gap_from", "gap_to", month)
+    days = F.datediff(F.least("gap_to", F.last_day("month")), F.greatest("gap_from", "month")) + 1
+    return each.groupBy("account", "month").agg(F.sum(days).cast("int").alias("days"))
+
+
+def unusual_months(monthly: DataFrame, account: str, factor: float = 3.0, least: int = 3, floor: float = 0.1) -> DataFrame:
+    """monthly (account, month, amount) with months_before, median_before, spread_before and activity: low, high, normal, or null while there are
+    fewer than `least` months before.
+
+    What was usual is the median of the months before, how far months strayed from it the median distance from it, times 1.4826, and `floor` of the median at
+    least, so that equal months don't make every change unusual. A month is low or high from more than `factor` spreads on. An account's months are bounded by
+    the calendar, so they are an array in its rows. Months without an amount count for nothing.
+    """
     before = Window.partitionBy(account).orderBy("month").rowsBetween(Window.unboundedPreceding, -1)
-    df = monthly.withColumns({"months_before": F.count("*").over(before), "mean_before": F.avg("amount").over(before)})
-    return df.withColumn("unusual", F.coalesce((F.col("months_before") >= least) & (F.col("amount") > factor * F.col("mean_before")), F.lit(False)))
+    median = lambda x: (F.get(x, F.floor((F.size(x) - 1) / 2).cast("int")) + F.get(x, F.floor(F.size(x) / 2).cast("int"))) / 2
+    df = monthly.withColumn("__past", F.sort_array(F.collect_list(F.col("amount").cast("double")).over(before)))
+    df = df.withColumns({"months_before": F.size("__past"), "median_before": median(F.col("__past"))})
+    df = df.withColumn("__off", F.sort_array(F.transform("__past", lambda x: F.abs(x - F.col("median_before")))))
+    df = df.withColumn("spread_before", F.greatest(1.4826 * median(F.col("__off")), floor * F.abs("median_before")))
+    off = F.col("amount").cast("double") - F.col("median_before")
+    told = F.when(off < -factor * F.col("spread_before"), "low").when(off > factor * F.col("spread_before"), "high").otherwise("normal")
+    return df.withColumn("activity", F.when((F.col("months_before") >= least) & F.col("amount").isNotNull(), told)).drop("__past", "__off")
+
+
+def graded_activity(documents: DataFrame, evidence: dict[str, DataFrame], account: str) -> DataFrame:
+    """account, month, amount, activity and grade of documents (account, month, amount), with what other sources say of the same month.
+
+    A low month is merely unusual_low if every source that has the month is low as well, and probably_missing if one of them is not; without any it is
+    low_without_evidence. A high one is unusual_high, all others are usual.
+    """
+    df = unusual_months(documents, account).select(account, "month", "amount", "activity")
+    names = list(evidence)
+    for name in names:
+        df = df.join(unusual_months(evidence[name], account).select(account, "month", F.col("activity").alias(f"in_{name}")), [account, "month"], "left")
+    said = F.array_compact(F.array(*[F.col(f"in_{n}") for n in names])) if names else F.array().cast("array<string>")
+    low = F.when(F.size(said) == 0, "low_without_evidence").when(F.forall(said, lambda x: x == "low"), "unusual_low").otherwise("probably_missing")
+    return df.withColumn("grade", F.when(F.col("activity") == "low", low).when(F.col("activity") == "high", "unusual_high").otherwise("usual"))
 
 
 def monthly_quota(files: DataFrame, client: str, created: str, most: int = 100) -> DataFrame:

@@ -93,6 +93,20 @@ def pack_summary(outputs: DataFrame, by: list[str]) -> DataFrame:
     return each.select(*by, "total_rows", F.to_json(F.struct("outputs", "total_rows")).alias("summary"))
 
 
+def pack_totals(outputs: DataFrame, levels: list[str]) -> DataFrame:
+    """outputs (the columns of levels, rows, status) summed for each level and all above it, in one pass: level, the columns, packs, outputs, rows, ready.
+
+    levels go from the widest to the narrowest, say firm, client, period; level names the last one that a row is about, or all. A column that is null in a
+    row's own level is a value of the data; grouping ids tell it from one that is summed over. packs counts the different narrowest groups.
+    """
+    each = outputs.groupBy(*levels).agg(F.count("*").alias("o"), F.sum("rows").alias("r"), F.count_if(F.col("status") == "ready").alias("y"))
+    totals = each.rollup(*levels).agg(F.grouping_id(*levels).alias("id"), F.count("*").alias("packs"), F.sum("o").alias("outputs"), F.sum("r").alias("rows"), F.sum("y").alias("ready"))
+    level = F.lit("all")
+    for depth, name in enumerate(levels, 1):
+        level = F.when(F.col("id") == (1 << (len(levels) - depth)) - 1, name).otherwise(level)
+    return totals.select(level.alias("level"), *levels, "packs", "outputs", "rows", "ready")
+
+
 def latest(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     """The last row of each group in a total order; folded with max_by, so no group is sorted."""
     rest = [c for c in rows.columns if c not in by]

@@ -469,14 +469,6 @@ def missing_months(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recon.missing_months(table(spark, sf_dir, "orders").select("o_custkey", F.to_date("o_orderdate").alias("day")), "o_custkey", "day")
 
 
-@query("""WITH m AS (SELECT o_custkey, date_trunc('month', o_orderdate)::DATE AS month, sum(floor(o_totalprice)::BIGINT)::BIGINT AS amount FROM orders GROUP BY ALL), b AS (SELECT *, count(*) OVER w AS months_before, sum(amount) OVER w AS before FROM m WINDOW w AS (PARTITION BY o_custkey ORDER BY month ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
-SELECT o_custkey, month, amount, months_before, coalesce(months_before >= 3 AND amount > 3.0::DOUBLE * (before::DOUBLE / months_before), false) AS unusual FROM b""")
-def unusual_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Months far above an account's mean so far."""
-    m = table(spark, sf_dir, "orders").groupBy("o_custkey", F.trunc(F.to_date("o_orderdate"), "month").alias("month")).agg(F.sum(F.floor("o_totalprice")).alias("amount"))
-    return recon.unusual_months(m, "o_custkey").select("o_custkey", "month", "amount", "months_before", "unusual")
-
-
 @query("SELECT o_orderkey, coalesce(CASE WHEN o_orderkey % 4 <> 3 THEN o_orderdate::DATE < DATE '1994-01-01' OR o_orderdate::DATE > DATE '1996-12-31' END, false) AS flagged FROM orders")
 def date_out_of_period(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dates outside a period, in four forms; text that is no date isn't flagged."""
