@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import file_name, file_suffix, safe_name
 from ..operators.reports import first_seen
+from .staging import staged
 
 #: The largest file that is read, and types by suffix.
 LARGEST = 100 * 1024 * 1024
@@ -54,7 +55,47 @@ def scan(spark: SparkSession, folder: str) -> DataFrame:
     seen = files.where(visible(F.col("path")))
     small = seen.where(F.col("length") <= LARGEST).select("path", "length", "modificationTime", "content")
     large = seen.where(F.col("length") > LARGEST).select("path", "length", "modificationTime", F.lit(None).cast("binary").alias("content"))
-    again = repeats(seen.select("path")).cache()
+    again = staged(repeats(seen.select("path")))
     if again.isEmpty():
         return listed(small.unionByName(large))
     return listed(small.unionByName(large).join(again, "path", "left_anti"))
+
+
+def apart(folders: list[str]) -> list[str]:
+    """The folders without those that lie in another one, so that no file is listed twice."""
+    ends = sorted({f.rstrip("/") + "/" for f in folders})
+    return [f.rstrip("/") for f in ends if not any(f != g and f.startswith(g) for g in ends)]
+
+
+def listed_files(spark: SparkSession, folders: list[str]) -> DataFrame:
+    """path, length, modified of all files below the folders; no content is read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folders)
+    return files.where(visible(F.col("path"))).select("path", "length", F.col("modificationTime").alias("modified"))
+
+
+#: Files whose rows are sent to all tasks at a time, and paths that are opened one by one instead of by their folders.
+BLOCK, PATHS = 100_000, 10_000
+
+
+def with_content(spark: SparkSession, files: DataFrame, folders: list[str]) -> DataFrame:
+    """files (path, ...) with content; null where there is no file or it is too large.
+
+    The rows of files go to where contents are read, a bounded block at a time, so no content is ever shuffled. A few files are opened by their paths,
+    so that the others are not read at all.
+    """
+    n = files.count()
+    if not n or not folders:
+        return files.withColumn("content", F.lit(None).cast("binary"))
+    have = listed_files(spark, folders).where(F.col("length") <= LARGEST).select("path")
+    there = staged(files.join(have, "path", "left_semi"))
+    few = [r[0] for r in there.select("path").distinct().collect()] if n <= PATHS else None
+    if few == []:
+        return files.withColumn("content", F.lit(None).cast("binary"))
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(few or folders)
+    small = read.where(F.col("length") <= LARGEST).select("path", "content")
+    blocks = -(-n // BLOCK)
+    out = files.join(have, "path", "left_anti").withColumn("content", F.lit(None).cast("binary"))
+    for k in range(blocks):
+        own = there.where(F.pmod(F.xxhash64("path"), F.lit(blocks)) == k)
+        out = out.unionByName(small.join(F.broadcast(own), "path").select(*out.columns))
+    return out
