@@ -64,6 +64,12 @@ def period_label(day: Column | str) -> Column:
     return F.date_format(_c(day), "MMM yyyy")
 
 
+def label_bounds(label: Column | str) -> tuple[Column, Column]:
+    """First and last day of the month that a label like Apr 2025 names; nulls for other labels."""
+    first = F.try_to_timestamp(F.initcap(F.trim(_c(label))), F.lit("MMM yyyy")).cast("date")
+    return first, F.last_day(first)
+
+
 def out_of_period(day: Column | str, start: Column, end: Column) -> Column:
     """Whether a date text is a date outside the period; text that is no date is not flagged."""
     return F.coalesce(let(try_date(day), lambda found: (found < start) | (found > end)), F.lit(False))

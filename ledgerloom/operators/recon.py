@@ -7,8 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.dates import sheet_date
+from ..functions.dates import out_of_period, sheet_date
 from ..functions.money import TOLERANCE
+from ..functions.text import add_flags, flag
 
 KEY = ["k_gstin", "k_invoice", "k_date"]
 
@@ -41,6 +42,22 @@ def duplicates(rows: DataFrame) -> DataFrame:
     return marked.join(many, KEY, "left").withColumn("possible_duplicate", F.col("__n").isNotNull()).drop("__n", *KEY)
 
 
+def stamped(rows: DataFrame, gstin: str = "gstin", by: str | None = None, start: Column | None = None, end: Column | None = None) -> DataFrame:
+    """rows (gstin, invoice_number, invoice_date, flags, ...) with the flags possible_duplicate and date_out_of_period where they hold; other columns
+    as they were.
+
+    A row is a possible duplicate if another one, in the same group of column `by`, has its identifier, number and date, compared as in keyed(). Its date is
+    out of the period if it is a date before start or after end; without both, no date is looked at. Rows are marked, never dropped or changed.
+    """
+    group = F.coalesce(F.col(by).cast("string"), F.lit("")) if by else F.lit("")
+    own = keyed(rows.select(F.struct(*rows.columns).alias("row"), F.col(gstin).alias("gstin"), "invoice_number", "invoice_date", group.alias("__by")))
+    many = own.where("k_invoice <> ''").groupBy("__by", *KEY).agg(F.count("*").alias("__n")).where("__n > 1")
+    out = out_of_period("invoice_date", start, end) if start is not None and end is not None else F.lit(False)
+    marked = own.join(many, ["__by", *KEY], "left")
+    flags = add_flags(F.col("row.flags"), flag(F.col("__n").isNotNull(), "possible_duplicate"), flag(out, "date_out_of_period"))
+    return marked.select(*[flags.alias(c) if c == "flags" else F.col(f"row.{c}") for c in rows.columns])
+
+
 def similarity(a: Column, b: Column) -> Column:
     """1 minus edit distance over the longer length, of trimmed lower-case names."""
     a, b = F.lower(F.trim(F.coalesce(a, F.lit("")))), F.lower(F.trim(F.coalesce(b, F.lit(""))))

@@ -16,6 +16,7 @@ SUMMARY = {"Section": "section", "Taxable": "taxable", "IGST": "igst", "CGST": "
 HSN = {"HSN": "hsn", "Taxable": "taxable", "IGST": "igst", "CGST": "cgst", "SGST": "sgst", "Cess": "cess", "Flags": "flags", "Source": "source"}
 BANK = {"Date": "date", "Description": "description", "Cheque / Ref": "cheque_ref", "Debit": "debit", "Credit": "credit", "Balance": "balance", "Source": "source", "Flags": "flags"}
 CHECKS = {"File": "name", "Bank": "account_name", "Sheet": "sheet", "Account no": "account_number", "IFSC": "ifsc", "Rows": "row_count", "Opening": "opening_balance", "Stated close": "stated_closing", "Computed close": "computed_closing", "Result": "result", "Broken at": "broken_at_row", "Flags": "flags"}
+GRID = {"GSTIN": "k_gstin", "Invoice no": "k_invoice", "Date": "k_date", "Books value": "books_value", "2B value": "portal_value", "Gap": "gap", "Status": "status"}
 NO_ROWS, NONE, MATCH_NOTE = "No rows extracted", "none", "Match columns are empty until reconciliation."
 NOTES = ("CDN", "CDNR", "CDNA", "CDNRA")
 RED = ("gstin_checksum", "hsn_length", "invoice_math")
@@ -191,6 +192,11 @@ def register_pack(rows: DataFrame, sheet: str, columns: dict[str, str]) -> DataF
     return _sheet(rows, 1, sheet, columns, ["source", "invoice_number", "invoice_value"])
 
 
+def grid_pack(rows: DataFrame) -> DataFrame:
+    """Rows of the workbook of the master reconciliation grid, for workbooks(): rows are pack_id and those of recon.reconcile()."""
+    return _sheet(rows, 1, "Master_Reconciliation_Grid", GRID, ["k_gstin", "k_invoice", "k_date"])
+
+
 def bank_pack(files: DataFrame, rows: DataFrame, checks: DataFrame) -> DataFrame:
     """Rows of the bank workbooks, for workbooks(): the balance check of each file, and a sheet for each file.
 
