@@ -16,6 +16,8 @@ from .common import materialize, slices
 LEAST, MOST, BITS = 1024, 16384, 11
 #: Bytes of an identifier. A clash of two contents, which verification finds, doubles it.
 WIDTH = 16
+#: A group is large if it has more than one in so many of all rows; bytes of the list of one that is sent to all tasks (of longer texts few are alike).
+HOT, HOT_BYTES = 1024, 1 << 14
 #: Bytes that the rolling hash sees, and bytes hashed at once.
 WINDOW, BLOCK = 32, 1 << 20
 _GEAR = np.random.default_rng(12).integers(0, 1 << 32, 256, np.uint64).astype(np.uint32)
@@ -112,11 +114,17 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """doc_id, keep_id, group_size, kept, text_sha256 of each row of docs: of equal texts the row with the largest id stays.
 
     Texts move once, as chunks folded in each task, to verify identifiers; what is grouped and joined are lists of identifiers, under one percent of
-    the texts. Groups are folded by combining aggregates, and a group with a large share of all rows meets its fact by a skewed join that adaptive
-    execution splits. Of rows that repeat the largest id one stays; rows without an id come last, and are kept by number if a group has no others.
+    the texts. Groups are folded by combining aggregates; the facts of the few that hold a large share of all rows are sent to all tasks, of which there
+    are fewer than HOT, of HOT_BYTES each at most, and all others meet theirs by a join without a hot key. Of rows that repeat the largest id one stays; rows without an id come last, and are kept by number if a group has no others.
     Other columns are ignored; an empty table gives no rows.
     """
     own = recipes(docs, id_col, text_col, normal, width)
     facts = own.groupBy("recipe").agg(F.max(F.struct("doc_id", "row")).alias("keep"), F.count("*").alias("group_size"))
-    kept = (F.col("row") == F.col("keep.row")).alias("kept")
-    return own.join(facts, "recipe").select("doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", kept, "text_sha256")
+    facts = materialize(facts.select("recipe", F.col("keep.doc_id").alias("keep_id"), F.col("keep.row").alias("keep_row"), "group_size"))
+    rows = facts.agg(F.sum("group_size")).first()[0] or 0
+    # groups with more than a part in HOT of all rows, fewer than HOT, are told to all tasks; the rest has no hot key
+    hot = facts.where((F.col("group_size") > rows / HOT) & (F.octet_length("recipe") <= HOT_BYTES))
+    told = own.join(F.broadcast(hot), "recipe", "left")
+    rest = told.where("group_size is null").select(*own.columns).join(facts, "recipe")
+    both = told.where("group_size is not null").unionByName(rest)
+    return both.select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "text_sha256")
