@@ -3,25 +3,36 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from array import array
 from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import materialize, slices
 
 UNKNOWN = "und"
-#: The bounded sample: rows of a language, whole, their characters together, and languages (the most frequent ones), at most. It is dealt
-#: into PARTS by hash; a row that is longer than its part's characters, or goes beyond them, is left out.
-DOCS, CHARS, LANGS, PARTS = 800, 1 << 25, 256, 32
+#: The bounded sample: rows of a language, whole, and their characters together, at most; rows and characters of all languages, which they share evenly
+#: if there are many. It is dealt into PARTS by hash; a row that is longer than its part's characters, or goes beyond them, is left out.
+DOCS, CHARS, ROWS, ALL_CHARS, PARTS = 800, 1 << 25, 204_800, 1 << 33, 32
 LONGEST, SMOOTH = 5, 0.5
 WORD = re.compile(r"[^\W\d_]+")
-#: Words whose vector a task keeps.
-KEPT = 200_000
+#: Combining marks, which belong to the letter before them.
+_MARKS = "".join(re.escape(chr(c)) for c in range(0x300, 0x20000) if unicodedata.category(chr(c)) in ("Mn", "Mc"))
+MARK, MARKED_WORD = re.compile(f"[{_MARKS}]"), re.compile(f"[^\\W\\d_](?:[^\\W\\d_]|[{_MARKS}])*")
+#: Words whose vector a task keeps, and numbers of these vectors together.
+KEPT, NUMBERS = 200_000, 25_000_000
+
+
+def words_of(text: str) -> list[str]:
+    """Runs of letters and their combining marks, in lower case."""
+    low = text.lower()
+    return (WORD if low.isascii() or not MARK.search(low) else MARKED_WORD).findall(low)
 
 
 def held_out(column: str = "doc_id", mod: int = 5, rest: int = 0) -> F.Column:
@@ -35,13 +46,32 @@ def _grams(word: str, size: int) -> list[str]:
     return [marked[at : at + size] for at in range(len(marked) - size + 1)]
 
 
+@dataclass
+class Table:
+    """Log frequencies of strings by language: those of strings that a language has, and what it gives for all others."""
+
+    first: np.ndarray
+    lang: np.ndarray
+    more: np.ndarray
+    other: np.ndarray
+
+    def mean(self, rows: list[int]) -> np.ndarray:
+        """The mean vector of these strings."""
+        out = self.other.copy()
+        for i in rows:
+            own = slice(self.first[i], self.first[i + 1])
+            out[self.lang[own]] += self.more[own] / len(rows)
+        return out
+
+
 class Model:
-    """Per-language log frequencies of words and of n-grams of each size: string to row, and the rows of all as one array."""
+    """Per-language log frequencies of words and of n-grams of each size. Only what a language has takes memory, a few bytes for each string, so it follows
+    the sample and not the number of languages."""
 
     def __init__(self, langs: list[str], counts: dict[str, dict[str, int]]):
         self.langs = langs
         self.index: list[dict[str, int]] = [{} for _ in range(LONGEST + 1)]
-        columns: list[list[np.ndarray]] = [[] for _ in range(LONGEST + 1)]
+        columns: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(LONGEST + 1)]
         for lang in langs:
             rows, times = [array("l") for _ in self.index], [array("d") for _ in self.index]
             for word, n in counts[lang].items():
@@ -50,36 +80,40 @@ class Model:
                         rows[size].append(index.setdefault(gram, len(index)))
                         times[size].append(n)
             for column, r, t in zip(columns, rows, times, strict=True):
-                column.append(np.bincount(np.array(r, np.int64), np.array(t)))
-        self.rows = [self._logs(column, len(index)) for column, index in zip(columns, self.index, strict=True)]
-
-    def _logs(self, columns: list[np.ndarray], n: int) -> np.ndarray:
-        """Log frequencies (string, language) from each language's counts, which end where a language has no later string."""
-        table = np.zeros((n, len(self.langs)))
-        for k, own in enumerate(columns):
-            table[: len(own), k] = own
-        return np.log((table + SMOOTH) / (table.sum(0) + SMOOTH * max(1, n))).astype(np.float32)
+                own, at = np.unique(np.array(r, np.int64), return_inverse=True)
+                column.append((own, np.bincount(at, np.array(t), len(own))))
+        self.tables = [self._table(column, len(index)) for column, index in zip(columns, self.index, strict=True)]
+
+    def _table(self, columns: list[tuple[np.ndarray, np.ndarray]], n: int) -> Table:
+        below = np.array([np.log(own.sum() + SMOOTH * max(1, n)) for _, own in columns])
+        other = (np.log(SMOOTH) - below).astype(np.float32)
+        row = np.concatenate([r for r, _ in columns]) if columns else np.zeros(0, np.int64)
+        lang = np.repeat(np.arange(len(columns), dtype=np.int32), [len(r) for r, _ in columns])
+        more = np.concatenate([np.log(own + SMOOTH) - np.log(SMOOTH) for _, own in columns]).astype(np.float32) if columns else np.zeros(0, np.float32)
+        order = np.argsort(row, kind="stable")
+        return Table(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=n))]).astype(np.int64), lang[order], more[order], other)
 
     def backoff(self, word: str) -> np.ndarray:
         """The mean vector of the word's longest n-grams that are known; none: all languages alike."""
         for size in range(LONGEST, 0, -1):
             if found := [i for gram in _grams(word, size) if (i := self.index[size].get(gram)) is not None]:
-                return self.rows[size][found].mean(0)
+                return self.tables[size].mean(found)
         return np.zeros(len(self.langs), np.float32)
 
     def vector(self, word: str) -> np.ndarray:
         """A known word's own vector, else that of its n-grams."""
         known = self.index[0].get(word)
-        return self.backoff(word) if known is None else self.rows[0][known]
+        return self.backoff(word) if known is None else self.tables[0].mean([known])
 
 
 class Reader(dict):
-    """Word to the number of its vector in `table`; up to KEPT words are kept, then all are forgotten."""
+    """Word to the number of its vector in `table`; up to `most` words are kept, then all are forgotten."""
 
     def __init__(self, model: Model):
         super().__init__()
-        self.model = model
-        self.table = np.zeros((KEPT, max(1, len(model.langs))), np.float32)
+        self.model, width = model, max(1, len(model.langs))
+        self.most = max(1, min(KEPT, NUMBERS // width))
+        self.table = np.zeros((self.most, width), np.float32)
 
     def __missing__(self, word: str) -> int:
         n = len(self)
@@ -91,11 +125,11 @@ class Reader(dict):
         """The language and its share of the softmax over the summed log frequencies; no letter: UNKNOWN and 0."""
         if not text or not self.model.langs or not any(c.isalpha() for c in text):
             return UNKNOWN, 0.0
-        words = WORD.findall(text.lower())
+        words, step = words_of(text), min(50_000, self.most)
         total = np.zeros(len(self.model.langs))
-        for at in range(0, len(words), 50_000):
-            part = words[at : at + 50_000]
-            if len(self) + len(part) > KEPT:
+        for at in range(0, len(words), step):
+            part = words[at : at + step]
+            if len(self) + len(part) > self.most:
                 self.clear()
             total += self.table[np.fromiter(map(self.__getitem__, part), np.int64, len(part))].sum(0, np.float64)
         best = int(total.argmax())
@@ -106,31 +140,36 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, 128):
         counts: dict[tuple[str, str], int] = defaultdict(int)
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            for word in WORD.findall(text.lower()):
+            for word in words_of(text):
                 counts[lang, word] += 1
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], ["lang", "word", "n"])
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = DOCS, chars: int = CHARS, langs: int = LANGS) -> Model:
-    """Fit on a bounded sample of rows with text and language: `per_lang` rows of each language with `chars` characters at most, dealt into
-    PARTS by hash, and of each part those whose id hashes lowest, among about twice as many that are drawn by hash; and of at most `langs` languages, the most frequent ones.
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = DOCS, chars: int = CHARS, rows: int = ROWS) -> Model:
+    """Fit on a bounded sample of rows with text and language: `per_lang` rows of each language with `chars` characters at most, `rows` rows in all, dealt into
+    PARTS by hash, and of each part those whose id hashes lowest, among about twice as many that are drawn by hash. Every language is learned; only if there are
+    more languages than `rows`, so that not each one can have a row, the most frequent ones are.
 
     The rows are read whole, and all of their words count: on the executors, so that the driver gets a row for each different word. A
     repeated row counts once. An empty table, or one without languages, gives a model that knows none.
     """
     text = F.col(text_col).cast("string")
     own = docs.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), text.alias("text"), F.xxhash64(text).alias("text_hash"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
-    known = {r["lang"]: r["count"] for r in own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(langs).collect()}
-    if not known:
+    known = materialize(own.groupBy("lang").agg(F.count("*").alias("times")).orderBy(F.desc("times"), "lang").limit(rows))
+    langs = known.count()
+    if not langs:
         return Model([], {})
+    per_lang, chars = max(1, min(per_lang, rows // langs)), max(1, min(chars, ALL_CHARS // langs))
+    parts = min(PARTS, per_lang)
     order = Window.partitionBy("lang", "part").orderBy("h", "id", "text_hash")
     key = ["id", "text_hash", "lang"]
     # of a language with many rows only about twice as many as are wanted are dealt at all: those whose hash is low
-    share = F.element_at(F.create_map(*[F.lit(x) for k, n in known.items() for x in (k, min(1.0, 2 * per_lang / n))]), F.col("lang"))
-    low = F.pmod(F.xxhash64("id", "text_hash", F.lit("sample")), F.lit(1 << 30)) < share * (1 << 30)
-    dealt = own.where(F.col("lang").isin(*known)).where(low).select(*key, F.length("text").alias("n"), F.xxhash64("id").alias("h"), F.pmod(F.xxhash64("id", "lang"), F.lit(PARTS)).alias("part")).where(F.col("n") <= chars // PARTS)
-    first = dealt.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= per_lang // PARTS)
-    chosen = first.withColumn("so_far", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("so_far") <= chars // PARTS)
+    low = F.pmod(F.xxhash64("id", "text_hash", F.lit("sample")), F.lit(1 << 30)) < F.least(F.lit(1.0), F.lit(2.0 * per_lang) / F.col("times")) * (1 << 30)
+    part = F.pmod(F.xxhash64("id", "lang"), F.lit(parts)).alias("part")
+    drawn = own.join(F.broadcast(known), "lang").where(low)  # at most `rows` languages
+    dealt = drawn.select(*key, F.length("text").alias("n"), F.xxhash64("id").alias("h"), part).where(F.col("n") <= chars // parts)
+    first = dealt.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= per_lang // parts)
+    chosen = first.withColumn("so_far", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("so_far") <= chars // parts)
     sample = own.join(F.broadcast(chosen.select(key).distinct()), key, "left_semi").groupBy(key).agg(F.max("text").alias("text"))
     counted = sample.select("lang", "text").mapInArrow(_counted, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     counts: dict[str, dict[str, int]] = defaultdict(dict)

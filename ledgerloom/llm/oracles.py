@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from . import rules, urltree
 
+#: Levels of the tree of paths that the SQL grows; the tables' paths have fewer.
+LEVELS = 6
 BLANK = r"[ \t\n\x0B\f\r]+"
 
 #: Counts by words and 8-word windows; lines by host over documents, which id and text tell apart.
@@ -92,7 +94,7 @@ a0 AS (SELECT host, segs, count(*) AS n, count(label) AS labelled, coalesce(sum(
     share = lambda own, every: f"abs(({own})::DOUBLE / n - (({every}) - ({own}))::DOUBLE / (all_n - n))"
     whole = lambda n, bad: f"((({bad}) + 0.5::DOUBLE) / (({n}) + 1.0::DOUBLE))"
     alike = lambda n, bad, every, worse: f"CASE WHEN {n} > 0 AND {every} - {n} > 0 THEN abs({bad} / {n} - ({worse} - {bad}) / ({every} - {n})) <= {u.ERRORS} * sqrt({whole(every, worse)} * (1.0 - {whole(every, worse)}) * (1.0::DOUBLE / {n} + 1.0::DOUBLE / ({every} - {n}))) END"
-    for k in range(u.DEPTH):
+    for k in range(LEVELS):
         sql += rf""",
 c{k} AS (SELECT host, template, segs[{k + 1}] AS seg, sum(n)::BIGINT AS n, sum(labelled)::BIGINT AS labelled, sum(bad)::BIGINT AS bad, sum(CASE WHEN len(segs) = {k + 1} THEN n ELSE 0 END)::BIGINT AS ends, sum(CASE WHEN segs[{k + 2}] = '*' THEN n ELSE 0 END)::BIGINT AS wild FROM a{k} WHERE len(segs) > {k} AND segs[{k + 1}] <> '*' GROUP BY ALL),
 p{k} AS (SELECT template, seg, count(*) AS hosts, sum({rate})::BIGINT AS rate FROM c{k} WHERE labelled > 0 GROUP BY template, seg),
@@ -110,7 +112,7 @@ a{k + 1} AS (SELECT a.host, a.segs, a.n, a.labelled, a.bad, CASE WHEN len(a.segs
     part = lambda name: (f"coalesce({name}_rate, 0) / 1000.0::DOUBLE", f"coalesce({name}_n, 0)")
     purity = smooth("bad", "labelled", smooth(*part("near"), smooth(*part("wide"), f"{u.PRIOR}::DOUBLE")))
     return sql + rf""",
-tr AS (SELECT host, segs, n, labelled, bad, template || list_aggregate(list_concat([''], list_transform(segs[{u.DEPTH + 1}:], lambda x: '/' || x)), 'string_agg', '') AS template FROM a{u.DEPTH}),
+tr AS (SELECT host, segs, n, labelled, bad, template || list_aggregate(list_concat([''], list_transform(segs[{LEVELS + 1}:], lambda x: '/' || x)), 'string_agg', '') AS template FROM a{LEVELS}),
 own_t AS (SELECT host, template, sum(labelled)::BIGINT AS labelled, sum(bad)::BIGINT AS bad, CASE WHEN regexp_extract(host, '([^.]*[.][^.]*)$', 1) = '' THEN host ELSE regexp_extract(host, '([^.]*[.][^.]*)$', 1) END AS dom FROM tr GROUP BY host, template),
 ra AS (SELECT dom, template, {rate} AS rate FROM own_t WHERE labelled > 0),
 ne AS (SELECT dom, template, count(*) AS near_n, sum(rate)::BIGINT AS near_rate FROM ra GROUP BY dom, template),

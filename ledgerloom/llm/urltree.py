@@ -9,8 +9,6 @@ from .common import materialize
 
 #: (rule, verdict) of the query.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
-#: Levels of the tree; segments below the last one stay as they are, but for digits.
-DEPTH = 6
 #: A node with more children than this has its rare ones (under this share of its URLs) generalised.
 CHILDREN, RARE = 20, 0.05
 #: A branch and its siblings have like tokens if the shares of what comes next (nothing, a wildcard, a word) differ by at most APART in total, of so many URLs each.
@@ -68,7 +66,7 @@ def _alike(n: Column, bad: Column, all_n: Column, all_bad: Column) -> Column:
     return F.when((n > 0) & (others > 0), F.abs(bad / n - (all_bad - bad) / others) <= error)
 
 
-def grow(paths: DataFrame, depth: int = DEPTH) -> DataFrame:
+def grow(paths: DataFrame) -> DataFrame:
     """paths (host, segs, n, labelled, bad; one row for each, digits masked) with column template: the path of tree nodes that each ends in.
 
     Level by level, a segment becomes a wildcard if it has a digit, if it is rare under a node with many children, or if its branch is like
@@ -78,7 +76,8 @@ def grow(paths: DataFrame, depth: int = DEPTH) -> DataFrame:
     """
     deepest = paths.agg(F.max(F.size("segs"))).first()[0] or 0
     at = paths.withColumn("template", F.lit(""))
-    for level in range(min(depth, deepest)):
+    level = 0
+    while level < deepest and not at.where(F.size("segs") > level).groupBy("host", "template").count().where("count > 1").isEmpty():
         at = at.withColumns({"seg": F.get("segs", F.lit(level)), "below": F.get("segs", F.lit(level + 1))})
         below = {"ends": F.col("below").isNull(), "wild": F.col("below") == WILD}
         child = at.where(F.col("seg") != WILD).groupBy("host", "template", "seg").agg(*(F.sum(c).alias(c) for c in ("n", "labelled", "bad")), *(F.sum(F.when(c, F.col("n")).otherwise(0)).alias(k) for k, c in below.items()))
@@ -96,9 +95,10 @@ def grow(paths: DataFrame, depth: int = DEPTH) -> DataFrame:
         kept = each.where(~(rare | (tokens & labels))).select("host", "template", "seg", F.lit(True).alias("own"))
         at = at.join(kept.hint("merge"), ["host", "template", "seg"], "left")
         at = at.withColumn("template", F.when(F.col("seg").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), F.when(F.col("own"), F.col("seg")).otherwise(WILD)))).drop("seg", "below", "own")
-        at = materialize(at)
-    if deepest > depth:
-        at = at.withColumn("template", F.concat("template", F.array_join(F.transform(F.slice("segs", depth + 1, deepest), lambda x: F.concat(F.lit("/"), x)), "")))
+        at, level = materialize(at), level + 1
+    if deepest > level:
+        left = F.transform(F.slice("segs", level + 1, deepest), lambda x: F.concat(F.lit("/"), x))
+        at = at.withColumn("template", F.concat("template", F.array_join(left, "")))
     return at
 
 

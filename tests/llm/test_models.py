@@ -262,7 +262,7 @@ def test_language_id_against_brute_force(spark):
     counts = defaultdict(Counter)
     for r in train.where("lang is not null and text is not null").collect():
         counts[r["lang"]].update(re.findall(r"[^\W\d_]+", r["text"].lower()))
-    sampled = sum(model.rows[0].shape)  # small tables are below the bounds but for the dealing into parts
+    sampled = len(model.index[0]) + len(model.langs)  # small tables are below the bounds but for the dealing into parts
     rows = [(i, r["text"]) for i, r in enumerate(docs.where("doc_id % 2 = 1").limit(25).collect())] + [(100, "zzzyq xkcd"), (101, "a"), (102, None), (103, "12 !"), (104, "ß" * 70)]
     got = {r["doc_id"]: r for r in langid.classify(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
     own = {k: Counter({w: n for w, n in c.items()}) for k, c in counts.items()}
@@ -277,7 +277,7 @@ def test_language_sample_is_bounded(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     model = langid.train(docs, per_lang=64, chars=32 * 1000)
     assert model.langs == ["de", "en", "fr"] and sum(w.startswith("word") for w in model.index[0]) <= 2 and "x" * 5000 not in model.index[0]
-    assert langid.train(docs, langs=1).langs == ["en"] and langid.train(docs.where("false")).langs == []
+    assert langid.train(docs, rows=1).langs == ["en"] and langid.train(docs.where("false")).langs == []
 
 
 def brute_counts(text):
@@ -459,3 +459,51 @@ def test_queries_against_sql(spark, name):
     want = con.execute(queries.oracle_sql()[name]).fetchall()
     got = [tuple(r) for r in queries.queries()[name](spark, DATA).collect()]
     assert sorted(map(str, got)) == sorted(map(str, want))
+
+
+def test_many_languages_take_memory_by_what_they_have():
+    """256 made-up languages: a table of all strings by all languages would take a gigabyte."""
+    import tracemalloc
+
+    r = random.Random(5)
+    letters = [chr(c) for c in range(0x4E00, 0x4E00 + 2000)]
+    langs = [f"l{k:03d}" for k in range(256)]
+    counts = {lang: {"".join(r.choice(letters[k * 7 : k * 7 + 40]) for _ in range(r.randint(2, 6))): r.randint(1, 9) for _ in range(800)} for k, lang in enumerate(langs)}
+    tracemalloc.start()
+    model = langid.Model(langs, counts)
+    assert tracemalloc.get_traced_memory()[1] < 700e6
+    tracemalloc.stop()
+    reader = langid.Reader(model)
+    assert reader.table.nbytes <= 4 * langid.NUMBERS
+    for lang in langs[::25]:
+        words = list(counts[lang])
+        assert reader.classify(" ".join(words[:50]))[0] == lang and reader.classify(" ".join(w[:-1] + w[0] for w in words[:80]))[0] == lang
+    # each vector is what the full table has: log of smoothed shares
+    word = next(iter(counts["l003"]))
+    known = len({w for own in counts.values() for w in own})
+    want = [np.log((counts[x].get(word, 0) + langid.SMOOTH) / (sum(counts[x].values()) + langid.SMOOTH * known)) for x in langs]
+    assert np.allclose(model.vector(word), want, atol=1e-4)
+
+
+def test_every_language_is_learned(spark):
+    """More languages than were ever counted as classes, one row of each."""
+    rows = [(k, " ".join(f"{chr(0x4E00 + k)}{chr(0x5E00 + j)}" for j in range(9)), f"l{k:03d}") for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs)
+    assert len(model.langs) == 300
+    got = {x["doc_id"]: x["lang_pred"] for x in langid.classify(docs, model).collect()}
+    assert got == {k: lang for k, _, lang in rows}
+
+
+def test_marks_stay_in_their_words():
+    assert langid.words_of("हिन्दी में, Über café x_y 12ab") == ["हिन्दी", "में", "über", "café", "x", "y", "ab"]
+    assert langid.words_of("plain Words") == ["plain", "words"]
+
+
+def test_branches_far_below_are_generalised(spark):
+    """Nine equal segments, then branches: those that are alike become a wildcard however deep they lie; a path that is alone stays as it is."""
+    top = "/".join("abcdefghi")
+    many = [f"http://x.net/{top}/user{chr(97 + k)}{chr(97 + j)}/page" for k in range(5) for j in range(6)]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate([*many, "http://y.org/a/b/c/d/e/f/g/h/i/j/k/l"])], "page_id long, url string")
+    got = {x["page_id"]: x["template"] for x in urltree.judge(pages).collect()}
+    assert {got[i] for i in range(len(many))} == {f"/{top}/*/page"} and got[len(many)] == "/a/b/c/d/e/f/g/h/i/j/k/l"
