@@ -16,11 +16,13 @@ from pyspark.sql import functions as F
 from .common import materialize, slices
 
 #: Documents of a shard (their numbers take two bytes) and terms in it at most; a longer text ends its shard.
-SHARD_DOCS, SHARD_TERMS = 4096, 4_000_000
+SHARD_DOCS, SHARD_TERMS = 4096, 2_000_000
 #: Postings of a block at most, and what a block costs, in units of the score's term part (under a million): more blocks or looser bounds.
 LONGEST, COST = 64, 400_000
 #: Queries that are searched in one pass over the index at most, and bytes of their texts.
 ITEMS, ITEM_BYTES = 1024, 4 << 20
+#: Lists that are cut into blocks at once.
+LISTS = 4096
 #: Documents that are scored at once.
 BATCH = 64
 #: The term of the row that holds a shard's documents; no text has it.
@@ -55,20 +57,12 @@ def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([int((n > 0).sum())]), pa.array([int(n.sum())])], ["documents", "every"])
 
 
-def block_ends(parts: np.ndarray, lengths: np.ndarray, longest: int = LONGEST, cost: int = COST) -> np.ndarray:
-    """Whether a block ends at each posting, for lists that lie one after the other.
-
-    By dynamic programming over the prefixes of a list: the sum of each posting's distance from its block's greatest part, plus `cost` a block, is the least
-    that blocks of at most `longest` postings can have. All lists go step by step together.
-    """
-    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
-    order = np.argsort(-lengths, kind="stable")
-    begin, size = starts[order], lengths[order]
-    back = np.ones(len(parts), np.int16)
+def _cut(parts: np.ndarray, begin: np.ndarray, size: np.ndarray, back: np.ndarray, longest: int, cost: int) -> None:
+    """Fill `back` for some lists, the longest first: how many postings the cheapest last block of the prefix that ends at each posting has."""
     size_of = np.arange(1, longest + 1, dtype=np.int64)
     top, paid = np.zeros((len(size), longest), np.int64), np.full((len(size), longest), np.iinfo(np.int64).max // 2)
     paid[:, 0] = 0
-    for j in range(int(size[0]) if len(size) and size[0] > 1 else 0):
+    for j in range(int(size[0])):
         on = int(np.searchsorted(-size, -j, "left"))
         s = parts[begin[:on] + j]
         wide = min(longest, j + 1)
@@ -82,6 +76,20 @@ def block_ends(parts: np.ndarray, lengths: np.ndarray, longest: int = LONGEST, c
         back[begin[:on] + j] = pick + 1
         p[:, 1:] = p[:, :-1]
         p[:, 0] = best
+
+
+def block_ends(parts: np.ndarray, lengths: np.ndarray, longest: int = LONGEST, cost: int = COST) -> np.ndarray:
+    """Whether a block ends at each posting, for lists that lie one after the other.
+
+    By dynamic programming over the prefixes of a list: the sum of each posting's distance from its block's greatest part, plus `cost` a block, is the least
+    that blocks of at most `longest` postings can have. All lists go step by step together.
+    """
+    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
+    back = np.ones(len(parts), np.int16)
+    many = np.flatnonzero(lengths > 1)
+    many = many[np.argsort(-lengths[many], kind="stable")]
+    for at in range(0, len(many), LISTS):
+        _cut(parts, starts[many[at : at + LISTS]], lengths[many[at : at + LISTS]], back, longest, cost)
     last = np.zeros(len(parts), bool)
     at = starts + lengths - 1
     while len(at):
@@ -95,15 +103,40 @@ def _binary(values: np.ndarray, starts: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(starts) - 1, [None, pa.py_buffer((starts * values.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
 
 
+class Growing:
+    """A shard while its documents come: what is kept of one is its terms' numbers and counts."""
+
+    def __init__(self, number: int):
+        self.number, self.ids, self.sizes, self.total = number, [], [], 0
+        self.known: dict[bytes, int] = {}
+        self.terms: list[np.ndarray] = []
+        self.times: list[np.ndarray] = []
+
+    def add(self, doc: int | None, counted: Counter, size: int) -> None:
+        known = self.known
+        self.ids.append(doc)
+        self.sizes.append(size)
+        self.total += size
+        self.terms.append(np.fromiter((known.setdefault(t, len(known)) for t in counted), np.int32, len(counted)))
+        self.times.append(np.fromiter(counted.values(), np.int64, len(counted)))
+
+
 def _shard(number: int, ids: list, counted: list[Counter], sizes: list[int], documents: int, every: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a shard of counted documents."""
+    shard = Growing(number)
+    for doc, own, size in zip(ids, counted, sizes, strict=True):
+        shard.add(doc, own, size)
+    yield from _rows(shard, documents, every)
+
+
+def _rows(shard: Growing, documents: int, every: int) -> Iterator[pa.RecordBatch]:
     """The rows of a shard: its head (ids, and the length parts in docs), then one row a term."""
-    m = np.array([length_part(n, documents, every) for n in sizes], np.int64)
+    number, known = shard.number, shard.known
+    m = np.array([length_part(n, documents, every) for n in shard.sizes], np.int64)
     schema = pa.schema([("shard", pa.int64()), ("term", pa.string()), ("df", pa.int64()), *((c, pa.binary()) for c in ("docs", "tf", "ends", "tops")), ("ids", pa.list_(pa.int64()))])
-    yield pa.RecordBatch.from_pylist([{"shard": number, "term": HEAD, "df": 0, "docs": m.tobytes(), "ids": ids}], schema)
-    known: dict[bytes, int] = {}
-    flat = [known.setdefault(t, len(known)) for c in counted for t in c]
-    term, doc = np.array(flat, np.int64), np.repeat(np.arange(len(counted)), [len(c) for c in counted])
-    tf = np.fromiter((k for c in counted for k in c.values()), np.int64, len(flat))
+    yield pa.RecordBatch.from_pylist([{"shard": number, "term": HEAD, "df": 0, "docs": m.tobytes(), "ids": shard.ids}], schema)
+    term, tf = np.concatenate(shard.terms), np.concatenate(shard.times)
+    doc = np.repeat(np.arange(len(shard.terms)), [len(x) for x in shard.terms])
     order = np.argsort(term, kind="stable")
     doc, tf, df = doc[order], tf[order], np.bincount(term, minlength=len(known))
     parts = part(tf, m[doc])
@@ -112,7 +145,7 @@ def _shard(number: int, ids: list, counted: list[Counter], sizes: list[int], doc
     tops = np.maximum.reduceat(parts, np.concatenate([[0], ends[:-1] + 1])) if len(ends) else parts
     blocks = np.searchsorted(ends, starts)
     inside = ends - np.repeat(starts[:-1], np.diff(blocks))
-    names, step = pa.array(list(known), pa.binary()).cast(pa.string()), 20_000
+    names, step = pa.array(list(known), pa.binary()).cast(pa.string()), 5_000
     for at in range(0, len(known), step):
         end = min(len(known), at + step)
         a, b, c, d = starts[at], starts[end], blocks[at], blocks[end]
@@ -123,19 +156,16 @@ def _shard(number: int, ids: list, counted: list[Counter], sizes: list[int], doc
 
 def _index(documents: int, every: int, shard_docs: int, shard_terms: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, ids, counted, sizes, total = TaskContext.get().partitionId() << 32, [], [], [], 0
+        shard = Growing(TaskContext.get().partitionId() << 32)
         for batch in slices(batches, 256):
             for text, doc in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if own := terms(text):
-                    ids.append(doc)
-                    counted.append(Counter(own))
-                    sizes.append(len(own))
-                    total += len(own)
-                    if len(ids) >= shard_docs or total >= shard_terms:
-                        yield from _shard(number, ids, counted, sizes, documents, every)
-                        number, ids, counted, sizes, total = number + 1, [], [], [], 0
-        if ids:
-            yield from _shard(number, ids, counted, sizes, documents, every)
+                    shard.add(doc, Counter(own), len(own))
+                    if len(shard.ids) >= shard_docs or shard.total >= shard_terms:
+                        yield from _rows(shard, documents, every)
+                        shard = Growing(shard.number + 1)
+        if shard.ids:
+            yield from _rows(shard, documents, every)
 
     return run
 
