@@ -22,9 +22,11 @@ UNKNOWN = "und"
 DOCS, CHARS, ROWS, ALL_CHARS, PARTS = 800, 1 << 25, 204_800, 1 << 33, 32
 LONGEST, SMOOTH = 5, 0.5
 WORD = re.compile(r"[^\W\d_]+")
-#: Combining marks, which belong to the letter before them.
-_MARKS = "".join(re.escape(chr(c)) for c in range(0x300, 0x20000) if unicodedata.category(chr(c)) in ("Mn", "Mc"))
-MARK, MARKED_WORD = re.compile(f"[{_MARKS}]"), re.compile(f"[^\\W\\d_](?:[^\\W\\d_]|[{_MARKS}])*")
+#: Combining marks, which belong to the letter before them; those beyond the first plane are looked for by their plane, as a search by a table can't.
+_MARKS = [chr(c) for c in range(0x300, 0x20000) if unicodedata.category(chr(c)) in ("Mn", "Mc")]
+_FAR = "\U00010000-\U0001ffff"
+MARK = re.compile(f"[{''.join(re.escape(c) for c in _MARKS if c < chr(0x10000))}]|[{_FAR}]")
+MARKED_WORD = re.compile(f"[^\\W\\d_](?:[^\\W\\d_]|[{''.join(map(re.escape, _MARKS))}])*")
 #: Words whose vector a task keeps, and numbers of these vectors together.
 KEPT, NUMBERS = 200_000, 25_000_000
 
@@ -48,20 +50,22 @@ def _grams(word: str, size: int) -> list[str]:
 
 @dataclass
 class Table:
-    """Log frequencies of strings by language: those of strings that a language has, and what it gives for all others."""
+    """Log frequencies of strings by language: those of strings that a language has, and what it gives for all others. Compact arrays, which are
+    read a number at a time: a string has few languages."""
 
-    first: np.ndarray
-    lang: np.ndarray
-    more: np.ndarray
-    other: np.ndarray
+    first: array
+    lang: array
+    more: array
+    other: list[float]
 
     def mean(self, rows: list[int]) -> np.ndarray:
         """The mean vector of these strings."""
-        out = self.other.copy()
+        first, lang, more = self.first, self.lang, self.more
+        out, share = self.other.copy(), 1.0 / len(rows)
         for i in rows:
-            own = slice(self.first[i], self.first[i + 1])
-            out[self.lang[own]] += self.more[own] / len(rows)
-        return out
+            for at in range(first[i], first[i + 1]):
+                out[lang[at]] += more[at] * share
+        return np.array(out, np.float32)
 
 
 class Model:
@@ -86,12 +90,13 @@ class Model:
 
     def _table(self, columns: list[tuple[np.ndarray, np.ndarray]], n: int) -> Table:
         below = np.array([np.log(own.sum() + SMOOTH * max(1, n)) for _, own in columns])
-        other = (np.log(SMOOTH) - below).astype(np.float32)
+        other = (np.log(SMOOTH) - below).tolist()
         row = np.concatenate([r for r, _ in columns]) if columns else np.zeros(0, np.int64)
         lang = np.repeat(np.arange(len(columns), dtype=np.int32), [len(r) for r, _ in columns])
         more = np.concatenate([np.log(own + SMOOTH) - np.log(SMOOTH) for _, own in columns]).astype(np.float32) if columns else np.zeros(0, np.float32)
         order = np.argsort(row, kind="stable")
-        return Table(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=n))]).astype(np.int64), lang[order], more[order], other)
+        first = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=n))]).astype(np.int64)
+        return Table(array("q", first.tobytes()), array("i", lang[order].tobytes()), array("f", more[order].tobytes()), other)
 
     def backoff(self, word: str) -> np.ndarray:
         """The mean vector of the word's longest n-grams that are known; none: all languages alike."""
