@@ -8,9 +8,11 @@ from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -111,20 +113,67 @@ class Model:
         return self.backoff(word) if known is None else self.tables[0].mean([known])
 
 
+class Compact:
+    """A model as tasks hold it: strings as sorted 64-bit hashes, some bytes each, in place of dictionaries of text, which take a hundred."""
+
+    def __init__(self, model: Model):
+        self.langs, self.keys, self.tables = model.langs, [], []
+        for index, table in zip(model.index, model.tables, strict=True):
+            keys = np.fromiter(map(_hash, index), np.uint64, len(index))
+            order = np.argsort(keys, kind="stable")
+            first, lang, more = (np.frombuffer(x, t) for x, t in ((table.first, np.int64), (table.lang, np.int32), (table.more, np.float32)))
+            sizes = np.diff(first)[order]
+            ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+            at = np.arange(ends[-1]) + np.repeat(first[:-1][order] - ends[:-1], sizes)
+            self.keys.append(keys[order])
+            self.tables.append((ends, lang[at], more[at], np.array(table.other)))
+
+    def vectors(self, words: list[str]) -> np.ndarray:
+        """A row for each word: a known word's own vector, else the mean of its longest n-grams that are known; none: all languages alike. All words are
+        looked up together."""
+        width = len(self.langs)
+        out, left = np.zeros((len(words), width)), np.arange(len(words))
+        for size in (0, *range(LONGEST, 0, -1)):
+            keys, (first, lang, more, other) = self.keys[size], self.tables[size]
+            if not len(left) or not len(keys):
+                continue
+            grams = [_grams(words[i], size) if size else [words[i]] for i in left]
+            owner = np.repeat(left, [len(x) for x in grams])
+            wanted = np.fromiter(map(_hash, chain.from_iterable(grams)), np.uint64, len(owner))
+            at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+            found = keys[at] == wanted
+            owner, at = owner[found], at[found]
+            times = np.bincount(owner, minlength=len(words))
+            sizes = first[at + 1] - first[at]
+            ends = np.cumsum(sizes)
+            each = np.arange(ends[-1] if len(ends) else 0) + np.repeat(first[at] - ends + sizes, sizes)
+            whose = np.repeat(owner, sizes)
+            sums = np.bincount(whose * width + lang[each], more[each] / times[whose], len(words) * width).reshape(len(words), width)
+            hit = left[times[left] > 0]
+            out[hit], left = other + sums[hit], left[times[left] == 0]
+        return out.astype(np.float32)
+
+
+def _hash(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"))
+
+
 class Reader(dict):
     """Word to the number of its vector in `table`; up to `most` words are kept, then all are forgotten."""
 
-    def __init__(self, model: Model):
+    def __init__(self, model: Model | Compact):
         super().__init__()
-        self.model, width = model, max(1, len(model.langs))
-        self.most = max(1, min(KEPT, NUMBERS // width))
+        self.model, width = model if isinstance(model, Compact) else Compact(model), max(1, len(model.langs))
+        self.most, self.step = max(1, min(KEPT, NUMBERS // width)), max(1, min(4096, (1 << 22) // width))
         self.table = np.zeros((self.most, width), np.float32)
 
-    def __missing__(self, word: str) -> int:
-        n = len(self)
-        self.table[n, : len(self.model.langs)] = self.model.vector(word)
-        self[word] = n
-        return n
+    def learn(self, words: list[str]) -> None:
+        """Take in words that are not kept yet."""
+        for at in range(0, len(words), self.step):
+            part = words[at : at + self.step]
+            n = len(self)
+            self.table[n : n + len(part), : len(self.model.langs)] = self.model.vectors(part)
+            self.update(zip(part, range(n, n + len(part)), strict=True))
 
     def classify(self, text: str | None) -> tuple[str, float]:
         """The language and its share of the softmax over the summed log frequencies; no letter: UNKNOWN and 0."""
@@ -136,6 +185,7 @@ class Reader(dict):
             part = words[at : at + step]
             if len(self) + len(part) > self.most:
                 self.clear()
+            self.learn([w for w in dict.fromkeys(part) if w not in self])
             total += self.table[np.fromiter(map(self.__getitem__, part), np.int64, len(part))].sum(0, np.float64)
         best = int(total.argmax())
         return self.model.langs[best], 1 / float(np.exp(np.maximum(total - total[best], -700)).sum())
@@ -201,7 +251,7 @@ def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     Repeated rows stay repeated, a null doc_id stays null, an empty table gives no rows, other columns are ignored. The
     model's size is bounded by its sample, so it is broadcast.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(Compact(model))
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return source.mapInArrow(_classified(shared), "doc_id long, lang_pred string, score double")
 
@@ -224,4 +274,4 @@ def keep_known(docs: DataFrame, model: Model, lowest: float = 0.5) -> DataFrame:
     Rows with a null text or one without a letter go, as do all rows if the model knows no language. Repeated rows stay repeated, a null doc_id
     stays null, an empty table gives no rows.
     """
-    return docs.mapInArrow(_kept(docs.sparkSession.sparkContext.broadcast(model), lowest), docs.schema)
+    return docs.mapInArrow(_kept(docs.sparkSession.sparkContext.broadcast(Compact(model)), lowest), docs.schema)

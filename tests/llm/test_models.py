@@ -454,7 +454,7 @@ def test_url_branches_merge_by_tokens(spark):
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_queries_against_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "labels"):
+    for t in ("documents", "pages", "labels", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     want = con.execute(queries.oracle_sql()[name]).fetchall()
     got = [tuple(r) for r in queries.queries()[name](spark, DATA).collect()]
@@ -478,6 +478,9 @@ def test_many_languages_take_memory_by_what_they_have():
     for lang in langs[::25]:
         words = list(counts[lang])
         assert reader.classify(" ".join(words[:50]))[0] == lang and reader.classify(" ".join(w[:-1] + w[0] for w in words[:80]))[0] == lang
+    compact = langid.Compact(model)
+    some = [*list(counts["l007"])[:40], "unseen", "", chr(0x4E00), *[w[::-1] for w in counts["l100"]][:40]]
+    assert np.allclose(compact.vectors(some), [model.vector(w) for w in some], atol=1e-5)
     # each vector is what the full table has: log of smoothed shares
     word = next(iter(counts["l003"]))
     known = len({w for own in counts.values() for w in own})
