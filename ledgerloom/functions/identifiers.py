@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import _c, flag
+from .text import _c, flag, let
 
 #: Shapes and the alphabet of the check character.
 GSTIN = r"[0-9]{2}[A-Z]{5}[0-9]{4}[A-Z][A-Z0-9]Z[A-Z0-9]"
@@ -24,19 +24,23 @@ _DOUBLED = "".join(sorted(ALPHABET, key=lambda x: sum(divmod(2 * ALPHABET.index(
 
 
 def check_character(first14: Column) -> Column:
-    """The 15th character for the first 14: base 36, weights 1 and 2 in turn, quotient and remainder of each product added. Fourteen plain terms."""
-    terms = [F.instr(F.lit(_DOUBLED if i % 2 == 0 else ALPHABET), F.substring(first14, i, 1)) - 1 for i in range(1, 15)]
-    return F.substring(F.lit(ALPHABET), F.pmod(-sum(terms[1:], terms[0]), F.lit(36)) + 1, F.lit(1))
+    """The 15th character for the first 14: base 36, weights 1 and 2 in turn, quotient and remainder of each product added. Fourteen terms of what is
+    evaluated once: an expression in place of it would stand in the plan fourteen times, and filters that move below a projection would run all of them."""
+
+    def found(x: Column) -> Column:
+        terms = [F.instr(F.lit(_DOUBLED if i % 2 == 0 else ALPHABET), F.substring(x, i, 1)) - 1 for i in range(1, 15)]
+        return F.substring(F.lit(ALPHABET), F.pmod(-sum(terms[1:], terms[0]), F.lit(36)) + 1, F.lit(1))
+
+    return let(first14, found)
 
 
 def gstin_flags(gstin: Column | str) -> Column:
     """[], or one of gstin_missing, gstin_format, gstin_checksum."""
-    raw = _c(gstin)
-    value = F.upper(F.trim(raw))
     one = lambda code: F.array(F.lit(code))
-    wrong = check_character(F.substring(value, 1, 14)) != F.substring(value, 15, 1)
-    found = F.when(raw.isNull() | (raw == ""), one("gstin_missing")).when(~value.rlike(f"^{GSTIN}$"), one("gstin_format")).when(wrong, one("gstin_checksum"))
-    return found.otherwise(F.array().cast("array<string>"))
+    wrong = lambda value: check_character(F.substring(value, 1, 14)) != F.substring(value, 15, 1)
+    shaped = lambda value: F.when(~value.rlike(f"^{GSTIN}$"), one("gstin_format")).when(wrong(value), one("gstin_checksum"))
+    found = lambda raw: F.when(raw.isNull() | (raw == ""), one("gstin_missing")).otherwise(let(F.upper(F.trim(raw)), shaped))
+    return F.coalesce(let(_c(gstin), found), F.array().cast("array<string>"))
 
 
 def hsn_flags(hsn: Column | str) -> Column:

@@ -353,7 +353,7 @@ TYPED = f"typed AS (SELECT okey, skey, gstin, CASE WHEN okey % 10 = 0 THEN 'CDN'
 
 def _typed(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("okey") % 10
-    return inv(spark, sf_dir).select("okey", "skey", F.when(k == 0, "CDN").when(k == 1, "DN").when(k == 2, "HSN").otherwise("B2B").alias("document_type"), F.lit("T").alias("trade_name"), F.lit("f.json#2b").alias("source"), identifiers.gstin_flags("gstin").alias("flags"), F.trunc("day", "month").alias("month"))
+    return inv(spark, sf_dir).select("okey", "skey", "gstin", F.when(k == 0, "CDN").when(k == 1, "DN").when(k == 2, "HSN").otherwise("B2B").alias("document_type"), F.lit("T").alias("trade_name"), F.lit("f.json#2b").alias("source"), identifiers.gstin_flags("gstin").alias("flags"), F.trunc("day", "month").alias("month"))
 
 
 @query(f"WITH {INV}, {TYPED} SELECT okey, skey, CASE document_type WHEN 'HSN' THEN 'hsn' WHEN 'CDN' THEN 'cdn' ELSE 'b2b' END AS section FROM typed UNION ALL SELECT okey, skey, 'flagged' FROM typed WHERE flag <> ''")

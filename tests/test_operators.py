@@ -231,3 +231,11 @@ def test_workbooks(spark):
 @pytest.mark.parametrize("bad", [b"", b"PK\x03\x04", b"\x00" * 50])
 def test_malformed_contents_give_no_rows(bad):
     assert containers.members(bad) == [] and containers.xlsx_records(bad) == [] and containers.vouchers(bad) == []
+
+
+def test_identifier_once_in_plan(spark):
+    """An identifier that is an expression stands in the plan of its check only once, so a filter on the flags doesn't run it many times."""
+    from ledgerloom.functions.identifiers import gstin_flags
+
+    df = spark.range(3).select(gstin_flags(F.concat(F.lit("27AAPFU0939F1Z"), F.col("id").cast("string"), F.lit("marked"))).alias("flags"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("marked") == 1
