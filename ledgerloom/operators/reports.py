@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import try_date
+from ..sources.staging import staged
+
+#: Rows of report sheets that one task sorts and numbers.
+SLICE = 250_000
 
 #: Titles of the report columns, and what marks rows.
 PURCHASES = {"Supplier": "supplier_name", "Supplier GSTIN": "supplier_gstin", "Invoice no": "invoice_number", "Date": "invoice_date", "Taxable": "taxable_value", "Tax": "tax", "Invoice value": "invoice_value", "HSN": "hsn", "Flags": "flags", "Source": "source"}
@@ -135,18 +142,43 @@ def _cells(rows: DataFrame, columns: dict[str, str]) -> Column:
     return F.array(*[F.when(F.col(c).isNotNull(), cell(c)) if c in kinds else cell(c) for c in columns.values()])
 
 
-def _sheet(rows: DataFrame, number: int, sheet: Column | str, columns: dict[str, str], order: list[Column | str]) -> DataFrame:
+def _numbered(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """rows with row_no, from 1 in each group of `by` by `order`; no task has more than a slice, however large a group is.
+
+    Rows are cut into ranges of all groups one after the other and sorted there. What a range holds of a group are neighbours, so a row's number is its
+    place among them and the number of the group's rows in the ranges before, which are counted for each range and group.
+    """
+    ranges = max(1, math.ceil(rows.count() / SLICE))
+    placed = staged(rows.repartitionByRange(ranges, *by, *order).sortWithinPartitions(*by, *order).withColumn("__at", F.monotonically_increasing_id()))
+    # the upper bits of the place are the range's number
+    piece = F.shiftright("__at", 33)
+    counts = placed.groupBy(*[F.col(c).alias(f"__{c}") for c in by], piece.alias("__piece")).agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))
+    before = Window.partitionBy(*[f"__{c}" for c in by]).orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.withColumn("__start", F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first") + 1)
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by], piece == F.col("__piece"))
+    return placed.join(starts, same).withColumn("row_no", (F.col("__at") + F.col("__start")).cast("int")).select(*rows.columns, "row_no")
+
+
+def _sheets(rows: DataFrame, sheets: dict[int, tuple[str, dict[str, str]]]) -> DataFrame:
+    """pack_id, sheet_no, sheet, titles, row_no, cells of numbered rows, by the name and columns of each sheet's number."""
+    by = lambda value: F.coalesce(*[F.when(F.col("sheet_no") == n, value(*sheet)) for n, sheet in sheets.items()])
+    return rows.select("pack_id", "sheet_no", by(lambda name, _: F.lit(name)).alias("sheet"), by(lambda _, columns: F.array(*[F.lit(t) for t in columns])).alias("titles"), "row_no", by(lambda _, columns: _cells(rows, columns)).alias("cells"))
+
+
+def _needed(rows: DataFrame, *columns: str) -> list[str]:
+    return [c for c in dict.fromkeys(("pack_id", *columns)) if c in rows.columns]
+
+
+def _sheet(rows: DataFrame, number: int, sheet: str, columns: dict[str, str], order: list[str]) -> DataFrame:
     """pack_id, sheet_no, sheet, titles, row_no, cells of the rows of one sheet in each pack."""
-    name = F.lit(sheet) if isinstance(sheet, str) else sheet
-    nth = F.row_number().over(Window.partitionBy("pack_id", "s").orderBy(*order))
-    own = rows.withColumn("s", name)
-    return own.select("pack_id", F.lit(number).alias("sheet_no"), F.col("s").alias("sheet"), F.array(*[F.lit(t) for t in columns]).alias("titles"), nth.alias("row_no"), _cells(own, columns).alias("cells"))
+    own = staged(rows.select(*_needed(rows, *columns.values(), *order)))
+    return _sheets(_numbered(own, ["pack_id"], order).withColumn("sheet_no", F.lit(number)), {number: (sheet, columns)})
 
 
-def _placeholder(packs: DataFrame, sheet: DataFrame, number: int, name: str, columns: dict[str, str], text: str) -> DataFrame:
-    """One row with a text for each pack whose sheet has no rows."""
-    empty = packs.join(sheet.select("pack_id").distinct(), "pack_id", "left_anti")
-    return sheet.unionByName(empty.select("pack_id", F.lit(number).alias("sheet_no"), F.lit(name).alias("sheet"), F.array(*[F.lit(t) for t in columns]).alias("titles"), F.lit(1).alias("row_no"), F.array(F.lit(text)).alias("cells")))
+def _placeholder(packs: DataFrame, rows: DataFrame, number: int, name: str, columns: dict[str, str], text: str) -> DataFrame:
+    """One row with a text for each pack without rows (numbered ones, of sheet_no) on a sheet."""
+    empty = packs.join(rows.where(F.col("sheet_no") == number).select("pack_id").distinct(), "pack_id", "left_anti")
+    return empty.select("pack_id", F.lit(number).alias("sheet_no"), F.lit(name).alias("sheet"), F.array(*[F.lit(t) for t in columns]).alias("titles"), F.lit(1).alias("row_no"), F.array(F.lit(text)).alias("cells"))
 
 
 def cover_facts(packs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -164,20 +196,25 @@ def return_pack(packs: DataFrame, rows: DataFrame, kind: str) -> DataFrame:
     """
     title = {"gstr_1": "GSTR-1", "gstr_2b": "GSTR-2B", "gstr_3b": "GSTR-3B"}[kind]
     order = ["source"]
+    rows = staged(rows.select(*_needed(rows, *RETURN.values(), *SUMMARY.values(), *HSN.values())))
     if kind == "gstr_3b":
         counted = rows.groupBy("pack_id").agg(F.count("*").alias("n0"))
         counts = [("Summary rows", "n0")]
-        sheets = _placeholder(packs, _sheet(rows, 2, "Summary", SUMMARY, order), 2, "Summary", SUMMARY, NO_ROWS)
+        layout, empty = {2: ("Summary", SUMMARY)}, {2: NO_ROWS}
+        shown = rows.withColumn("sheet_no", F.lit(2))
     else:
         hsn, note = is_hsn(F.col("document_type"), F.col("trade_name"), F.col("source")), is_note(F.col("document_type"))
         apart, sheet, columns = (hsn, "HSN", HSN) if kind == "gstr_1" else (note, "CDN", RETURN)
         flagged = is_flagged(F.col("flags"))
         counted = rows.groupBy("pack_id").agg(F.count_if(~apart).alias("n0"), F.count_if(apart).alias("n1"), F.count_if(flagged).alias("n2"), F.count("*").alias("n3"))
         counts = [("B2B rows", "n0"), (f"{sheet} rows", "n1"), ("Flagged rows", "n2"), ("Total rows", "n3")]
-        shown = rows.withColumn("document_type", F.upper(F.coalesce(F.nullif(F.trim("document_type"), F.lit("")), F.when(apart, sheet).otherwise("B2B")))).withColumn("hsn", F.coalesce(F.nullif("hsn", F.lit("")), F.col("invoice_number")))
-        sheets = _placeholder(packs, _sheet(shown.where(~apart), 2, "B2B", RETURN, order), 2, "B2B", RETURN, NO_ROWS)
-        sheets = sheets.unionByName(_sheet(shown.where(apart), 3, sheet, columns, order))
-        sheets = sheets.unionByName(_placeholder(packs, _sheet(shown.where(flagged), 4, "Flags", RETURN, order), 4, "Flags", RETURN, NONE))
+        layout, empty = {2: ("B2B", RETURN), 3: (sheet, columns), 4: ("Flags", RETURN)}, {2: NO_ROWS, 4: NONE}
+        places = F.array_compact(F.array(F.when(apart, 3).otherwise(2), F.when(flagged, 4)))
+        shown = rows.withColumns({"document_type": F.upper(F.coalesce(F.nullif(F.trim("document_type"), F.lit("")), F.when(apart, sheet).otherwise("B2B"))), "hsn": F.coalesce(F.nullif("hsn", F.lit("")), F.col("invoice_number")), "sheet_no": F.explode(places)})
+    numbered = _numbered(shown, ["pack_id", "sheet_no"], order)
+    sheets = _sheets(numbered, layout)
+    for number, text in empty.items():
+        sheets = sheets.unionByName(_placeholder(packs, numbered, number, *layout[number], text))
     facts = cover_facts(packs, rows).join(counted, "pack_id", "left")
     line = lambda a, b=None: F.array(F.lit(a).cast("string"), (F.lit(None) if b is None else b).cast("string"))
     lines = [line("GSTIN", F.col("filer_gstin")), line("Period", F.col("period")), line("Source", F.col("source")), *[line(t, F.coalesce(c, F.lit(0))) for t, c in counts]]
@@ -208,7 +245,8 @@ def bank_pack(files: DataFrame, rows: DataFrame, checks: DataFrame) -> DataFrame
     nth = F.row_number().over(Window.partitionBy("pack_id").orderBy("file_id"))
     named = named.withColumn("sheet_no", nth + 1)
     told = named.join(checks, "file_id", "left").withColumn("result", F.when(F.col("match"), "MATCH").otherwise("MISMATCH"))
-    cover = _sheet(told, 1, "Balance Check", CHECKS, ["file_id"])
+    told = told.withColumns({"sheet_no": F.lit(1), "row_no": F.row_number().over(Window.partitionBy("pack_id").orderBy("file_id"))})
+    cover = _sheets(told, {1: ("Balance Check", CHECKS)})
     own = rows.join(named.select("pack_id", "file_id", F.col("sheet").alias("title"), F.col("sheet_no").alias("place")), "file_id")
     # dates are shown as the report has them, text that is none stays
     own = own.withColumn("date", F.coalesce(F.date_format(try_date("date"), "dd-MM-yyyy"), F.col("date")))

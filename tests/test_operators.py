@@ -239,3 +239,16 @@ def test_identifier_once_in_plan(spark):
 
     df = spark.range(3).select(gstin_flags(F.concat(F.lit("27AAPFU0939F1Z"), F.col("id").cast("string"), F.lit("marked"))).alias("flags"))
     assert df._jdf.queryExecution().optimizedPlan().toString().count("marked") == 1
+
+
+def test_sheet_in_slices(spark, monkeypatch):
+    """A sheet of one pack is numbered by several tasks, each with a slice, as one task would number it."""
+    from ledgerloom.operators import reports
+
+    monkeypatch.setattr(reports, "SLICE", 100)
+    rows = spark.range(1_000).select(F.when(F.col("id") % 10 != 9, 1).otherwise(2).cast("long").alias("pack_id"), F.format_string("%05d", F.col("id") * 7919 % 1000).alias("source"), F.lit("n").alias("invoice_number"), F.lit(1.0).alias("invoice_value"))
+    made = reports.register_pack(rows, "S", {"Source": "source"})
+    got = [(r.pack_id, r.row_no, r.cells[0]) for r in made.collect()]
+    want = [(p, i, s) for p in (1, 2) for i, s in enumerate(sorted(f"{k * 7919 % 1000:05d}" for k in range(1_000) if (k % 10 == 9) == (p == 2)), 1)]
+    assert sorted(got) == want
+    assert "Window [row_number" not in made._jdf.queryExecution().optimizedPlan().toString()
