@@ -69,7 +69,9 @@ def zip_vouchers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vouchers of the members of archives; broken archives and other members give none."""
     k = F.col("o_orderkey")
     body = F.concat(F.lit("<E><VOUCHER><VOUCHERTYPENAME>"), F.when(k % 2 == 0, "Sales").otherwise("Purchase"), F.lit("</VOUCHERTYPENAME><VOUCHERNUMBER>@"), k.cast("string"), F.lit("</VOUCHERNUMBER><AMOUNT>-"), paise_text(F.floor(F.col("o_totalprice") * 100 + 0.5)), F.lit("</AMOUNT></VOUCHER></E>"))
-    packed = table(spark, sf_dir, "orders").select(k.alias("file_id"), body.alias("body")).mapInPandas(_zips, "file_id long, content binary")
+    # texts are dealt over tasks before they become archives: a table of few row groups has few tasks
+    dealt = table(spark, sf_dir, "orders").select(k.alias("file_id"), body.alias("body")).repartition(4 * spark.sparkContext.defaultParallelism, "file_id")
+    packed = dealt.mapInPandas(_zips, "file_id long, content binary")
     inside = containers.zip_members(packed).select("file_id", F.concat(F.lit("z.zip:"), "member").alias("source"), "content")
     return books.voucher_rows(containers.voucher_elements(inside)).select("file_id", "source", "register", "voucher_number", "invoice_value")
 

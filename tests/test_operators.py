@@ -252,3 +252,19 @@ def test_sheet_in_slices(spark, monkeypatch):
     want = [(p, i, s) for p in (1, 2) for i, s in enumerate(sorted(f"{k * 7919 % 1000:05d}" for k in range(1_000) if (k % 10 == 9) == (p == 2)), 1)]
     assert sorted(got) == want
     assert "Window [row_number" not in made._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_small_files_share_batches():
+    """Many files with a row each are one batch, a voucher file that breaks off gives none, nested vouchers come in order."""
+    import pyarrow as pa
+
+    from ledgerloom.sources import containers
+
+    batch = pa.RecordBatch.from_pydict({"file_id": list(range(100)), "content": [b"<V><VOUCHER VCHTYPE='a'><x:n xmlns:x='y'>1</x:n></VOUCHER></V>"] * 99 + [b"<V><VOUCHER/>"]})
+    kinds = [pa.string(), pa.map_(pa.string(), pa.string()), pa.map_(pa.string(), pa.string())]
+    made = list(containers._each(containers._vouchers, ["type", "child", "deep"], kinds)(iter([batch])))
+    assert [m.num_rows for m in made] == [99]
+    nested = b"<V><voucher VCHTYPE='a'><VOUCHER VCHTYPE='b'><N>1</N></VOUCHER><M>2</M></voucher></V>"
+    import io
+
+    assert containers.vouchers(nested) == list(containers.voucher_stream(io.BytesIO(nested)))
