@@ -268,3 +268,15 @@ def test_small_files_share_batches():
     import io
 
     assert containers.vouchers(nested) == list(containers.voucher_stream(io.BytesIO(nested)))
+
+
+def test_returns_parsed_once(spark):
+    """Contents of returns are parsed once for each kind of rows, whatever lies between them and the rows."""
+    names = spark.range(4).select("id", F.lit("x").alias("name"))
+    content = F.when(F.col("id") != 3, '{"b2b":[{"ctin":"c","inv":[{"inum":"1"}]}],"hsn":{"data":[{"hsn_sc":"7"}]}}').otherwise("junk")
+    files = names.join(names.select("id"), "id").select(F.col("id").alias("file_id"), "name", content.alias("content"))
+    parsed = gst.parse(files)
+    times = lambda df: df._jdf.queryExecution().optimizedPlan().toString().lower().count("parsejson")
+    one = times(parsed.select("doc"))
+    assert times(gst.purchase_return(parsed)) == one and times(gst.sales_return(parsed)) == 2 * one
+    assert gst.purchase_return(parsed).count() == 3 and gst.sales_return(parsed).count() == 6
