@@ -280,3 +280,12 @@ def test_returns_parsed_once(spark):
     one = times(parsed.select("doc"))
     assert times(gst.purchase_return(parsed)) == one and times(gst.sales_return(parsed)) == 2 * one
     assert gst.purchase_return(parsed).count() == 3 and gst.sales_return(parsed).count() == 6
+
+
+def test_workbooks_dealt_over_tasks(spark):
+    """Making archives and workbooks from small tables is dealt over all tasks, not over as many as the tables have bytes for."""
+    from ledgerloom.plans import file_queries
+
+    for name in ("zip_vouchers", "sheet_dates"):
+        made = getattr(file_queries, name)(spark, "/root/testdata/sf0.001").select("file_id", F.spark_partition_id().alias("task"))
+        assert made.select("task").distinct().count() > 8, name
