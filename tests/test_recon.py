@@ -104,3 +104,25 @@ def test_rollup_tells_null_values_from_sums(spark):
     want = [("all", None, None, None, 3, 4, 11, 2), ("client", 1, 10, None, 1, 2, 7, 1), ("client", 1, None, None, 1, 1, 3, 1), ("client", 2, 20, None, 1, 1, 1, 0), ("firm", 1, None, None, 2, 3, 10, 2),
             ("firm", 2, None, None, 1, 1, 1, 0), ("period", 1, 10, "a", 1, 2, 7, 1), ("period", 1, None, "b", 1, 1, 3, 1), ("period", 2, 20, None, 1, 1, 1, 0)]
     assert got == sorted(want, key=str)
+
+
+def test_assignment_takes_edges_from_the_best_down(spark, monkeypatch):
+    """Amounts and days on both sides of the borders of cells, against a loop over all edges; and a crowd in which all prefer the same takes no round a match."""
+    r = random.Random(11)
+    row = lambda k: (k, DAY + timedelta(r.randint(0, 150)), r.randint(0, 120) * 50 + 97_00, r.choice(["in", "out"]), r.choice(["abc traders", "abc trader"]))
+    crowd = lambda first, step: [(first + k, DAY + timedelta(k % 7), 500_00 + k // 7 * step, "out", "x") for k in range(28)]
+    bank, invoices = [row(k) for k in range(400)] + crowd(2000, 3), [row(k) for k in range(5000, 5400)] + crowd(7000, 2)
+    b, v = spark.createDataFrame(bank, f"bank_id long, {SIDE}"), spark.createDataFrame(invoices, f"invoice_id long, {SIDE}")
+    tables = []
+    monkeypatch.setattr(matching, "staged", lambda df, keep=matching.staged: tables.append(df) or keep(df))
+    got = sorted((x["bank_id"], x["invoice_id"], x["score"]) for x in matching.assign(b, v).collect())
+    kinds = lambda rows: {k: sorted(x[0] for x in rows if x[1:] == k) for k in {x[1:] for x in rows}}
+    left, right = kinds(bank), kinds(invoices)
+    side_of = lambda of, name: spark.createDataFrame([(ids[0], *k) for k, ids in of.items()], f"{name} long, {SIDE}")
+    edges = [(x["b"], x["v"], x["score"]) for x in recon.near_kinds(side_of(left, "b"), side_of(right, "v"), 7).collect()]
+    spare_b, spare_v, want = {ids[0]: list(ids) for ids in left.values()}, {ids[0]: list(ids) for ids in right.values()}, []
+    for x, y, score in sorted(edges, key=lambda e: (-e[2], e[0], e[1])):
+        while spare_b[x] and spare_v[y]:
+            want.append((spare_b[x].pop(0), spare_v[y].pop(0), score))
+    assert got == sorted(want) and len(want) > 200
+    assert len(tables) <= 8
