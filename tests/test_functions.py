@@ -79,3 +79,19 @@ def test_boxes(spark):
     boxes = spark.createDataFrame([(1.0, 2.0, 3.0, 4.0), (0.0, 5.0, 10.0, 1.0)], "x double, y double, width double, height double")
     assert boxes.agg(geometry.union_box("x", "y", "width", "height").alias("u")).first()["u"] == "0.0,2.0,10.0,4.0"
     assert values(spark, "string", ["1,2,3,4"], lambda b: geometry.crop_key(F.lit(7), F.lit(1), b))[0].__len__() == 16
+
+
+def test_dates_of_any_width_and_amounts_too_long(spark):
+    """Parts beyond two or four digits are kept whole, the first amount that is one counts, and a document's fields are looked for once."""
+    from ledgerloom.functions import dates, money
+    from ledgerloom.operators import invoice
+
+    given = ["1/2/25", "01-02-2025", "3.4.20251", "123/4/2025", "1/2", "a/b/c", " 7-8-1999 ", "2025/1/2", None, "1/-2/2025"]
+    df = spark.createDataFrame([(x,) for x in given], "d string")
+    assert [x[0] for x in df.select(dates.day_first("d")).collect()] == ["2025-02-01", "2025-02-01", "20251-04-03", "2025-04-123", "1/2", None, "1999-08-07", "0002-01-2025", None, "1/-2/2025"]
+    assert [x[0] for x in df.select(dates.sheet_date("d")).collect()] == ["2025-02-01", "2025-02-01", "20251-04-03", "2025-04-123", "1/2", None, "1999-08-07", "2025-01-02", None, "1/-2/2025"]
+    amounts = spark.createDataFrame([("12345678901234567890.00 and ₹ 1,250.5 or 7.00",), ("none 12",), (None,)], "t string")
+    assert [x[0] and str(x[0]) for x in amounts.select(money.first_amount("t")).collect()] == ["1250.50", None, None]
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    rows = invoice.invoices(amounts.selectExpr("t as file_id", "t as text"))
+    assert "240" in plan(rows) and "240" not in plan(rows.drop("raw_excerpt"))
