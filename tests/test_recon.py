@@ -126,3 +126,18 @@ def test_assignment_takes_edges_from_the_best_down(spark, monkeypatch):
             want.append((spare_b[x].pop(0), spare_v[y].pop(0), score))
     assert got == sorted(want) and len(want) > 200
     assert len(tables) <= 8
+
+
+def test_invoices_of_splits_are_not_copied(spark):
+    """Payments stand in the cells of days that they reach; an invoice goes to its own cell alone."""
+    i = spark.createDataFrame([(k, "a", DAY + timedelta(k), 100) for k in range(40)], "invoice_id long, party string, day date, cents long")
+    p = spark.createDataFrame([(900 + k, "a", DAY + timedelta(k), 200) for k in range(0, 40, 3)], "payment_id long, party string, day date, cents long")
+    seen = []
+    keep = matching.staged
+    matching.staged = lambda df: seen.append(df._jdf.queryExecution().optimizedPlan().toString()) or keep(df)
+    try:
+        got = {x["payment_id"]: x["invoice_ids"] for x in matching.splits(p, i).collect()}
+    finally:
+        matching.staged = keep
+    assert got == {900 + k: [max(0, k - 7), max(0, k - 7) + 1] for k in range(0, 40, 3)}
+    assert seen[0].count("Generate") == 1 and "invoice_id" not in seen[0].split("Generate", 1)[1].split("\n", 1)[0] and len(seen) == 2
