@@ -15,13 +15,17 @@ from ..functions import dates, text
 from ..operators import recon, reports
 from ..sources import containers, xlsx
 from ..sources.snapshots import Snapshots
-from ..sources.staging import shared_place
+from ..sources.staging import shared_place, staged
 from ..streaming.ingest import upsert_stream
 from .queries import SIDES, _sides, joined, query
 from .report_queries import _cells
 from .views import INV, inv, rupees, table
 
 
+#: Files of a delivery.
+DELIVERED = 12
+
+
 def _place(spark: SparkSession, name: str) -> str:
     return f"{shared_place(spark)}/{name}/{uuid.uuid4().hex}"
 
@@ -36,9 +40,12 @@ def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = u.withColumn("v2", F.when(F.col("file_id") % 2 == 0, F.col("v1")).otherwise(F.col("last")))
     u = u.withColumn("v3", F.when(F.col("file_id") % 3 == 0, F.col("v1")).otherwise(F.col("v2")))
     folder, place = _place(spark, "deliveries"), _place(spark, "upserts")
+    u = staged(u)
+    # each delivery has the same keys, dealt alike, and so the same number of files, which are a batch
     for k, v in enumerate(("v1", "v2", "v3"), 1):
-        u.select("file_id", F.timestamp_seconds(F.lit(k)).alias("at"), F.col(v).alias("value")).coalesce(1).write.mode("append").parquet(folder)
-    stream = spark.readStream.schema("file_id long, at timestamp, value long").option("maxFilesPerTrigger", 1).parquet(folder)
+        u.select("file_id", F.timestamp_seconds(F.lit(k)).alias("at"), F.col(v).alias("value")).repartition(DELIVERED, "file_id").write.mode("append").parquet(folder)
+        files = len(spark.read.parquet(folder).inputFiles()) // k
+    stream = spark.readStream.schema("file_id long, at timestamp, value long").option("maxFilesPerTrigger", files).parquet(folder)
     sets = Snapshots(spark, place)
     upsert_stream(stream, sets, "latest", "file_id", "at", ["value"], f"{place}-checkpoint", buckets=2).awaitTermination()
     return sets.read("latest").select("file_id", "value", "changes")

@@ -62,14 +62,17 @@ def changed(stream: DataFrame, key: str, at: str, columns: list[str]) -> DataFra
 
     def latest(found: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, when, changes = state.get if state.exists else (None, None, 0)
-        rows = pd.concat(list(frames)).sort_values(["at", "__told"])
+        held = list(frames)
+        rows = held[0] if len(held) == 1 else pd.concat(held)
+        if len(rows) > 1:
+            rows = rows.sort_values(["at", "__told"])
         row = None
         for k, (hashed, moment) in enumerate(zip(rows["__told"], rows["at"], strict=True)):
             if (when is None or moment >= pd.Timestamp(when)) and (last is None or hashed != last):
                 last, when, changes, row = int(hashed), moment.to_pydatetime(), changes + 1, k
         if row is not None:
             state.update((last, when, changes))
-            yield rows.iloc[[row]].drop(columns="__told").assign(changes=changes)[[key, "at", "changes", *columns]]
+            yield pd.DataFrame({c: [changes] if c == "changes" else rows[c].iloc[row : row + 1].array for c in (key, "at", "changes", *columns)})
 
     schema = StructType([own.schema[key], own.schema["at"], StructField("changes", LongType()), *[own.schema[c] for c in columns]])
     return own.groupBy(key).applyInPandasWithState(latest, schema, STATE, "append", GroupStateTimeout.NoTimeout)

@@ -48,3 +48,17 @@ def test_an_upsert_again_gives_the_same_table(spark, tmp_path):
         assert sorted(map(tuple, sets.read("t").collect())) == [("a", 9), ("b", 3)]
     ingest.upsert(sets, "t", "path", rows(), 4)
     assert sets.read("t").count() == 2
+
+
+def test_deliveries_of_several_files_are_a_batch_each(spark, monkeypatch):
+    """A delivery is dealt over files; each batch takes all of one, so a key's changes come in their order."""
+    from ledgerloom.plans import table_queries
+
+    from .conftest import DATA
+
+    batches = []
+    monkeypatch.setattr(table_queries, "upsert_stream", lambda stream, *a, keep=table_queries.upsert_stream, **k: batches.append(keep(stream, *a, **k)) or batches[0])
+    table_queries.stream_upsert(spark, DATA).count()
+    rows = [x["numInputRows"] for x in batches[0].recentProgress if x["numInputRows"]]
+    keys = spark.read.parquet(f"{DATA}/events.parquet").select("user_id").distinct().count()
+    assert rows == [keys] * 3 and table_queries.DELIVERED > 1
