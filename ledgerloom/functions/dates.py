@@ -47,14 +47,17 @@ def day_first(raw: Column | str) -> Column:
 
 
 def sheet_date(raw: Column | str) -> Column:
-    """A date of a spreadsheet export: ISO prefix, year-first parts, else day first; null stays null."""
+    """A date of a spreadsheet export: ISO prefix, year-first parts, else day first; null stays null. The two usual forms are cut out of the text;
+    only others are taken apart, by expressions that no code is generated for."""
 
     def told(text: Column, parts: Column) -> Column:
         year_first = (F.size(parts) == 3) & F.get(parts, F.lit(0)).rlike(r"^\d{4}$")
         return F.when(year_first, _year_first(text, parts)).otherwise(_day_first(text, parts))
 
-    iso = lambda text: text.rlike(r"^\d{4}-\d{2}-\d{2}")
-    return let(blank_to_null(raw), lambda text: F.when(iso(text), F.substring(text, 1, 10)).otherwise(let(_parts(text), lambda parts: told(text, parts))))
+    text = blank_to_null(raw)
+    turned = F.concat_ws("-", F.substring(text, 7, 4), F.substring(text, 4, 2), F.substring(text, 1, 2))
+    other = let(text, lambda t: let(_parts(t), lambda parts: told(t, parts)))
+    return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}"), F.substring(text, 1, 10)).when(text.rlike(r"^\d{2}[/\-.]\d{2}[/\-.]\d{4}\z"), turned).otherwise(other)
 
 
 def compact_date(raw: Column | str) -> Column:
@@ -65,8 +68,12 @@ def compact_date(raw: Column | str) -> Column:
 
 def try_date(raw: Column | str) -> Column:
     """A checked DATE from the four usual forms; null if none fits."""
-    forms = ((r"^\d{4}-\d{2}-\d{2}$", "yyyy-MM-dd"), (r"^\d{2}-\d{2}-\d{4}$", "dd-MM-yyyy"), (r"^\d{2}/\d{2}/\d{4}$", "dd/MM/yyyy"), (r"^\d{2}/\d{2}/\d{2}$", "dd/MM/yy"))
-    return let(F.substring(F.trim(_c(raw)), 1, 10), lambda text: F.coalesce(*[F.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(form)).cast("date")) for shape, form in forms]))
+    text = F.substring(F.trim(_c(raw)), 1, 10)
+    turned = lambda *year: F.concat(*year, F.lit("-"), F.substring(text, 4, 2), F.lit("-"), F.substring(text, 1, 2)).try_cast("date")
+    long = turned(F.substring(text, 7, 4))
+    short = turned(F.lit("20"), F.substring(text, 7, 2))
+    forms = ((r"^\d{4}-\d{2}-\d{2}\z", text.try_cast("date")), (r"^(\d{2}-\d{2}-\d{4}|\d{2}/\d{2}/\d{4})\z", long), (r"^\d{2}/\d{2}/\d{2}\z", short))
+    return F.coalesce(*[F.when(text.rlike(shape), found) for shape, found in forms])
 
 
 def period_label(day: Column | str) -> Column:

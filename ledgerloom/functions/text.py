@@ -31,6 +31,16 @@ def blank_to_null(text: Column | str) -> Column:
     return F.nullif(F.trim(_c(text)), F.lit(""))
 
 
+#: ASCII characters that are neither letters nor digits.
+SIGNS = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
+
+
+def alphanumeric(text: Column | str) -> Column:
+    """The ASCII letters and digits of a text. Signs are translated away, as a pattern costs several times as much; text beyond ASCII goes by one."""
+    plain = F.translate(_c(text), SIGNS, "")
+    return F.when(F.octet_length(plain) == F.length(plain), plain).otherwise(F.regexp_replace(plain, r"[^A-Za-z0-9]", ""))
+
+
 def header(name: Column | str) -> Column:
     """A column title as it is looked up: lower case, single spaces."""
     return F.lower(squeeze(name))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import out_of_period, sheet_date
 from ..functions.money import TOLERANCE
-from ..functions.text import add_flags, flag
+from ..functions.text import add_flags, alphanumeric, flag
 
 KEY = ["k_gstin", "k_invoice", "k_date"]
 
@@ -17,8 +17,10 @@ KEY = ["k_gstin", "k_invoice", "k_date"]
 def keyed(rows: DataFrame) -> DataFrame:
     """rows (gstin, invoice_number, invoice_date) with the key that both sides are compared by: identifier and number in upper case without
     separators, leading zeros of the number dropped, the date as ISO text."""
-    squash = lambda c: F.upper(F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("")), r"[^A-Za-z0-9]", ""))
-    return rows.withColumns({"k_gstin": squash("gstin"), "k_invoice": F.regexp_replace(squash("invoice_number"), r"^0+(?=.)", ""), "k_date": F.coalesce(sheet_date("invoice_date"), F.lit(""))})
+    squash = lambda c: F.upper(alphanumeric(F.coalesce(F.col(c).cast("string"), F.lit(""))))
+    own = rows.withColumns({"k_gstin": squash("gstin"), "k_invoice": squash("invoice_number"), "k_date": F.coalesce(sheet_date("invoice_date"), F.lit(""))})
+    bare = F.ltrim("k_invoice", F.lit("0"))
+    return own.withColumn("k_invoice", F.when((bare == "") & (F.col("k_invoice") != ""), "0").otherwise(bare))
 
 
 def reconcile(books: DataFrame, portal: DataFrame, tolerance: str = TOLERANCE) -> DataFrame:

@@ -7,6 +7,7 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
+from ledgerloom.functions import dates, text
 from ledgerloom.operators import matching, recon, reports
 
 DAY = date(2025, 4, 1)
@@ -141,3 +142,16 @@ def test_invoices_of_splits_are_not_copied(spark):
         matching.staged = keep
     assert got == {900 + k: [max(0, k - 7), max(0, k - 7) + 1] for k in range(0, 40, 3)}
     assert seen[0].count("Generate") == 1 and "invoice_id" not in seen[0].split("Generate", 1)[1].split("\n", 1)[0] and len(seen) == 2
+
+
+def test_signs_and_usual_dates_by_no_pattern(spark):
+    values = lambda items, make: [r["y"] for r in spark.createDataFrame(list(enumerate(items)), "i int, x string").select("i", make(F.col("x")).alias("y")).orderBy("i").collect()]
+    items = ["INV/0-12", "a_é ß1", "\x00\x7f٣", "", None]
+    assert values(items, text.alphanumeric) == ["INV012", "a1", "", "", None]
+    df = spark.createDataFrame([(n, d) for n, d in (("0-00", "01-04-2025"), ("/00a0", "01/04/2025\n"), ("é", "1.4.25"), (None, "01.04.2025 x"))], "invoice_number string, invoice_date string")
+    keyed = recon.keyed(df.withColumn("gstin", F.lit("x 1")))
+    assert [(r["k_gstin"], r["k_invoice"], r["k_date"]) for r in keyed.collect()] == [("X1", "0", "2025-04-01"), ("X1", "A0", "2025-04-01"), ("X1", "", "2025-04-01"), ("X1", "", "")]
+    # one pattern for each of the two keys, only for text beyond ASCII
+    plan = keyed._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp_replace(") == plan.count("octet_length(") == 2 and "gettimestamp" not in dates.try_date("invoice_date")._jc.toString().lower()
+    assert values(["0000-01-01", "2025-02-30", "01/04/25\n", "31-04-2025", "01-04/2025"], lambda x: dates.try_date(x).cast("string")) == ["0000-01-01", None, None, None, None]
