@@ -155,3 +155,25 @@ def test_signs_and_usual_dates_by_no_pattern(spark):
     plan = keyed._jdf.queryExecution().analyzed().toString()
     assert plan.count("regexp_replace(") == plan.count("octet_length(") == 2 and "gettimestamp" not in dates.try_date("invoice_date")._jc.toString().lower()
     assert values(["0000-01-01", "2025-02-30", "01/04/25\n", "31-04-2025", "01-04/2025"], lambda x: dates.try_date(x).cast("string")) == ["0000-01-01", None, None, None, None]
+
+
+def test_pairs_are_folded_where_they_met(spark):
+    """Pairs outnumber rows where amounts are common, so none is shuffled or sorted to find the best; an invoice stands in few cells."""
+    r = random.Random(9)
+    amounts = [49_900 + r.randint(0, 400) for _ in range(30)]
+    rows = [(i, DAY + timedelta(r.randint(0, 40)), r.choice(amounts), r.choice(["in", "out"]), r.choice(["abc", "abd", "xyz"])) for i in range(240)]
+    bank, invoices = (spark.createDataFrame(own, f"{name} long, {SIDE}") for own, name in ((rows[:120], "bank_id"), (rows[120:], "invoice_id")))
+    got = recon.score_matches(bank, invoices)
+    points = spark.createDataFrame([(x, y) for x in ("abc", "abd", "xyz") for y in ("abc", "abd", "xyz")], "x string, y string")
+    alike = {(p["x"], p["y"]): p["s"] for p in points.withColumn("s", F.floor(20 * recon.similarity(F.col("x"), F.col("y"))).cast("int")).collect()}
+    want = {}
+    for b in rows[:120]:
+        near = [(70 + 10 * (v[3] == b[3]) + alike[v[4], b[4]], -v[0]) for v in rows[120:] if abs(v[2] - b[2]) <= 100 and abs((v[1] - b[1]).days) <= 7]
+        if near:
+            want[b[0]] = (-max(near)[1], max(near)[0])
+    assert {x["bank_id"]: (x["invoice_id"], x["score"]) for x in got.collect()} == want and len(want) > 100
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(b#" not in plan and "SortAggregate" not in plan
+    kinds = invoices.groupBy("day", "cents", "direction", "name").agg(F.min("invoice_id").alias("v"))
+    placed = recon.near_kinds(bank, kinds, 7)._jdf.queryExecution().optimizedPlan().toString()
+    assert placed.count("Generate explode") == 2 and "array(" not in placed
