@@ -289,3 +289,20 @@ def test_workbooks_dealt_over_tasks(spark):
     for name in ("zip_vouchers", "sheet_dates"):
         made = getattr(file_queries, name)(spark, "/root/testdata/sf0.001").select("file_id", F.spark_partition_id().alias("task"))
         assert made.select("task").distinct().count() > 8, name
+
+
+def test_counted_sheet_rows_are_not_made(spark):
+    """Whether a record stays needs no flags or taxes of it; contents of a period's files are made once."""
+    from ledgerloom.operators import books
+    from ledgerloom.plans import whole_queries
+
+    from .conftest import DATA
+
+    given = [{"total": "5"}, {"total": "0", "date": " "}, {"date": "12-Apr-2025"}, {"date": "1/4/2025"}, {"tax %": "18", "sub total": "x"}, {"tax": "₹2"}, {"hsn": " 84 "}, {"sub total": "100", "tax %": "18", "gstin": "27AAPFU0939F1YV"}, {}]
+    records = spark.createDataFrame([(i, "s", list(c), c) for i, c in enumerate(given)], "file_id long, source string, headers array<string>, cells map<string,string>")
+    rows = books.sheet_rows(records)
+    got = {r["file_id"]: (r["invoice_date"], r["tax"], r["hsn"], r["flags"]) for r in rows.collect()}
+    assert got == {0: (None, None, None, []), 3: ("2025-04-01", None, None, []), 5: (None, 2.0, None, []), 6: (None, None, "84", []), 7: (None, 18.0, None, ["gstin_format"])}
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "gstin_format" in plan(rows) and "gstin_format" not in plan(rows.select("file_id"))
+    assert "l_orderkey" not in plan(whole_queries.whole_period_outcomes(spark, DATA))
