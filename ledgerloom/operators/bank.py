@@ -152,9 +152,10 @@ def align(columns: DataFrame, context: DataFrame) -> DataFrame:
 
 
 def transactions(lines: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows, rejected): accepted transactions with what follows them added to description and raw_text; and lines that fit no balance."""
-    context = statement_context(lines, files)
-    columns = line_columns(lines, context)
+    """(rows, rejected): accepted transactions with what follows them added to description and raw_text; and lines that fit no balance. What a line
+    gives is made once, for the fold and for its rows."""
+    context = staged(statement_context(lines, files))
+    columns = staged(line_columns(lines, context))
     fold = align(columns, context)
     extra = fold.where("extra is not null").groupBy("file_id", "row_no").agg(F.array_sort(F.collect_list(F.struct("line_no", "extra"))).alias("__more"))
     more = lambda sep: F.concat(*[F.array_join(F.transform(F.coalesce("__more", F.array().cast("array<struct<line_no:int,extra:string>>")), lambda x: F.concat(F.lit(sep), x["extra"])), "")])

@@ -306,3 +306,10 @@ def test_counted_sheet_rows_are_not_made(spark):
     plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
     assert "gstin_format" in plan(rows) and "gstin_format" not in plan(rows.select("file_id"))
     assert "l_orderkey" not in plan(whole_queries.whole_period_outcomes(spark, DATA))
+
+
+def test_lines_of_statements_are_taken_apart_once(spark):
+    """The fold, rows and rejected lines read what lines gave; none of them looks for amounts again."""
+    rows, rejected = bank.transactions(lines(spark, *STATEMENT), spark.createDataFrame([(1, "s.pdf")], "file_id long, name string"))
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan(rows) + plan(rejected) and rows.count() > 1
