@@ -177,3 +177,16 @@ def test_pairs_are_folded_where_they_met(spark):
     kinds = invoices.groupBy("day", "cents", "direction", "name").agg(F.min("invoice_id").alias("v"))
     placed = recon.near_kinds(bank, kinds, 7)._jdf.queryExecution().optimizedPlan().toString()
     assert placed.count("Generate explode") == 2 and "array(" not in placed
+
+
+def test_invoices_stand_in_few_cells(spark):
+    """Payments at all ends of what invoices reach show in how many cells these stand, which is how often they are shuffled: 1.6 on average, and every pair is there once."""
+    r = random.Random(5)
+    rows = [(k, DAY + timedelta(r.randint(0, 2000)), r.randint(1_000_00, 900_000_00), "out", f"x{k}") for k in range(600)]
+    ends = [(v, d, c, "out", "y") for v, day, cents, *_ in rows for d in (day - timedelta(7), day + timedelta(7)) for c in (cents - 100, cents + 100)]
+    invoices, bank = spark.createDataFrame(rows, f"v long, {SIDE}"), spark.createDataFrame(ends, f"b long, {SIDE}").dropDuplicates()
+    near = recon.near_kinds(bank, invoices, 7)
+    met = near.where("b = v").select("v", "k", "cell", "span").collect()
+    assert len(met) == len({(x["v"], x["k"]) for x in met}) == 4 * len(rows)
+    places = {(x["v"], x["cell"], x["span"]) for x in met}
+    assert len(rows) < len(places) < 1.75 * len(rows)
