@@ -9,9 +9,7 @@ from __future__ import annotations
 
 import copy
 import math
-from collections import Counter
-from collections.abc import Iterator
-from itertools import repeat
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +32,10 @@ BASE = 1.5
 #: Tokens of the texts that ask the segments of a spread filter together, about.
 ASKED = 1_000_000
 BINS, RATIOS = 32, 64
+#: Bytes of a word that is hashed together with others, at most.
+LONG = 64
+#: Bytes of the texts that are taken apart at a time, about.
+TEXTS = 1 << 20
 N_GRAMS = 3_000_000
 
 
@@ -54,6 +56,12 @@ def _key(h: np.ndarray, bits: int) -> np.ndarray:
     return h >> np.uint64(64 - KEY_BITS - bits)
 
 
+def _distinct(keys: np.ndarray) -> np.ndarray:
+    """The different keys, sorted: several times faster than np.unique, which tells them apart by a table when it isn't asked for counts."""
+    keys = np.sort(keys)
+    return keys[np.append(True, keys[1:] != keys[:-1])] if len(keys) else keys
+
+
 #: Least counts of the levels, from level 1 (seen once) on, and the count that stands for each.
 EDGES = np.unique(np.ceil(BASE ** np.arange(100)).astype(np.int64))
 VALUES = np.concatenate([[0.0], np.sqrt(EDGES[:-1] * np.maximum(EDGES[:-1], EDGES[1:] - 1.0))])
@@ -64,46 +72,49 @@ def level(counts: np.ndarray) -> np.ndarray:
     return np.searchsorted(EDGES, counts, "right")
 
 
-class Tokens(dict):
-    """Word to a row of `hashes` (and `counts`, -1 if it isn't in the head); kept for up to `most` words, the head always."""
-
-    def __init__(self, head: dict[bytes, int] | None = None, most: int = 400_000):
-        super().__init__()
-        self.head, self.most = head or {}, most
-        self.reset()
-
-    def reset(self) -> None:
-        self.clear()
-        self.hashes, self.counts, self.ones, self.names = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0), []
-
-    def __missing__(self, word: bytes) -> int:
-        n = len(self)
-        self[word] = n
-        self.names.append(word)
-        return n
-
-    def rows(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Rows of all tokens of the texts, each closed by END, and how many each text has. New words are hashed all at once."""
-        if len(self) > self.most:
-            self.reset()
-        tokens, sizes = [], []
-        for text in texts:
-            own = text.encode("utf-8", "surrogatepass").lower().split()
-            tokens += own
-            tokens.append(END)
-            sizes.append(len(own) + 1)
-        rows = np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
-        if new := self.names[len(self.hashes) :]:
-            self.hashes = np.append(self.hashes, np.fromiter(map(xxhash.xxh64_intdigest, new, repeat(SEED)), np.uint64, len(new)))
-            self.counts = np.append(self.counts, np.fromiter(map(self.head.get, new, repeat(-1)), np.int64, len(new)))
-        return rows, np.array(sizes)
+def _hashes(words: pa.Array) -> np.ndarray:
+    """64-bit hashes of words: eight bytes of all at a time, words of more than LONG bytes one by one."""
+    words = pa.concat_arrays([words.cast(pa.large_binary())])
+    ends = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    starts, sizes = ends[:-1], np.diff(ends)
+    data = np.zeros(int(ends[-1]) + 8 if len(words) else 8, np.uint8)
+    data[:-8] = np.frombuffer(words.buffers()[2] or b"", np.uint8)[: len(data) - 8]
+    eights = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+    own = np.flatnonzero(sizes <= LONG)
+    h = sizes.astype(np.uint64) * START + np.uint64(SEED)
+    for at in range(0, LONG, 8):
+        own = own[sizes[own] > at]
+        if not len(own):
+            break
+        unused = np.maximum(64 - 8 * (sizes[own] - at), 0).astype(np.uint64)
+        h[own] = _mix(h[own] ^ _mix((eights[starts[own] + at] << unused) + np.uint64(at)))
+    for i in np.flatnonzero(sizes > LONG).tolist():
+        h[i] = xxhash.xxh64_intdigest(words[i].as_buffer(), SEED)
+    return h
+
+
+class Tokens:
+    """The tokens of some texts: `rows` of `words`, the different ones with END as the last, of all texts one after the other, each closed by END; `sizes` has how
+    many each text has, `hashes` a hash of each word. Arrow splits and tells words apart, so Python sees each word once, however often it stands in the texts."""
+
+    def __init__(self, texts: pa.Array, hashed: bool = True):
+        listed = pa.compute.ascii_split_whitespace(pa.compute.ascii_lower(texts))
+        every, ends = listed.flatten(), listed.offsets.to_numpy() - listed.offsets[0].as_py()
+        # white space at the ends of a text gives empty words there
+        fine = pa.compute.greater(pa.compute.binary_length(every), 0)
+        ends = np.concatenate([[0], np.cumsum(fine.to_numpy(zero_copy_only=False))])[ends]
+        coded = every.filter(fine).dictionary_encode()
+        self.words, self.sizes = pa.concat_arrays([coded.dictionary, pa.array([END.decode()], coded.dictionary.type)]), np.diff(ends) + 1
+        self.rows = np.full(len(coded) + len(texts), len(self.words) - 1)
+        inner = np.ones(len(self.rows), bool)
+        inner[np.cumsum(self.sizes) - 1] = False
+        self.rows[inner] = coded.indices.to_numpy()
+        if hashed:
+            self.hashes = _hashes(self.words)
 
     def numerators(self, grams: Filter) -> np.ndarray:
-        """One more than the count of each kept word, as the filter has it; looked up once for each."""
-        behind = self.hashes[len(self.ones) :]
-        if len(behind):
-            self.ones = np.append(self.ones, grams.value(_mix(behind)) + 1)
-        return self.ones
+        """One more than the count of each word, as the filter has it."""
+        return grams.value(_mix(self.hashes)) + 1
 
 
 def _before(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -113,26 +124,31 @@ def _before(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    for batch in slices(batches, 256):
-        yield batch, [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    """The batches in pieces, and their texts: few enough rows that memory follows TEXTS bytes or one text."""
+    for batch in batches:
+        ends = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(batch.column(batch.num_columns - 1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            rows = max(1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + TEXTS, "right")) - at)
+            part = batch.slice(at, rows)
+            yield part, pa.compute.fill_null(part.column(part.num_columns - 1), "")
+            at += rows
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter[bytes] = Counter()
-
-    def flush() -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays([pa.array([w.decode("utf-8", "surrogatepass") for w in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
-        counts.clear()
-        return out
-
+    counts = none = pa.table({"word": pa.array([], pa.string()), "n": pa.array([], pa.int64())})
+    held = []
     for _, texts in _parts(batches):
-        for text in texts:
-            counts.update(text.encode("utf-8", "surrogatepass").lower().split())
-            counts[END] += 1
-        if len(counts) > 500_000:
-            yield flush()
-    yield flush()
+        tokens = Tokens(texts, hashed=False)
+        held.append(pa.table({"word": tokens.words.cast(pa.string()), "n": pa.array(np.bincount(tokens.rows, minlength=len(tokens.words)))}))
+        if sum(map(len, held)) > 500_000:
+            counts = pa.concat_tables([counts, *held]).group_by("word").aggregate([("n", "sum")]).rename_columns(["word", "n"])
+            held = []
+            if len(counts) > 500_000:
+                yield from counts.to_batches()
+                counts = none
+    yield from pa.concat_tables([counts, *held]).group_by("word").aggregate([("n", "sum")]).rename_columns(["word", "n"]).to_batches()
 
 
 BLOBS = pa.schema([("bucket", pa.int32()), ("low", pa.binary()), ("high", pa.binary()), ("n", pa.binary())])
@@ -154,11 +170,11 @@ def _unblob(low: bytes, high: bytes) -> np.ndarray:
 
 def _pairs(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, held, size = Tokens(), [], 0
+        held, size = [], 0
         for _, texts in _parts(batches):
-            rows, sizes = tokens.rows(texts)
-            h = tokens.hashes[rows]
-            held.append(_key(_pair(_before(h, sizes), h), bits))
+            tokens = Tokens(texts)
+            h = tokens.hashes[tokens.rows]
+            held.append(_key(_pair(_before(h, tokens.sizes), h), bits))
             size += len(h)
             if size > N_GRAMS:
                 yield _blobs(*np.unique(np.concatenate(held), return_counts=True))
@@ -172,8 +188,7 @@ def _pairs(bits: int):
 def _singles(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1 << 18):
-            h = np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), SEED) for w in batch.column(0).to_pylist()), np.uint64, batch.num_rows)
-            keys = _key(_mix(h), bits)
+            keys = _key(_mix(_hashes(batch.column(0))), bits)
             order = np.argsort(keys, kind="stable")
             yield _blobs(keys[order], batch.column(1).to_numpy()[order])
 
@@ -291,36 +306,33 @@ class Model:
         return np.add.reduceat(np.log10(p), np.concatenate([[0], np.cumsum(sizes)[:-1]]))
 
 
-def _asking(tokens: Tokens, texts: list[str], bits: int) -> tuple[np.ndarray, int]:
-    """The different keys of all words and pairs of the texts, sorted, and how many tokens there are."""
-    rows, sizes = tokens.rows(texts)
-    h = tokens.hashes[rows]
-    return np.unique(np.concatenate([_key(_pair(_before(h, sizes), h), bits), _key(_mix(tokens.hashes[np.unique(rows)]), bits)])), len(h)
+def _asking(tokens: Tokens, bits: int) -> np.ndarray:
+    """The different keys of all words and pairs of the texts, sorted."""
+    h = tokens.hashes[tokens.rows]
+    return _distinct(np.concatenate([_key(_pair(_before(h, tokens.sizes), h), bits), _key(_mix(tokens.hashes), bits)]))
 
 
 def _asked(bits: int):
     """(row, doc_id, text) to batches, named by their first row: the texts (bucket -1), and a row for each bucket with the keys they ask for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, held, keys, size = Tokens(), [], [], 0
+        held, keys, size = [], [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             name = held[0].column(0)[0].as_py()
             for part in held:
                 n = part.num_rows
                 yield pa.RecordBatch.from_arrays([pa.array([name] * n, pa.int64()), pa.array([-1] * n, pa.int32()), *part.columns, pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], schema=ASKS)
-            every = np.unique(np.concatenate(keys))
+            every = _distinct(np.concatenate(keys))
             own = _blobs(every, np.zeros(len(every), np.int64))
             n = own.num_rows
             yield pa.RecordBatch.from_arrays([pa.array([name] * n, pa.int64()), own.column(0), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.string()), own.column(1), own.column(2)], schema=ASKS)
 
         for batch, texts in _parts(batches):
-            if not texts:
-                continue
-            own, n = _asking(tokens, texts, bits)
+            tokens = Tokens(texts)
             held.append(batch)
-            keys.append(own)
-            size += n
+            keys.append(_asking(tokens, bits))
+            size += len(tokens.rows)
             if size > ASKED:
                 yield from flush()
                 held, keys, size = [], [], 0
@@ -351,13 +363,14 @@ def _answered(bits: int, size: int, top: int):
 
 
 def _each(source: DataFrame, model: Model, shared, run, schema: str) -> DataFrame:
-    """What run(shared, grams) makes of the batches of source (row, doc_id, text).
+    """What run(shared, grams) makes of the batches of source (row, doc_id, text), each with its tokens.
 
     A spread filter is asked for the different keys of each batch in one shuffle, whatever its size; the answers come back to
     the batch's texts in a second one.
     """
     if model.segments is None:
-        return source.mapInArrow(run(shared), schema)
+        told = run(shared)
+        return source.mapInArrow(lambda batches: told((batch, Tokens(texts)) for batch, texts in _parts(batches)), schema)
     bits, size, top = model.grams.bits, model.grams.size, model.grams.top
     kind = "batch long, bucket int, row long, doc_id long, text string, low binary, high binary"
     asked = materialize(source.select("row", "doc_id", "text").mapInArrow(_asked(bits), kind))
@@ -370,9 +383,9 @@ def _each(source: DataFrame, model: Model, shared, run, schema: str) -> DataFram
         own = own[np.argsort(bucket[own], kind="stable")]
         levels = np.frombuffer(b"".join(table["level"].take(pa.array(own)).to_pylist()), np.uint8)
         texts = table.select(["row", "doc_id", "text"]).take(pa.array(np.flatnonzero(bucket < 0))).combine_chunks()
-        tokens = Tokens()
-        keys = np.unique(np.concatenate([_asking(tokens, part, bits)[0] for _, part in _parts(iter(texts.to_batches()))]))
-        return pa.Table.from_batches(list(run(shared, Answers(bits, keys, levels))(iter(texts.to_batches()))))
+        parts = [(batch, Tokens(part)) for batch, part in _parts(iter(texts.to_batches()))]
+        keys = _distinct(np.concatenate([_asking(tokens, bits) for _, tokens in parts]))
+        return pa.Table.from_batches(list(run(shared, Answers(bits, keys, levels))(parts)))
 
     texts = asked.where("bucket < 0").select("batch", "bucket", "row", "doc_id", "text", F.lit(None).cast("binary").alias("level"))
     return texts.unionByName(answers, allowMissingColumns=True).groupBy("batch").applyInArrow(join, schema)
@@ -381,13 +394,12 @@ def _each(source: DataFrame, model: Model, shared, run, schema: str) -> DataFram
 def _ratios(shared, grams: Answers | None = None):
     """Left-one-out ratios of both probabilities, counted by how often the token before was seen."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, model = Tokens(), shared.value.reading(grams)
+    def run(parts: Iterable[tuple[pa.RecordBatch, Tokens]]) -> Iterator[pa.RecordBatch]:
+        model = shared.value.reading(grams)
         table = np.zeros((BINS, RATIOS), np.int64)
-        for _, texts in _parts(batches):
-            rows, sizes = tokens.rows(texts)
-            one = tokens.numerators(model.grams)[rows]
-            pair, past = model.parts(tokens.hashes[rows], one, sizes)
+        for _, tokens in parts:
+            one = tokens.numerators(model.grams)[tokens.rows]
+            pair, past = model.parts(tokens.hashes[tokens.rows], one, tokens.sizes)
             ratio = (np.maximum(pair - 1, 0) / np.maximum(past - 1, 1)) / (np.maximum(one - 1, 1) / (model.tokens + model.words + 1))
             at = np.where(ratio > 0, np.clip(np.log2(np.maximum(ratio, 1e-9)) + 31, 1, RATIOS - 1), 0).astype(int)
             np.add.at(table, (np.log2(past + 1).astype(int), at), 1)
@@ -462,22 +474,21 @@ SCORED = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa
 def _scored(shared, grams: Answers | None = None):
     """A row for each text, and one for each word of it that isn't in the head (word not null)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(parts: Iterable[tuple[pa.RecordBatch, Tokens]]) -> Iterator[pa.RecordBatch]:
         model = shared.value.reading(grams)
-        tokens, all_n = Tokens(model.head), model.tokens + model.words + 1
-        for batch, texts in _parts(batches):
-            rows, sizes = tokens.rows(texts)
+        all_n, head, n = model.tokens + model.words + 1, pa.array(list(model.head), pa.binary()), np.array([*model.head.values(), -1], np.int64)
+        for batch, tokens in parts:
+            rows, sizes, texts = tokens.rows, tokens.sizes, len(tokens.sizes)
             starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-            counts = tokens.counts[rows]
+            counts = n[pa.compute.fill_null(pa.compute.index_in(tokens.words.cast(pa.binary()), head), -1).to_numpy(zero_copy_only=False)][rows]
             known = counts >= 0
             base = np.add.reduceat(np.where(known, np.log10((np.maximum(counts, 0) + 1) / all_n), 0.0), starts)
             score = model.log10(tokens.hashes[rows], tokens.numerators(model.grams)[rows], sizes)
-            none = pa.nulls(len(texts), pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes), pa.array(np.add.reduceat(known.astype(np.int64), starts)), pa.array(base), pa.array(score), none, pa.nulls(len(texts), pa.int64())], schema=SCORED)
+            none = pa.nulls(texts, pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes), pa.array(np.add.reduceat(known.astype(np.int64), starts)), pa.array(base), pa.array(score), none, pa.nulls(texts, pa.int64())], schema=SCORED)
             rest = np.flatnonzero(~known)
-            pairs, times = np.unique((np.repeat(np.arange(len(texts)), sizes)[rest] << 32) | rows[rest], return_counts=True)
-            names = tokens.names
-            words = pa.array([names[i].decode("utf-8", "surrogatepass") for i in (pairs & 0xFFFFFFFF).tolist()], pa.string())
+            pairs, times = np.unique((np.repeat(np.arange(texts), sizes)[rest] << 32) | rows[rest], return_counts=True)
+            words = tokens.words.take(pa.array(pairs & 0xFFFFFFFF)).cast(pa.string())
             own = batch.column(0).take(pa.array(pairs >> 32))
             yield pa.RecordBatch.from_arrays([own, *(pa.nulls(len(own), k) for k in (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())), words, pa.array(times)], schema=SCORED)
 

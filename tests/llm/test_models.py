@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -498,6 +499,22 @@ def test_every_language_is_learned(spark):
     assert got == {k: lang for k, _, lang in rows}
 
 
+def test_tokens_are_split_and_hashed_together(monkeypatch):
+    texts = ["", "  A b\x0bÄ\tß a\x1cb \r\n", "x\u00a0y \u0130I " + "w" * 70, "\n", " " + "É" * 40 + " b", "b " * 2000]
+    alone = []
+    digest = bloomlm.xxhash.xxh64_intdigest
+    monkeypatch.setattr(bloomlm.xxhash, "xxh64_intdigest", lambda word, seed: alone.append(bytes(word)) or digest(word, seed))
+    tokens = bloomlm.Tokens(pa.array(["cut", *texts]).slice(1))
+    want = [[*t.encode().lower().split(), b"\n"] for t in texts]
+    words = tokens.words.cast(pa.binary()).to_pylist()
+    assert [words[i] for i in tokens.rows] == [w for own in want for w in own] and tokens.sizes.tolist() == [len(own) for own in want]
+    assert len({*words}) == len(words) == len({*tokens.hashes.tolist()})
+    assert sorted(alone) == sorted(w for w in words if len(w) > bloomlm.LONG)  # none of the usual words goes through Python
+    again = dict(zip(words, tokens.hashes.tolist(), strict=True))
+    other = bloomlm.Tokens(pa.array(["w b", "ä " + "É" * 40]))
+    assert all(again.get(w, h) == h for w, h in zip(other.words.cast(pa.binary()).to_pylist(), other.hashes.tolist(), strict=True))
+
+
 def test_marks_stay_in_their_words():
     assert langid.words_of("हिन्दी में, Über café x_y 12ab") == ["हिन्दी", "में", "über", "café", "x", "y", "ab"]
     assert langid.words_of("plain Words") == ["plain", "words"]
