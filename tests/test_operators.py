@@ -104,6 +104,17 @@ def test_invoice(spark):
     assert {k: v["page"] for k, v in placed.items()} == dict.fromkeys(("supplier_gstin", "invoice_number", "taxable_value", "tax", "invoice_value"), 1)
 
 
+def test_fields_are_found_in_the_lines_of_a_row(spark):
+    table = lines(spark, *INVOICE.split("\n"))
+    own = [tuple(r[c] for c in invoice.LINE) for r in table.collect()]
+    kind = "file_id long, text string, lines array<struct<line_no:int,page:int,text:string,x:double,y:double,width:double,height:double>>"
+    docs = spark.createDataFrame([(1, INVOICE, own), (2, "Invoice No: ABC-9", [])], kind)
+    placed = invoice.locate_fields(invoice.invoices(docs))
+    got = {r["file_id"]: r["fields"] for r in placed.collect()}
+    assert got[1] == invoice.locate_fields(invoice.invoices(docs.drop("lines").where("file_id = 1")), table).first()["fields"] and len(got[1]) == 5
+    assert got[2] is None and "Exchange" not in placed._jdf.queryExecution().executedPlan().toString()
+
+
 def test_classification(spark):
     rows = [("/d/GSTR-2B_apr.json", "{}"), ("x.json", '{"data":{"docdata":{}}}'), ("x.json", '{"sup_details":{}}'), ("x.json", '{"b2cs":[]}'), ("x.json", "[1]"), ("x.json", "nope"), ("x.json", '{"a":null}'), ("books.csv", None), ("e.xml", "<A><VOUCHER/></A>"), ("a.docx", None), ("i.png", None), ("inv.png", None)]
     got = [(r["k"], r["c"]) for r in classify.classify(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, path string, content string")).select("i", F.col("verdict.kind").alias("k"), F.col("verdict.confidence").alias("c")).orderBy("i").collect()]
