@@ -324,3 +324,12 @@ def test_lines_of_statements_are_taken_apart_once(spark):
     rows, rejected = bank.transactions(lines(spark, *STATEMENT), spark.createDataFrame([(1, "s.pdf")], "file_id long, name string"))
     plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_extract_all" not in plan(rows) + plan(rejected) and rows.count() > 1
+
+
+def test_registers_of_a_period_parse_each_file_once(spark):
+    from ledgerloom.plans import whole_queries
+
+    from .conftest import DATA
+
+    # the rows meet the counts of their keys, so files that were read in this plan would be read twice
+    assert "MapInArrow" not in whole_queries.whole_period_registers(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
